@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.text import two_decimals
+
 # The strategy names, cut-offs and points below must give the published scores.
 INTRADAY_STRATEGY = "radar-intraday-v1"
 DAILY_STRATEGY = "radar-v1-frozen"
@@ -107,7 +109,7 @@ def score_daily(
     out = out.withColumn("score", F.least(F.lit(100), total).cast("int"))
     reasons = F.array(
         F.concat(F.lit("Trend: "), F.col("trend_name")),
-        F.format_string("Relative volume: %.2fx", rvol),
+        F.concat(F.lit("Relative volume: "), two_decimals(rvol), F.lit("x")),
         F.when(hist > 0, "Positive MACD momentum").otherwise("Negative MACD momentum"),
         F.when(F.col("components.breakout") == 15, "Resistance breakout confirmed").otherwise("No confirmed breakout"),
         F.concat(F.lit("Market regime: "), F.col("regime")),

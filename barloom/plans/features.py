@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.text import two_decimals
 from barloom.operators import features as feat
 from barloom.operators import quality, risk, scoring, signals
 from barloom.plans import datasets as data
@@ -146,7 +147,7 @@ def f16_daily_scan(spark: SparkSession, folder: str) -> DataFrame:
         scoring.regime("market_trend").alias("regime"), F.col("ret20").alias("market_ret20"))
     state = quality.validate_series(
         tables.day_bars(spark, folder).withColumn("ingest_seq", F.unix_micros("ts")),
-        F.lit("2002-01-01").cast("timestamp"), stale_seconds=5000 * 86400, max_jump_percent=1e9,
+        F.lit("2002-01-01").cast("timestamp"), stale_seconds=5000 * 86400, max_jump_percent=100.0,
     )
     rows = newest.filter(F.col("symbol") != "MARKET").join(state, "symbol").crossJoin(F.broadcast(market))
     rows = risk.add_trade_plan(rows.withColumns({
@@ -161,6 +162,24 @@ def f16_daily_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["f16_daily_scan"] = f16_daily_scan
+ORACLES["f16_daily_scan"] = SCORES + f""",
+jumps AS (SELECT symbol, max(abs(close / p - 1) * 100) > 100 AS jumped, NOT regexp_full_match(symbol, '[A-Z0-9]{{2,12}}') AS named FROM
+  (SELECT symbol, close, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM bars) GROUP BY symbol),
+state AS (SELECT symbol, CASE WHEN jumped OR named THEN 'INVALID' ELSE 'OK' END AS data_status,
+  100.0 - 20 * (jumped::INT + named::INT) AS data_quality FROM jumps),
+lasts AS (SELECT *, {REGIME_CASE} AS own_regime FROM trended QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
+mk AS (SELECT own_regime AS regime, ret20 AS m FROM lasts WHERE symbol = 'MARKET'),
+lp AS (SELECT lasts.*, state.data_status, state.data_quality, mk.regime, (ret20 - m) * 100 AS rs,
+    least(recent_low, close - atr * 1.2) AS raw FROM lasts JOIN state ON lasts.symbol = state.symbol, mk WHERE lasts.symbol <> 'MARKET'),
+fin AS (SELECT *, CASE WHEN data_status = 'OK' AND data_quality >= 90 AND raw > 0 AND raw < close AND atr > 0 THEN
+    least(100, CASE trend_name WHEN 'STRONG_UPTREND' THEN 15 WHEN 'UPTREND' THEN 11 WHEN 'NEUTRAL' THEN 6 WHEN 'DOWNTREND' THEN 2 ELSE 0 END
+    + least(15, greatest(0, round_even((rsi - 40) / 3 + (CASE WHEN macd_histogram > 0 THEN 5 ELSE 0 END) + (CASE WHEN roc > 0 THEN 3 ELSE 0 END), 0)::INT))
+    + CASE WHEN rvol >= 3 THEN 20 WHEN rvol >= 2 THEN 18 WHEN rvol >= 1.5 THEN 15 WHEN rvol >= 1 THEN 10 ELSE 4 END
+    + CASE WHEN breakout AND rvol >= 1.5 AND close_quality >= 0.65 THEN 15 WHEN breakout THEN 5 ELSE 2 END
+    + least(10, greatest(0, round_even(5 + rs, 0)::INT)) + CASE WHEN volatility < 0.04 THEN 4 ELSE 2 END
+    + CASE regime WHEN 'RISK_ON' THEN 10 WHEN 'NEUTRAL' THEN 6 ELSE 1 END + 9) ELSE 0 END AS score FROM lp)
+SELECT symbol, score, CASE WHEN score >= 90 THEN 'VERY_STRONG_CANDIDATE' WHEN score >= 80 THEN 'STRONG_CANDIDATE'
+  WHEN score >= 70 THEN 'CANDIDATE' WHEN score >= 60 THEN 'WATCH' ELSE 'NO_SIGNAL' END AS signal_class, data_status, data_quality FROM fin"""
 
 
 def f17_latest_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -318,7 +337,7 @@ def f15_alert_text(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("radar_score") >= 90, "VERY STRONG CANDIDATE").otherwise("STRONG CANDIDATE"),
         "symbol",
         F.format_string("Radar: %d/100", "radar_score"),
-        F.format_string("15m RVOL: %.2fx", "rvol"),
+        F.concat(F.lit("15m RVOL: "), two_decimals(F.col("rvol")), F.lit("x")),
         F.format_string("Early Momentum: %d", "early_momentum_score"),
         F.concat(F.lit("Data time: "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss+00:00")),
         F.format_string("Data latency: %.1fm", F.col("provider_latency_seconds") / 60),
