@@ -15,7 +15,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from barloom.series import Series, materialise
+from barloom.series import Series
+from barloom.staging import hold
 
 # Weights below this cannot change a double unless values differ by a factor of 2**60 or more.
 _NEGLIGIBLE = 2.0**-112
@@ -117,7 +118,7 @@ def add_means(
             return f"({_num(factor)} * ({_pow(m.keep, steps)} - {_pow(keep, steps)}))"
 
     # The summary and the finish both read the local values; compute them once.
-    frame = materialise(frame)
+    frame = hold(frame)
     edge = f"bar_no = (_block + 1) * {s.size} - {lead + 1}"
     summary = frame.filter(edge).selectExpr(
         *s.keys, "_block", *names,

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import risk, scoring
-from barloom.operators.features import add_benchmark_return, daily_features
-from barloom.series import Series
+from barloom.operators.features import add_benchmark_return
 
 WARMUP_BARS = 200
 MIN_SCORE = 80
@@ -23,9 +22,8 @@ def split_benchmark(features: DataFrame, name: str = "MARKET", warmup: int = WAR
     return features.filter(F.col("symbol") != name), market
 
 
-def daily_scores(s: Series, benchmark: str = "MARKET", warmup: int = WARMUP_BARS) -> DataFrame:
-    """Every warmed-up bar with a benchmark row and a valid plan, scored."""
-    features = daily_features(s).rows()
+def daily_scores(features: DataFrame, benchmark: str = "MARKET", warmup: int = WARMUP_BARS) -> DataFrame:
+    """Every warmed-up bar of a daily feature table with a benchmark row and a valid plan, scored."""
     rows, market = split_benchmark(features, benchmark, warmup)
     rows = rows.filter(F.col("bar_no") >= warmup - 1).withColumn("trend_name", scoring.trend())
     joined = add_benchmark_return(rows, market).join(market.select("ts", "regime"), "ts")

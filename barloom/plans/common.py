@@ -21,7 +21,10 @@ def r(column: str | Column, digits: int = 6) -> Column:
 
 
 def series(bars: DataFrame, timeframe: str, halo: int = 32) -> Series:
-    return blocked(number_bars(bars, TIMEFRAME_SECONDS[timeframe]), halo)
+    """Blocked series of bars that may carry their positions already."""
+    if "bar_no" not in bars.columns:
+        bars = number_bars(bars, TIMEFRAME_SECONDS[timeframe])
+    return blocked(bars, halo)
 
 
 def m15_series(spark: SparkSession, folder: str, halo: int = 32) -> Series:

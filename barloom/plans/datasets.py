@@ -7,25 +7,25 @@ from pyspark.sql import functions as F
 
 from barloom.operators import features, risk, scoring, signals
 from barloom.plans.common import m15_series, series
-from barloom.series import materialise, number_bars
 from barloom.sources import tables
+from barloom.staging import staged
 
 
 def daily_series(spark: SparkSession, folder: str):
-    bars = tables.day_bars(spark, folder).unionByName(tables.market_day_bars(spark, folder))
-    return series(bars, "1d")
+    """Regions and the market-wide benchmark as one set of daily series."""
+    return series(tables.day_bars(spark, folder).unionByName(tables.market_day_bars(spark, folder)), "1d")
 
 
 def daily_feature_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(features.daily_features(daily_series(spark, folder)).rows())
+    return staged("daily_features", spark, folder, lambda: features.daily_features(daily_series(spark, folder)).rows())
 
 
 def daily_score_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(signals.daily_scores(daily_series(spark, folder)))
+    return staged("daily_scores", spark, folder, lambda: signals.daily_scores(daily_feature_rows(spark, folder)))
 
 
 def intraday_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(features.intraday_features(m15_series(spark, folder)))
+    return staged("intraday_features", spark, folder, lambda: features.intraday_features(m15_series(spark, folder)))
 
 
 def snapshot_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,17 +36,12 @@ def snapshot_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def planned_signals(spark: SparkSession, folder: str, min_score: int = 60) -> DataFrame:
     """Snapshots from the score on, with their research plan."""
-    chosen = snapshot_rows(spark, folder).filter(F.col("radar_score") >= min_score)
-    return materialise(risk.plan_levels(risk.add_research_plan(chosen)))
-
-
-def numbered_m15(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(number_bars(tables.m15_bars(spark, folder), 900))
-
-
-def numbered_day(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(number_bars(tables.day_bars(spark, folder), 86400))
+    def build() -> DataFrame:
+        chosen = snapshot_rows(spark, folder).filter(F.col("radar_score") >= min_score)
+        return risk.plan_levels(risk.add_research_plan(chosen))
+    return staged(f"planned_signals_{min_score}", spark, folder, build)
 
 
 def orders(spark: SparkSession, folder: str, min_score: int = signals.MIN_SCORE) -> DataFrame:
-    return materialise(signals.daily_orders(daily_score_rows(spark, folder), min_score))
+    return staged(f"orders_{min_score}", spark, folder,
+                  lambda: signals.daily_orders(daily_score_rows(spark, folder), min_score))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import ingest, quality
-from barloom.plans import datasets as data
 from barloom.plans import sql
 from barloom.plans.common import r
 from barloom.plans.raw import RAW_SQL, raw_bars
@@ -138,8 +137,7 @@ SELECT symbol, CASE WHEN bool_or(g > INTERVAL 1 HOUR) THEN 'MISSING' ELSE 'OK' E
 FROM (SELECT symbol, ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS g FROM bars) GROUP BY 1
 UNION ALL SELECT DISTINCT 'unverified:' || symbol, 'UNKNOWN' FROM bars""")
 def v08(spark: SparkSession, folder: str) -> DataFrame:
-    from barloom.series import number_bars
-    numbered = number_bars(tables.hour_bars(spark, folder), 3600)
+    numbered = tables.hour_bars(spark, folder)
     known = quality.sequence_state(numbered, "60m", calendar_verified=True)
     unknown = quality.sequence_state(numbered, "60m", calendar_verified=False)
     return known.unionByName(unknown.withColumn("symbol", F.concat(F.lit("unverified:"), "symbol")))
@@ -219,7 +217,7 @@ def v14(spark: SparkSession, folder: str) -> DataFrame:
 SELECT symbol, ts, coalesce(abs(open / p - 1) * 100 > 25, false) AS suspected
 FROM (SELECT symbol, ts, open, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM bars)""")
 def v15(spark: SparkSession, folder: str) -> DataFrame:
-    s = blocked(data.numbered_day(spark, folder), halo=1)
+    s = blocked(tables.day_bars(spark, folder), halo=1)
     flag = quality.corporate_action(F.col("open"), F.lag("close").over(s.w))
     return s.add({"suspected": flag}).rows().select("symbol", "ts", "suspected")
 

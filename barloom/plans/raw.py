@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.series import materialise
 from barloom.sources import tables
+from barloom.staging import staged
 
 _PERIOD = 97
 RAW_SQL = """slots AS (SELECT *, epoch_ms(ts)::BIGINT // 900000 AS slot FROM bars),
@@ -22,14 +22,17 @@ raw AS (
 
 def raw_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Canonical raw bars; ``fault`` 1 is sent twice, 2 is revised, 3-7 break a rule, 8 comes late."""
-    bars = tables.m15_bars(spark, folder)
+    return staged("raw_bars", spark, folder, lambda: _plant(tables.m15_bars(spark, folder)))
+
+
+def _plant(bars: DataFrame) -> DataFrame:
     slot = F.floor(F.unix_seconds("ts") / 900)
     rows = bars.withColumns({"slot": slot, "fault": slot % _PERIOD})
     copies = F.when(F.col("fault").isin(1, 2), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rows = rows.withColumn("copy", F.explode(copies))
     fault, copy = F.col("fault"), F.col("copy")
     minute = F.expr("INTERVAL 1 MINUTE")
-    return materialise(rows.select(
+    return rows.select(
         "symbol", "ts", F.lit("15m").alias("timeframe"),
         F.when(fault == 6, 0.0).otherwise(F.col("open")).alias("open"),
         "high",
@@ -43,4 +46,4 @@ def raw_bars(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.lit("RESEARCH_ONLY")).alias("quality_flags"),
         (F.col("slot") * 4 + copy + F.when(fault == 8, 401).otherwise(0)).alias("ingest_seq"),
         "fault", "copy", "slot",
-    ))
+    )

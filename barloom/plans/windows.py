@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from barloom.functions import indicators as ind
 from barloom.functions import recursive as rec
 from barloom.functions import sessions
+from barloom.functions.bars import build_bars
 from barloom.operators.features import add_levels
 from barloom.plans import sql
 from barloom.plans.common import day_series, m15_series, r, series
 from barloom.series import Series
 from barloom.sources import tables
+from barloom.staging import staged
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -85,9 +87,11 @@ def _recursive(name: str, picks: dict[str, str], build: Callable[[Series], Serie
     """Register picks (output column -> oracle expression over ``ind``) of the level table."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        s = add_levels(day_series(spark, folder))
-        s = build(s) if build else s
-        return s.rows().select("symbol", "ts", *[r(c, 4).alias(c) for c in picks])
+        if build is None:
+            rows = staged("daily_levels", spark, folder, lambda: add_levels(day_series(spark, folder)).rows())
+        else:
+            rows = build(add_levels(day_series(spark, folder))).rows()
+        return rows.select("symbol", "ts", *[r(c, 4).alias(c) for c in picks])
 
     QUERIES[name] = run
     chosen = ", ".join(f"round({e}, 4) AS {c}" for c, e in picks.items())
@@ -234,18 +238,17 @@ WHERE m.r IS NOT NULL"""
 
 # --- bars -----------------------------------------------------------------------------------
 
-def _bars(load: Callable) -> Callable:
+def _bars(ticks: Callable, timeframe: str) -> Callable:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return load(spark, folder).select(
-            "symbol", "ts", "open", "high", "low", "close", "volume"
-        )
+        return build_bars(ticks(spark, folder), timeframe)
     return run
 
 
 _BAR_COLUMNS = "SELECT symbol, ts, open, high, low, close, volume FROM bars"
 for _name, _load, _cte in (
-    ("st01_bars_15m", tables.m15_bars, sql.M15), ("st01_bars_60m", tables.hour_bars, sql.HOUR),
-    ("st01_bars_60m_by_user", tables.user_hour_bars, sql.USER_HOUR), ("st01_bars_1d", tables.day_bars, sql.DAY),
+    ("st01_bars_15m", (tables.event_ticks, "15m"), sql.M15), ("st01_bars_60m", (tables.event_ticks, "60m"), sql.HOUR),
+    ("st01_bars_60m_by_user", (lambda s, f: tables.event_ticks(s, f, symbol="user_id"), "60m"), sql.USER_HOUR),
+    ("st01_bars_1d", (tables.line_ticks, "1d"), sql.DAY),
 ):
-    QUERIES[_name] = _bars(_load)
+    QUERIES[_name] = _bars(*_load)
     ORACLES[_name] = sql.with_(_cte) + _BAR_COLUMNS

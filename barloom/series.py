@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -159,10 +158,3 @@ def running(
 def _as_col(item: str | Column) -> Column:
     return F.col(item) if isinstance(item, str) else item
 
-
-def materialise(frame: DataFrame) -> DataFrame:
-    """Mark a frame that several branches of one plan read, so that it is computed once.
-
-    Cached partitions spill to disk, and a lost executor's partitions are recomputed from lineage.
-    """
-    return frame.persist(StorageLevel.MEMORY_AND_DISK)

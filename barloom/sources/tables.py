@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.bars import build_bars
-from barloom.series import materialise
+from barloom.schema import TIMEFRAME_SECONDS
+from barloom.series import number_bars
 from barloom.session import use_utc
+from barloom.staging import hold, staged
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,21 +65,28 @@ def supplier_regions(spark: SparkSession, folder: str) -> DataFrame:
     ).select("s_suppkey", "r_name", "n_name")
 
 
+def _bars(name: str, timeframe: str, spark: SparkSession, folder: str, ticks: Callable[[], DataFrame]) -> DataFrame:
+    """A stored bar table with each bar's position in its symbol."""
+    def build() -> DataFrame:
+        return number_bars(hold(build_bars(ticks(), timeframe)), TIMEFRAME_SECONDS[timeframe])
+    return staged(name, spark, folder, build)
+
+
 def m15_bars(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(build_bars(event_ticks(spark, folder), "15m"))
+    return _bars("m15_bars", "15m", spark, folder, lambda: event_ticks(spark, folder))
 
 
 def hour_bars(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(build_bars(event_ticks(spark, folder), "60m"))
+    return _bars("hour_bars", "60m", spark, folder, lambda: event_ticks(spark, folder))
 
 
 def user_hour_bars(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(build_bars(event_ticks(spark, folder, symbol="user_id"), "60m"))
+    return _bars("user_hour_bars", "60m", spark, folder, lambda: event_ticks(spark, folder, symbol="user_id"))
 
 
 def day_bars(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(build_bars(line_ticks(spark, folder), "1d"))
+    return _bars("day_bars", "1d", spark, folder, lambda: line_ticks(spark, folder))
 
 
 def market_day_bars(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(build_bars(line_ticks(spark, folder, market_wide=True), "1d"))
+    return _bars("market_day_bars", "1d", spark, folder, lambda: line_ticks(spark, folder, market_wide=True))

@@ -11,6 +11,7 @@ import time
 
 from barloom.plans.catalog import queries
 from barloom.session import build_session
+from barloom.staging import forget
 
 HEADLINES = (
     "st01_bars_15m", "st01_bars_60m_by_user", "st01_bars_1d", "ts01_sma", "ts02_ema", "ts04_macd",
@@ -30,7 +31,7 @@ def main() -> None:
     for name in HEADLINES:
         if name not in registered:
             continue
-        spark.catalog.clearCache()  # every query pays for its own inputs
+        forget(spark)  # every query pays for its own inputs
         began = time.perf_counter()
         registered[name](spark, folder).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - began, 3)
