@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom.operators import ingest, quality, universe
 from barloom.plans import sql
 from barloom.plans.common import r
-from barloom.plans.quality import NOW, NOW_SQL, RAW
+from barloom.plans.quality import NOW_SQL, RAW, now
 from barloom.plans.raw import raw_bars
 from barloom.schema import IDENTITY, VALUES
 from barloom.session import checkpoint_dir
@@ -426,12 +426,12 @@ _REFRESH = """SELECT s_name AS symbol, s_name AS name, s_nationkey::VARCHAR AS m
 
 @query("in07_universe_refresh", _REFRESH)
 def in07(spark: SparkSession, folder: str) -> DataFrame:
-    return universe.refresh(_universe(spark, folder), _accepted(spark, folder), "snap-2", NOW)
+    return universe.refresh(_universe(spark, folder), _accepted(spark, folder), "snap-2", now())
 
 
 @query("in07_membership_events", f"SELECT event, count(*) AS members FROM ({_REFRESH}) WHERE event IS NOT NULL GROUP BY 1")
 def in07_events(spark: SparkSession, folder: str) -> DataFrame:
-    merged = universe.refresh(_universe(spark, folder), _accepted(spark, folder), "snap-2", NOW)
+    merged = universe.refresh(_universe(spark, folder), _accepted(spark, folder), "snap-2", now())
     return universe.membership_events(merged).groupBy("event").agg(F.count(F.lit(1)).alias("members"))
 
 
@@ -468,7 +468,7 @@ SELECT (SELECT count(*) FROM raw) AS downloaded, (SELECT count(*) FROM done) AS
 def in09(spark: SparkSession, folder: str) -> DataFrame:
     raw = raw_bars(spark, folder)
     stored = raw.filter((F.col("copy") == 0) & (F.col("ts") < _stamp("2024-01-28")))
-    return ingest.update_summary(raw, stored, NOW)
+    return ingest.update_summary(raw, stored, now())
 
 
 # --- universe aggregates --------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import labels
@@ -16,7 +16,13 @@ from barloom.staging import staged
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-NOW = F.lit("2024-01-30 20:00:00").cast("timestamp")
+
+
+def now() -> Column:
+    """The moment the queries are asked at."""
+    return F.lit("2024-01-30 20:00:00").cast("timestamp")
+
+
 NOW_SQL = "TIMESTAMP '2024-01-30 20:00:00'"
 
 
@@ -101,7 +107,7 @@ BOTH = SIGNALS + OUTCOME_SQL + AUDIT_SQL
 
 def outcome_rows(spark: SparkSession, folder: str) -> DataFrame:
     return staged("outcomes", spark, folder, lambda: labels.label_all(
-        data.planned_signals(spark, folder), tables.m15_bars(spark, folder), NOW))
+        data.planned_signals(spark, folder), tables.m15_bars(spark, folder), now()))
 
 
 def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,12 +126,12 @@ def _out(frame: DataFrame) -> DataFrame:
 
 @query("l01_l03_labels", LABELS + _OUT_SQL + " WHERE horizon NOT IN ('EOD', 'NEXT_DAY')")
 def l01(spark: SparkSession, folder: str) -> DataFrame:
-    return _out(labels.label_bars(data.planned_signals(spark, folder), tables.m15_bars(spark, folder), NOW))
+    return _out(labels.label_bars(data.planned_signals(spark, folder), tables.m15_bars(spark, folder), now()))
 
 
 @query("l02_day_labels", LABELS + _OUT_SQL + " WHERE horizon IN ('EOD', 'NEXT_DAY')")
 def l02(spark: SparkSession, folder: str) -> DataFrame:
-    return _out(labels.label_days(data.planned_signals(spark, folder), tables.m15_bars(spark, folder), NOW))
+    return _out(labels.label_days(data.planned_signals(spark, folder), tables.m15_bars(spark, folder), now()))
 
 
 @query("l04_stop_first", LABELS + """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import ingest, quality
@@ -18,7 +18,13 @@ from barloom.sources import tables, vendor
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 RAW = sql.with_(sql.M15, RAW_SQL)
-NOW = F.lit("2024-01-30 12:00:00").cast("timestamp")
+
+
+def now() -> Column:
+    """The moment the queries are asked at."""
+    return F.lit("2024-01-30 12:00:00").cast("timestamp")
+
+
 NOW_SQL = "TIMESTAMP '2024-01-30 12:00:00'"
 
 
@@ -55,7 +61,7 @@ def _state(rows: DataFrame, now) -> DataFrame:
 
 @query("v01_validate_raw_series", RAW + "," + _SERIES_STATE.format(rows="raw", now=NOW_SQL) + _STATE_PICK)
 def v01_raw(spark: SparkSession, folder: str) -> DataFrame:
-    return _state(raw_bars(spark, folder), NOW)
+    return _state(raw_bars(spark, folder), now())
 
 
 @query("v01_validate_clean_series", sql.with_(
@@ -128,8 +134,8 @@ SELECT symbol, ts, {NOW_SQL} - ts > INTERVAL 30 MINUTE AS stale, {NOW_SQL} - ts
 def v07(spark: SparkSession, folder: str) -> DataFrame:
     frame = F.lit("15m")
     return tables.m15_bars(spark, folder).select(
-        "symbol", "ts", quality.is_stale(frame, F.col("ts"), NOW).alias("stale"),
-        quality.is_stale(frame, F.col("ts"), NOW, delayed=True).alias("stale_delayed"))
+        "symbol", "ts", quality.is_stale(frame, F.col("ts"), now()).alias("stale"),
+        quality.is_stale(frame, F.col("ts"), now(), delayed=True).alias("stale_delayed"))
 
 
 @query("v08_missing_bars", sql.with_(sql.HOUR) + """
@@ -153,7 +159,7 @@ def v09(spark: SparkSession, folder: str) -> DataFrame:
 @query("v10_completed_intraday", sql.with_(sql.M15) + f"""
 SELECT symbol, ts FROM bars WHERE ts + INTERVAL 20 MINUTE <= {NOW_SQL}""")
 def v10(spark: SparkSession, folder: str) -> DataFrame:
-    done = quality.completed_intraday(F.col("ts"), 15, NOW, delay_minutes=5)
+    done = quality.completed_intraday(F.col("ts"), 15, now(), delay_minutes=5)
     return tables.m15_bars(spark, folder).filter(done).select("symbol", "ts")
 
 
