@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from barloom.operators.analytics import TERMINAL_RESULTS, TRAINING_THRESHOLD
 from barloom.quantiles import exact_quantiles
 from barloom.series import running
+from barloom.staging import hold
 
 # Model inputs in order, heads, embargo and fit parameters.
 FEATURES = (
@@ -71,10 +72,11 @@ def chronological_split(rows: DataFrame, order: Sequence[str] = ("ts", "signal_i
 
 def fit_head(train: DataFrame, names: Sequence[str] = FEATURES, l2: float = L2) -> LogisticRegressionModel | None:
     """Logistic model on standardised features, intercept free; None without both classes."""
-    if train.select("label").distinct().count() < 2:
+    ends = train.agg(F.min("label").alias("a"), F.max("label").alias("b")).first()
+    if ends["a"] == ends["b"]:
         return None
     assembled = VectorAssembler(inputCols=list(names), outputCol="features").transform(train)
-    return LogisticRegression(regParam=l2, elasticNetParam=0.0, standardization=True, maxIter=200, tol=1e-9).fit(assembled)
+    return LogisticRegression(regParam=l2, elasticNetParam=0.0, standardization=True, maxIter=100, tol=1e-8).fit(assembled)
 
 
 def predict(model: LogisticRegressionModel, rows: DataFrame, name: str = "probability", names: Sequence[str] = FEATURES) -> DataFrame:
@@ -88,7 +90,7 @@ def fit_heads(rows: DataFrame) -> dict[str, LogisticRegressionModel]:
     """One model per head with both classes, fitted on the embargoed training part."""
     models = {}
     for head in HEADS:
-        split = chronological_split(head_rows(rows, head))
+        split = hold(chronological_split(head_rows(rows, head)))
         model = fit_head(split.filter(F.col("part") == "train"))
         if model is not None:
             models[head] = model

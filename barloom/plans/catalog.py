@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     "windows", "features", "quality", "ingestion", "risk_plans", "labels", "joins", "trades",
-    "analytics", "stateful", "ranking", "learning", "scalars",
+    "analytics", "stateful", "ranking", "learning", "scalars", "streams",
 )
 
 

@@ -11,7 +11,7 @@ from barloom.operators import learning
 from barloom.plans import datasets as data
 from barloom.plans.common import r
 from barloom.plans.labels import AUDITS, audit_rows
-from barloom.staging import staged
+from barloom.staging import hold, staged
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -68,11 +68,11 @@ def m05(spark: SparkSession, folder: str) -> DataFrame:
     rows = training_rows(spark, folder)
     out = None
     for head in learning.HEADS:
-        split = learning.chronological_split(learning.head_rows(rows, head))
+        split = hold(learning.chronological_split(learning.head_rows(rows, head)))
         model = learning.fit_head(split.filter(F.col("part") == "train"))
         if model is None:
             continue
-        test = learning.predict(model, split.filter(F.col("part") == "test"), "p").select("label", "p")
+        test = hold(learning.predict(model, split.filter(F.col("part") == "test"), "p").select("label", "p"))
         scores = learning.classification_metrics(test).crossJoin(F.broadcast(learning.probability_quality(test)))  # one row each
         scores = scores.withColumn("head", F.lit(head))
         out = scores if out is None else out.unionByName(scores)
