@@ -76,7 +76,7 @@ def fit_head(train: DataFrame, names: Sequence[str] = FEATURES, l2: float = L2)
     if ends["a"] == ends["b"]:
         return None
     assembled = VectorAssembler(inputCols=list(names), outputCol="features").transform(train)
-    return LogisticRegression(regParam=l2, elasticNetParam=0.0, standardization=True, maxIter=100, tol=1e-8).fit(assembled)
+    return LogisticRegression(regParam=l2, elasticNetParam=0.0, standardization=True, maxIter=100).fit(assembled)
 
 
 def predict(model: LogisticRegressionModel, rows: DataFrame, name: str = "probability", names: Sequence[str] = FEATURES) -> DataFrame:

@@ -330,6 +330,7 @@ def evaluate(signals: DataFrame, bars: DataFrame, now: Column, policy: Policy =
     in_trade = F.when(F.col("entry_bar").isNotNull(), F.col("_completed") - F.col("entry_bar") + 1).otherwise(0)
     return table.withColumns({
         "bars_in_trade": in_trade.cast("long"), "action": action,
+        "mfe_r": F.coalesce("mfe_r", F.lit(0.0)), "mae_r": F.coalesce("mae_r", F.lit(0.0)),
         "health": F.coalesce("health", F.lit(HEALTH_GOOD)), "highest_target": F.coalesce("highest_target", F.lit(0)),
     }).drop("_completed", "entry_bar"), log
 

@@ -157,6 +157,41 @@ def st06_entries(spark: SparkSession, folder: str) -> DataFrame:
         F.max(F.when(F.col("i") == F.col("e"), F.col("bar_ts"))).alias("entry_time"), r(F.first("entry")).alias("entry_price"))
 
 
+# The rules by definition: one recursion step per bar of a setup.
+WALK_SQL = PRE_ENTRY_SQL.replace("b.e, b.vwap, b.mom, b.rv\n", "b.e, b.vwap, b.mom, b.rv, b.atr14, g.t2, g.t3, g.ts AS sts\n").replace(
+    "e, sum((high + low + close)", "e, avg(tr) OVER (PARTITION BY s.symbol ORDER BY s.ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS atr14, sum((high + low + close)").replace(
+    "FROM num s JOIN ema", "FROM (SELECT *, greatest(high - low, coalesce(abs(high - lag(close) OVER (PARTITION BY symbol ORDER BY ts)), 0), coalesce(abs(low - lag(close) OVER (PARTITION BY symbol ORDER BY ts)), 0)) AS tr FROM num) s JOIN ema") + """,
+nx AS MATERIALIZED (SELECT *, lead(open) OVER w AS no, lead(bts) OVER w AS nts FROM dc WINDOW w AS (PARTITION BY signal_id ORDER BY i)),
+walk AS (
+  SELECT signal_id, 0::BIGINT AS i, 'PRE' AS ph, NULL::DOUBLE AS entry, NULL::TIMESTAMP AS ets, NULL::BIGINT AS ei, stop AS act, 0 AS hi, 0::DOUBLE AS mfe, 0::DOUBLE AS mae, NULL::VARCHAR AS outcome, NULL::DOUBLE AS xp, NULL::TIMESTAMP AS xts
+  FROM sig WHERE zone_low IS NOT NULL
+  UNION ALL
+  SELECT signal_id, i, CASE WHEN oc IS NOT NULL THEN 'DONE' WHEN inside THEN 'IN' WHEN d = 'ENTRY_READY' THEN 'READY' ELSE ph END, en, et, e2, act2, hi2, mf, ma, oc, xprice, xtime
+  FROM (SELECT w.signal_id, b.i, w.ph, b.d,
+      CASE WHEN w.ph = 'READY' THEN CASE WHEN b.open > zone_high + greatest(b.open - b.stop, 0) * 0.5 THEN 'CHASED' WHEN b.open - b.stop <= 0 OR (t1 - b.open) / nullif(b.open - b.stop, 0) < 2 THEN 'NO' ELSE 'IN' END END AS g,
+      coalesce(w.ph = 'IN' OR g = 'IN', false) AS inside, CASE WHEN g = 'IN' THEN b.open ELSE w.entry END AS en, CASE WHEN g = 'IN' THEN b.bts ELSE w.ets END AS et, CASE WHEN g = 'IN' THEN b.i ELSE w.ei END AS e2,
+      en - b.stop AS risk, CASE WHEN inside THEN greatest(w.mfe, (b.high - en) / risk) ELSE w.mfe END AS mf, CASE WHEN inside THEN least(w.mae, (b.low - en) / risk) ELSE w.mae END AS ma,
+      inside AND b.low <= w.act AS hs, CASE WHEN inside AND NOT hs THEN greatest(w.hi, CASE WHEN b.high >= t3 THEN 3 WHEN b.high >= t2 THEN 2 WHEN b.high >= t1 THEN 1 ELSE 0 END) ELSE w.hi END AS hi2,
+      inside AND NOT hs AND hi2 = 3 AS x3, CASE WHEN hi2 >= 1 AND w.hi = 0 THEN greatest(w.act, en) ELSE w.act END AS act1,
+      CASE WHEN inside AND NOT hs AND NOT x3 AND hi2 >= 1 THEN greatest(act1, least(b.close - 2 * atr14, b.close)) ELSE act1 END AS act2, b.i - e2 + 1 AS held,
+      CASE WHEN inside AND NOT hs AND NOT x3 THEN CASE WHEN held >= 4 AND hi2 = 0 AND b.mom < -0.01 AND b.close < b.vwap THEN 'THESIS' WHEN held >= 16 THEN 'TIME' END END AS lv, lv IS NOT NULL AND b.no IS NOT NULL AS cl,
+      CASE WHEN hs THEN w.act WHEN x3 THEN t3 WHEN cl THEN b.no END AS xprice, CASE WHEN hs OR x3 THEN b.bts WHEN cl THEN b.nts END AS xtime, (xprice - en) / risk AS rr,
+      CASE WHEN w.ph = 'PRE' AND b.d = 'CANCELLED_DECAY' THEN 'NO_ENTRY_DECAY' WHEN w.ph = 'PRE' AND b.d = 'CANCELLED_STRUCTURE' THEN 'NO_ENTRY_STRUCTURE' WHEN w.ph = 'PRE' AND b.d = 'EXPIRED' THEN 'NO_ENTRY_EXPIRED'
+        WHEN w.ph = 'PRE' AND b.d = 'CHASED' OR g = 'CHASED' THEN 'CHASED' WHEN g = 'NO' THEN 'NO_ENTRY_STRUCTURE' WHEN hs AND w.hi = 0 THEN 'STOP_BEFORE_H1' WHEN hs THEN 'TRAILING_EXIT' WHEN x3 THEN 'H3_EXIT'
+        WHEN cl AND lv = 'THESIS' THEN 'THESIS_INVALIDATED' WHEN cl AND rr > 0.1 THEN 'TIME_EXIT_PROFIT' WHEN cl AND rr < -0.1 THEN 'TIME_EXIT_LOSS' WHEN cl THEN 'TIME_EXIT_FLAT' END AS oc
+    FROM walk w JOIN nx b ON b.signal_id = w.signal_id AND b.i = w.i + 1 WHERE w.ph <> 'DONE') q),
+fin AS MATERIALIZED (SELECT w.*, s.stop, s.ts AS sts, s.symbol, (xp - entry) / (entry - s.stop) AS rr FROM walk w JOIN sig s ON s.signal_id = w.signal_id QUALIFY row_number() OVER (PARTITION BY w.signal_id ORDER BY w.i DESC) = 1)"""
+
+
+@query("st06_lifecycle_results", SIGNALS + WALK_SQL + """
+SELECT signal_id, outcome, ets AS entry_time, round(entry, 6) AS entry_price, xts AS exit_time, round(xp, 4) AS exit_price, hi AS highest_target, round(mfe, 4) AS mfe_r, round(mae, 4) AS mae_r,
+  round(rr, 4) AS realized_r, CASE WHEN entry IS NOT NULL THEN round(act, 4) END AS active_stop FROM fin""")
+def st06_results(spark: SparkSession, folder: str) -> DataFrame:
+    setups, _ = lifecycle_tables(spark, folder)
+    return setups.select("signal_id", "outcome", "entry_time", r("entry_price").alias("entry_price"), "exit_time", r("exit_price", 4).alias("exit_price"), "highest_target",
+                         *[r(c, 4).alias(c) for c in ("mfe_r", "mae_r", "realized_r", "active_stop")])
+
+
 @query("st07_event_sync")
 def st07(spark: SparkSession, folder: str) -> DataFrame:
     """Only what a run at noon of 15 January had not written, for setups still open then."""
@@ -178,14 +213,18 @@ def st08(spark: SparkSession, folder: str) -> DataFrame:
                          F.concat_ws(">", F.transform("events", lambda e: e["event_type"])).alias("log"))
 
 
-@query("a10_lifecycle_totals")
+@query("a10_lifecycle_totals", SIGNALS + WALK_SQL + """,
+v AS (SELECT list_sort(list(rr - 0.002)) AS l, avg(rr - 0.002) AS m FROM fin WHERE outcome IS NOT NULL AND rr IS NOT NULL),
+h AS (SELECT f.signal_id, min(b.bts) AS t FROM fin f JOIN nx b ON b.signal_id = f.signal_id AND f.hi >= 1 AND b.i >= f.ei AND b.high >= b.t1 GROUP BY 1)
+SELECT count(*) AS planned, count(ets) AS entry_activated, round(count(ets) * 1.0 / count(*), 6) AS activation_rate, round(any_value(m), 6) AS expected_r, round(any_value(l[len(l) // 2 + 1]), 6) AS median_realized_r,
+  round(median(date_diff('second', sts, ets) / 60.0), 6) AS median_minutes_to_entry, round(median(date_diff('second', ets, t) / 60.0), 6) AS median_minutes_to_h1 FROM fin LEFT JOIN h ON h.signal_id = fin.signal_id, v""")
 def a10(spark: SparkSession, folder: str) -> DataFrame:
     totals, _ = lifecycle.analytics(*lifecycle_tables(spark, folder))
     return totals.select("planned", "entry_activated", *[r(c).alias(c) for c in (
         "activation_rate", "expected_r", "median_realized_r", "median_minutes_to_entry", "median_minutes_to_h1")])
 
 
-@query("a10_lifecycle_outcomes")
+@query("a10_lifecycle_outcomes", SIGNALS + WALK_SQL + "SELECT outcome, count(*) AS setups FROM fin WHERE outcome IS NOT NULL GROUP BY 1")
 def a10_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.analytics(*lifecycle_tables(spark, folder))[1]
 

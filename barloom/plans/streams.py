@@ -13,7 +13,8 @@ from barloom.plans.ingestion import _CLASSES, _ERRORS, scratch
 from barloom.plans.quality import RAW
 from barloom.plans.raw import raw_bars
 from barloom.plans.stateful import ORACLES as STATEFUL
-from barloom.plans.stateful import context_rows, lifecycle_tables
+from barloom.operators.labels import completed
+from barloom.plans.stateful import context_rows, lifecycle_tables, now
 from barloom.session import use_utc
 from barloom.sources import tables
 from barloom.streaming import bars as stream_bars
@@ -87,7 +88,7 @@ def st04_stream(spark: SparkSession, folder: str) -> DataFrame:
 def st06_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Events written by a stream of three bar files, beside those of the batch run (equal counts)."""
     out = scratch(spark, "stream-lifecycle")
-    bars = context_rows(spark, folder).select("symbol", "ts", "bar_no", "open", "high", "low", "close", "volume",
+    bars = completed(context_rows(spark, folder), now()).select("symbol", "ts", "bar_no", "open", "high", "low", "close", "volume",
                                               "ctx_momentum", "ctx_rvol", "ctx_atr", "ctx_ema20", "ctx_vwap")
     cuts = ["2024-01-01", "2024-01-12", "2024-01-21", "2024-02-01"]
     for a, b in zip(cuts, cuts[1:]):
