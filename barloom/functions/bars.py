@@ -2,42 +2,39 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.schema import TIMEFRAME_SECONDS
 
 
-def _arrival(width: int) -> Column:
-    """Order of a tick inside its bar as one decimal, so the aggregate stays a hash aggregate.
+def arrival_order(ts: Column, tie: Column) -> Column:
+    """Arrival order inside any bar of up to a day as one long.
 
-    Offset in the bar (at most 11 digits of microseconds) leads, the tick sequence follows.
+    37 bits hold the microsecond of the day; the lower 26 bits of ``tie`` order ticks of the same
+    microsecond.  A fixed-width key keeps the bar aggregate a hash aggregate; a struct would turn
+    it into a sort of all ticks.
     """
-    offset = F.unix_micros("ts") % F.lit(width * 1_000_000)
-    return (
-        offset.cast("decimal(11,0)") * F.lit(Decimal(10**26))
-        + F.col("seq").cast("decimal(26,0)")
-    ).cast("decimal(38,0)")
+    return (F.unix_micros(ts) % F.lit(86_400_000_000)) * F.lit(2**26) + tie.cast("long") % F.lit(2**26)
 
 
 def build_bars(ticks: DataFrame, timeframe: str, watermark: str | None = None) -> DataFrame:
     """symbol, ts, open, high, low, close, volume per timeframe.
 
+    Ticks carry symbol, ts, price, volume and ``seq``, a long that orders the ticks of a bar.
+
     ``watermark`` (for example "15 minutes") makes the same plan append-only on a stream: a bar is
     emitted once its interval plus the delay has passed.
     """
     width = TIMEFRAME_SECONDS[timeframe]
     if watermark:
         ticks = ticks.withWatermark("ts", watermark)
-    at = _arrival(width)
     slot = F.window("ts", f"{width} seconds")
     bars = ticks.groupBy("symbol", slot.alias("slot")).agg(
-        F.min_by("price", at).alias("open"),
+        F.min_by("price", "seq").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", at).alias("close"),
+        F.max_by("price", "seq").alias("close"),
         F.sum("volume").alias("volume"),
     )
     return bars.select(

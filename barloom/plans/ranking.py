@@ -157,7 +157,8 @@ def j07(spark: SparkSession, folder: str) -> DataFrame:
 SELECT t.event_id, t.symbol, t.ts, h.close AS last_close, h.ts AS bar_ts FROM ticks t ASOF LEFT JOIN hours h ON h.symbol = t.symbol AND t.ts >= h.ts + INTERVAL 1 HOUR""")
 def j08(spark: SparkSession, folder: str) -> DataFrame:
     """Every event with the close of the last hour that had ended before it."""
-    events = tables.event_ticks(spark, folder).select("symbol", "ts", F.col("seq").alias("event_id"))
+    events = tables.table(spark, folder, "events").select(
+        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     hours = tables.hour_bars(spark, folder).select(
         "symbol", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.col("close").alias("last_close"), F.col("ts").alias("bar_ts"))
     out = joins.as_of(events, hours, ["symbol"], F.floor(F.unix_seconds("ts") / 86400), ["last_close", "bar_ts"], tie="event_id")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.bars import arrival_order
 from barloom.plans import datasets as data
 from barloom.plans import sql
 from barloom.plans.ingestion import _CLASSES, _ERRORS, scratch
@@ -43,7 +44,7 @@ def st02_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = tables.table(spark, folder, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     ticks = events.select(
-        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
+        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), arrival_order(F.col("ts").cast("timestamp"), F.col("event_id")).alias("seq"),
         (100 + F.col("value") / 50).alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"))
     out = scratch(spark, "stream-bars")
     run = stream_bars.write_once(stream_bars.stream_bars(ticks, "15m"), f"{out}/data", f"{out}/log")
