@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +43,12 @@ def daily_orders(scores: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
         "symbol", F.col("ts").alias("signal_time"), "bar_no", F.col("entry").alias("expected_entry"),
         "stop", "target_1", "target_2", "score", F.lit(100).alias("data_quality"), "regime",
     )
+
+
+def apply_strategy(features: DataFrame, strategy: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Orders of a user strategy: a function from a feature table to rows like ``daily_orders``."""
+    orders = strategy(features)
+    missing = {"symbol", "signal_time", "bar_no", "expected_entry", "stop", "target_1", "target_2", "score"} - set(orders.columns)
+    if missing:
+        raise ValueError(f"strategy output lacks {sorted(missing)}")
+    return orders
