@@ -72,10 +72,9 @@ def daily_features(s: Series) -> Series:
 
 
 def last_bar(frame: DataFrame) -> DataFrame:
-    """The newest row of every symbol, found with partial aggregation."""
-    others = [c for c in frame.columns if c != "symbol"]
-    newest = frame.groupBy("symbol").agg(F.max_by(F.struct(*others), F.col("ts")).alias("_row"))
-    return newest.select("symbol", *[F.col(f"_row.{c}").alias(c) for c in others])
+    """The newest row of every symbol; times are unique within a symbol."""
+    newest = frame.groupBy("symbol").agg(F.max("ts").alias("ts"))
+    return frame.join(newest, ["symbol", "ts"])
 
 
 def add_benchmark_return(bars: DataFrame, market: DataFrame) -> DataFrame:

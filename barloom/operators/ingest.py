@@ -96,18 +96,20 @@ def _micro(name: str) -> Column:
 
 
 def dataset_hash(bars: DataFrame, step_seconds: int) -> DataFrame:
-    """Order-free SHA-256 of a set of bars, built in levels: slice of a symbol, symbol, data set.
+    """Order-free SHA-256 of a set of bars, built in levels: slice of a symbol, symbol, the 4,096
+    groups of symbols whose hash starts alike, data set.
 
     A level-one group is one slice of one symbol, so at most SLICE_BARS bars (per copy).
     """
     line = F.concat_ws("|", "symbol", F.unix_seconds("ts").cast("string"), *[_micro(v).cast("string") for v in VALUES])
     rows = bars.select("symbol", epoch_slice("ts", step_seconds * SLICE_BARS).alias("_slice"), F.sha2(line, 256).alias("_h"))
 
-    def fold(frame: DataFrame, *keys: str) -> DataFrame:
+    def fold(frame: DataFrame, *keys: str | Column) -> DataFrame:
         joined = F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("_h"))), 256).alias("_h")
         return frame.groupBy(*keys).agg(joined)
 
-    return fold(fold(fold(rows, "symbol", "_slice"), "symbol")).select(F.col("_h").alias("dataset_hash"))
+    symbols = fold(fold(rows, "symbol", "_slice"), "symbol")
+    return fold(fold(symbols, F.substring("_h", 1, 3).alias("_p"))).select(F.col("_h").alias("dataset_hash"))
 
 
 # --- vendor conversion -----------------------------------------------------------------------

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -56,7 +58,7 @@ def chronological_split(rows: DataFrame, order: Sequence[str] = ("ts", "signal_i
     Positions come from a two-level count, so no task orders the whole table.
     """
     base = rows.withColumn("_one", F.lit(1))
-    slices = F.floor(F.unix_micros(order[0]) / 86_400_000_000)
+    slices = F.floor(F.unix_micros(order[0]) / 900_000_000)
     numbered = running(base, [], list(order), slices, {"_pos": ("_one", "sum")}).withColumn("_pos", F.col("_pos") - 1)
     n = rows.agg(F.count(F.lit(1)).alias("_n"))
     rows = numbered.crossJoin(F.broadcast(n))  # one row
@@ -86,15 +88,22 @@ def predict(model: LogisticRegressionModel, rows: DataFrame, name: str = "probab
     return scored.select(*keep, vector_to_array("probability")[1].alias(name))
 
 
-def fit_heads(rows: DataFrame) -> dict[str, LogisticRegressionModel]:
-    """One model per head with both classes, fitted on the embargoed training part."""
-    models = {}
-    for head in HEADS:
-        split = hold(chronological_split(head_rows(rows, head)))
-        model = fit_head(split.filter(F.col("part") == "train"))
-        if model is not None:
-            models[head] = model
-    return models
+def split_heads(rows: DataFrame) -> dict[str, DataFrame]:
+    """The chronological split of every head's population, kept for fitting and evaluation."""
+    return {head: hold(chronological_split(head_rows(rows, head))) for head in HEADS}
+
+
+def fit_heads(splits: dict[str, DataFrame]) -> dict[str, LogisticRegressionModel]:
+    """One model per head with both classes, fitted on the embargoed training part.
+
+    The fits are independent series of small jobs, so they are submitted side by side.
+    """
+    def one(head: str) -> LogisticRegressionModel | None:
+        return fit_head(splits[head].filter(F.col("part") == "train"))
+
+    with ThreadPool(len(splits)) as pool:
+        fitted = pool.map(inheritable_thread_target(next(iter(splits.values())).sparkSession)(one), list(splits))
+    return {head: model for head, model in zip(splits, fitted) if model is not None}
 
 
 def score_signals(models: dict[str, LogisticRegressionModel], signals: DataFrame, done: DataFrame | None = None) -> DataFrame:

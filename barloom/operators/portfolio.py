@@ -18,7 +18,7 @@ ANNUAL = 252
 YEAR_SECONDS = 365.2425 * 86400
 
 
-def _time_slice(column: str, days: int = 64) -> Column:
+def _time_slice(column: str, days: int = 1) -> Column:
     return F.floor(F.unix_micros(column) / (days * 86_400_000_000))
 
 

@@ -399,8 +399,9 @@ def in10(spark: SparkSession, folder: str) -> DataFrame:
 h AS (SELECT symbol, epoch_ms(ts)::BIGINT // 1000 // (900 * 1024) AS s, sha256(concat_ws('|', symbol, (epoch_ms(ts)::BIGINT // 1000)::VARCHAR, round(open * 1000000)::BIGINT::VARCHAR,
   round(high * 1000000)::BIGINT::VARCHAR, round(low * 1000000)::BIGINT::VARCHAR, round(close * 1000000)::BIGINT::VARCHAR, round(volume * 1000000)::BIGINT::VARCHAR)) AS x FROM bars),
 a AS (SELECT symbol, s, sha256(string_agg(x, chr(10) ORDER BY x)) AS x FROM h GROUP BY 1, 2),
-b AS (SELECT symbol, sha256(string_agg(x, chr(10) ORDER BY x)) AS x FROM a GROUP BY 1)
-SELECT sha256(string_agg(x, chr(10) ORDER BY x)) AS dataset_hash FROM b""")
+b AS (SELECT symbol, sha256(string_agg(x, chr(10) ORDER BY x)) AS x FROM a GROUP BY 1),
+c AS (SELECT sha256(string_agg(x, chr(10) ORDER BY x)) AS x FROM b GROUP BY substr(x, 1, 3))
+SELECT sha256(string_agg(x, chr(10) ORDER BY x)) AS dataset_hash FROM c""")
 def in06(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.dataset_hash(tables.m15_bars(spark, folder), 900)
 

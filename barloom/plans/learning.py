@@ -65,14 +65,10 @@ def m03(spark: SparkSession, folder: str) -> DataFrame:
 @query("m05_logistic_heads")
 def m05(spark: SparkSession, folder: str) -> DataFrame:
     """Every head fitted and measured on its test part."""
-    rows = training_rows(spark, folder)
+    splits = learning.split_heads(training_rows(spark, folder))
     out = None
-    for head in learning.HEADS:
-        split = hold(learning.chronological_split(learning.head_rows(rows, head)))
-        model = learning.fit_head(split.filter(F.col("part") == "train"))
-        if model is None:
-            continue
-        test = hold(learning.predict(model, split.filter(F.col("part") == "test"), "p").select("label", "p"))
+    for head, model in learning.fit_heads(splits).items():
+        test = hold(learning.predict(model, splits[head].filter(F.col("part") == "test"), "p").select("label", "p"))
         scores = learning.classification_metrics(test).crossJoin(F.broadcast(learning.probability_quality(test)))  # one row each
         scores = scores.withColumn("head", F.lit(head))
         out = scores if out is None else out.unionByName(scores)
@@ -85,7 +81,7 @@ def m06(spark: SparkSession, folder: str) -> DataFrame:
     rows = training_rows(spark, folder)
     signals = data.planned_signals(spark, folder)
     done = signals.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp")).select("signal_id")
-    return learning.score_signals(learning.fit_heads(rows), signals, done)
+    return learning.score_signals(learning.fit_heads(learning.split_heads(rows)), signals, done)
 
 
 @query("m07_base_rate", TRAIN + "SELECT round(avg(label), 6) AS base_rate FROM sp WHERE head = 'entry' AND part = 'train'")

@@ -200,7 +200,7 @@ def _metrics_view(out: DataFrame) -> DataFrame:
 @query("a11_trade_metrics", TRADES + _METRICS_SQL + _METRICS_PICK + ", number_of_trades, coalesce(max_consecutive_losses, 0) AS max_consecutive_losses, coalesce(max_consecutive_wins, 0) AS max_consecutive_wins FROM mt")
 def a11(spark: SparkSession, folder: str) -> DataFrame:
     rows = portfolio.returns_of(trade_rows(spark, folder))
-    out = portfolio.trade_metrics(rows, ["exit_time", "trade_id"], F.year("exit_time") * 12 + F.month("exit_time"))
+    out = portfolio.trade_metrics(rows, ["exit_time", "trade_id"], F.floor(F.unix_seconds("exit_time") / 86400))
     return _metrics_view(out)
 
 
