@@ -14,7 +14,7 @@ from barloom.plans import sql
 from barloom.plans.common import r
 from barloom.plans.quality import NOW_SQL, RAW, now
 from barloom.plans.raw import raw_bars
-from barloom.schema import IDENTITY, VALUES
+from barloom.schema import VALUES
 from barloom.session import checkpoint_dir
 from barloom.sources import files, sinks, tables, vendor
 

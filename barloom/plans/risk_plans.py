@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.operators import features as feat
 from barloom.operators import quality, risk
 from barloom.plans import datasets as data
-from barloom.plans.common import r
+
 from barloom.plans.features import SCORES
 from barloom.plans.labels import signals_sql
 

@@ -26,7 +26,6 @@ def advance_setups(signals: Callable[[], DataFrame], path: str, policy: Policy =
     batch reads those only.  Evaluation is deterministic on old bars, so only events beyond the
     stored ones are appended; a retried batch replaces its own folder.
     """
-    span = policy.entry_bars + policy.max_holding
     terminal = ("CHASED", "NO_ENTRY", "EXPIRED", "CANCELLED_DECAY", "CANCELLED_STRUCTURE", "HARD_STOP", "TRAILING_STOP", "TIME_EXIT", "THESIS_INVALIDATED", "H3_REACHED")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -48,5 +47,4 @@ def advance_setups(signals: Callable[[], DataFrame], path: str, policy: Policy =
         fresh = lifecycle.new_events(lifecycle.events(rows, live, policy), log)
         fresh.write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
 
-    apply.span = span  # how many bars a setup may still read
     return apply
