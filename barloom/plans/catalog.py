@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.plans.oracle_types import typed
+
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     "windows", "features", "quality", "ingestion", "risk_plans", "labels", "joins", "trades",
@@ -32,4 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _gather("ORACLES")
+    return {name: typed(name, text) for name, text in _gather("ORACLES").items()}

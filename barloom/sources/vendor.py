@@ -47,7 +47,7 @@ def _map(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.join(symbols, "vendor_symbol", "left")
 
 
-def vendor_symbol(symbol: Column, suffix: str = ".IS", index: str = "XU100") -> Column:
+def vendor_symbol(symbol: Column, suffix: str = ".IS") -> Column:
     """Canonical to vendor code; null for anything but plain letters and digits."""
     code = F.upper(F.trim(symbol))
     return F.when(code.rlike("^[A-Z0-9]+$"), F.concat(code, F.lit(suffix)))
