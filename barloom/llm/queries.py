@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm import quality_rules as rules
 from barloom.llm.packing import pack
 from barloom.llm.tables import table
 from barloom.llm.token_counts import token_counts
@@ -21,7 +22,11 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.quality_rules(table(spark, folder, "documents")).drop("reason")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op5_token_counts, op6_packing)
+    f.__name__: f for f in (op5_token_counts, op6_packing, op7_quality_rules)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_quality_rules": rules.SQL}
