@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import quality_rules as rules
 from barloom.llm.packing import pack
+from barloom.llm.quality_model import quality
 from barloom.llm.tables import table
 from barloom.llm.token_counts import token_counts
 
@@ -26,7 +27,11 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality_rules(table(spark, folder, "documents")).drop("reason")
 
 
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op5_token_counts, op6_packing, op7_quality_rules)
+    f.__name__: f for f in (op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier)
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": rules.SQL}
