@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import quality_rules as rules
+from barloom.llm.html_text import extract
 from barloom.llm.packing import pack
 from barloom.llm.quality_model import quality
 from barloom.llm.tables import table
@@ -31,7 +32,11 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier)
+    f.__name__: f for f in (op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": rules.SQL}
