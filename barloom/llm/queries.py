@@ -12,6 +12,7 @@ from barloom.llm.packing import pack
 from barloom.llm.quality_model import quality
 from barloom.llm.tables import table
 from barloom.llm.token_counts import token_counts
+from barloom.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +37,11 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op10_html_extraction)
+    f.__name__: f for f in (op3_toxicity, op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": rules.SQL}
