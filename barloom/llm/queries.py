@@ -10,6 +10,8 @@ from barloom.llm import quality_rules as rules
 from barloom.llm.html_text import extract
 from barloom.llm.packing import pack
 from barloom.llm.quality_model import quality
+from barloom.llm.substrings import drop_repeated_words
+from barloom.llm.suffixes import drop_repeated_bytes
 from barloom.llm.tables import table
 from barloom.llm.token_counts import token_counts
 from barloom.llm.toxicity import toxicity
@@ -37,11 +39,19 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_words(table(spark, folder, "documents")).drop("kept")
+
+
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_bytes(table(spark, folder, "documents")).drop("kept")
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_toxicity, op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op10_html_extraction)
+    f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_suffix_dedup, op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": rules.SQL}
