@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import quality_rules as rules
 from barloom.llm.html_text import extract
+from barloom.llm.minhash import near_duplicates
 from barloom.llm.packing import pack
 from barloom.llm.quality_model import quality
 from barloom.llm.substrings import drop_repeated_words
@@ -35,6 +36,10 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
 
@@ -52,6 +57,6 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_suffix_dedup, op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op10_html_extraction)
+    f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_suffix_dedup, op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op9_minhash_near_dedup, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": rules.SQL}
