@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import quality_rules as rules
+from barloom.llm.decontaminate import leaks
 from barloom.llm.html_text import extract
 from barloom.llm.minhash import near_duplicates
 from barloom.llm.packing import pack
@@ -44,6 +45,10 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
 
 
+def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return drop_repeated_words(table(spark, folder, "documents")).drop("kept")
 
@@ -57,6 +62,6 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_suffix_dedup, op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op9_minhash_near_dedup, op10_html_extraction)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_dedup, op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op9_minhash_near_dedup, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": rules.SQL}
