@@ -9,12 +9,12 @@ order changes the time and the name of the first reason, never the verdict.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.tables import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
 WINDOW = 8
@@ -49,6 +49,15 @@ def _repeated_words(words: Column, hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), spans).otherwise(0).cast("long")
 
 
+def _joined(column: str, ahead: int) -> Column:
+    """Hash of each element with the one ``ahead`` places on.
+
+    The lambda names no other column: a filter that the optimizer moves below this projection would
+    put that column's expression inside the loop.
+    """
+    return F.zip_with(column, F.slice(column, ahead + 1, F.size(column)), lambda a, b: F.xxhash64(a, b))
+
+
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, the text as ``_text`` and the base counts (see ``quality_rules``)."""
     lines = F.filter(F.split("_text", "\n"), lambda x: F.rlike(x, F.lit(WORD)))
@@ -56,10 +65,10 @@ def measures(docs: DataFrame) -> DataFrame:
         docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
         .withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
         .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("_hashes", F.slice(
-            F.transform("_words", lambda w, i: F.xxhash64(F.slice("_words", i + 1, WINDOW))),
-            1, F.greatest(F.size("_words") - (WINDOW - 1), F.lit(0)),
-        ))
+        .withColumn("_ones", F.transform("_words", lambda w: F.xxhash64(w)))
+        .withColumn("_twos", _joined("_ones", 1))
+        .withColumn("_fours", _joined("_twos", 2))
+        .withColumn("_hashes", F.slice(_joined("_fours", 4), 1, F.greatest(F.size("_words") - (WINDOW - 1), F.lit(0))))
         .withColumn("_lines", lines)
         .select(
             "doc_id", "_text", "n_words",
@@ -93,25 +102,22 @@ def rules() -> dict[str, Column]:
 
 
 def measured_order(docs: DataFrame, conditions: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejections per second, both measured on a sample of ``sample_rows`` rows."""
-    sample = measures(docs.sample(0.1, seed=7).limit(sample_rows)).filter(~F.col("base_failed")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sample.count()
-        gain = {}
-        for name, rule in conditions.items():
-            rejected = sample.agg(F.count_if(rule))
-            rejected.collect()  # compiles
-            began = time.perf_counter()
-            n = rejected.collect()[0][0]
-            gain[name] = n / max(time.perf_counter() - began, 1e-6)
-    finally:
-        sample.unpersist()
+    """Rule names by rejections per second, both measured on a sample of about ``sample_rows`` rows."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = written(docs.sparkSession, measures(docs.sample(share, seed=7)), "sample").filter(~F.col("base_failed"))
+    gain = {}
+    for name, rule in conditions.items():
+        rejected = sample.agg(F.count_if(rule))
+        rejected.collect()  # compiles
+        began = time.perf_counter()
+        n = rejected.collect()[0][0]
+        gain[name] = n / max(time.perf_counter() - began, 1e-6)
     return sorted(conditions, key=lambda name: -gain[name])
 
 
 def cascade(order: list[str], conditions: dict[str, Column]) -> Column:
     """Name of the first rule that rejects, null if none does."""
-    out: Column | Callable = F.when(F.col("base_failed"), F.lit("base"))
+    out = F.when(F.col("base_failed"), F.lit("base"))
     for name in order:
         out = out.when(conditions[name], F.lit(name))
     return out
