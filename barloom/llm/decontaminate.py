@@ -231,3 +231,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = texts(docs).mapInArrow(run, SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a leak, with all their columns (see ``leaks``)."""
+    for part in _slices(benchmark):
+        items = docs.sparkSession.sparkContext.broadcast(part)
+
+        def keep(batches, items=items):
+            for batch in batches:
+                for piece in byte_balanced(batch, "text", 1 << 20):
+                    mask = np.ones(piece.num_rows, bool)
+                    mask[[row[0] for row in items.value.search(*plain_words(piece.column("text")))]] = False
+                    yield piece.filter(pa.array(mask))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

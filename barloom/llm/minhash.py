@@ -215,3 +215,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; of rows with one id, one stays."""
+    ids = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))

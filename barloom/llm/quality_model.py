@@ -110,6 +110,30 @@ def logits(model: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return total / np.maximum(count, 1) + float(model[-1])
 
 
+def _probability(model: np.ndarray, column: pa.Array) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logits(model, *flat(column)), -30, 30)))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int):
+    return docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, "quality", ~held_out, rows)))
+
+
+def _default_held_out() -> Column:
+    return F.coalesce(remainder(3) == 1, F.lit(False))
+
+
+def good(docs: DataFrame, labels: DataFrame, rows: int = ROWS_OF_CLASS) -> DataFrame:
+    """The rows of ``docs`` whose score is 0.5 or more, with all their columns (see ``quality``)."""
+    model = _fitted(docs, labels, _default_held_out(), rows)
+
+    def keep(batches):
+        for batch in batches:
+            for part in byte_balanced(batch, "text", 1 << 20):
+                yield part.filter(pa.array(_probability(model.value, part.column("text")) >= 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, rows: int = ROWS_OF_CLASS) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``.
 
@@ -119,14 +143,13 @@ def quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
     ignored, an empty table gives no rows.  Only the text enters the score.  Scoring is one pass
     without a shuffle; the model is 1 MB whatever the input.
     """
-    held_out = held_out if held_out is not None else F.coalesce(remainder(3) == 1, F.lit(False))
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(training_sample(docs, labels, "quality", ~held_out, rows)))
+    held_out = held_out if held_out is not None else _default_held_out()
+    model = _fitted(docs, labels, held_out, rows)
 
     def score(batches):
         for batch in batches:
             for part in byte_balanced(batch, "text", 1 << 20):
-                p = 1 / (1 + np.exp(-np.clip(logits(model.value, *flat(part.column("text"))), -30, 30)))
+                p = _probability(model.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                     names=["doc_id", "held_out", "score", "predicted"],

@@ -35,7 +35,7 @@ PACK_BYTES = 1 << 20
 #: Input bytes for each bucket, and the least number of buckets.
 BUCKET_BYTES = 2 << 20
 LEAST_BUCKETS = 256
-PACKS = "pack long, n_bytes long, doc_ids array<long>, lengths array<long>, data binary"
+PACKS = "pack long, n_bytes long, doc_ids array<long>, lengths array<long>, data binary, carried array<struct<{}>>"
 KEYS = "bucket long, pack long, names binary"
 DUP, FIRST, MIXED = 1, 2, 4
 
@@ -51,8 +51,15 @@ class Anchors:
     windows: Callable[[np.ndarray], np.ndarray]
 
 
-def packs(docs: DataFrame) -> DataFrame:
-    """All rows of ``docs`` in packs, stored; null texts are empty, null ids stay null."""
+def _types(docs: DataFrame, carry: tuple[str, ...]) -> str:
+    return ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
+
+
+def packs(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """All rows of ``docs`` in packs, stored, with the columns named in ``carry``; null texts are empty, null ids stay null."""
+    held = [f"_carried_{k}" for k in range(len(carry))]
+    frame = texts(docs, *(F.col(f"`{c}`").alias(h) for c, h in zip(carry, held)))
+    fields = _types(docs, carry) or "none: int"
 
     def run(batches):
         first, count = TaskContext.get().partitionId() << 40, 0
@@ -60,15 +67,18 @@ def packs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in byte_balanced(batch, "text", PACK_BYTES):
                 data, offsets = flat(part.column("text"))
+                n = part.num_rows
+                rest = pa.StructArray.from_arrays([part.column(h) for h in held] or [pa.nulls(n, pa.int32())], names=list(carry) or ["none"])
                 yield pa.RecordBatch.from_arrays([
                     pa.array([first + count], pa.int64()), pa.array([len(data)], pa.int64()),
                     pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     pa.array([np.diff(offsets)], pa.list_(pa.int64())),
                     pa.array([pack(data.tobytes())], pa.binary()),
-                ], names=["pack", "n_bytes", "doc_ids", "lengths", "data"])
+                    pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rest),
+                ], names=["pack", "n_bytes", "doc_ids", "lengths", "data", "carried"])
                 count += 1
 
-    return written(docs.sparkSession, texts(docs).mapInArrow(run, PACKS), "packs")
+    return written(docs.sparkSession, frame.mapInArrow(run, PACKS.format(fields)), "packs")
 
 
 def opened(row: dict) -> tuple[list, np.ndarray, np.ndarray]:
@@ -193,15 +203,19 @@ def _open_windows(a: Anchors, buckets: int, answers: list[dict] | None) -> tuple
     return known, open_, a.windows(open_)
 
 
-def repeated(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchors], finish: Callable, schema: str) -> DataFrame:
-    """``finish(doc_ids, data, offsets, starts)`` of every pack, ``starts`` being the windows that occur more than once."""
-    stored = packs(docs)
+def repeated(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchors], finish: Callable, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``finish(doc_ids, data, offsets, starts)`` of every pack, ``starts`` being the windows that occur more than once.
+
+    The columns named in ``carry`` follow those of ``finish``.
+    """
+    stored = packs(docs, carry)
+    schema = ", ".join([schema, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
     total = stored.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
 
     def ask_spans(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in batch.drop_columns(["carried"]).to_pylist():
                 _, data, offsets = opened(row)
                 a = anchors(data, offsets)
                 if len(a.first):
@@ -213,7 +227,7 @@ def repeated(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchor
 
     def ask_windows(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in batch.drop_columns(["carried"]).to_pylist():
                 _, data, offsets = opened(row)
                 names = _open_windows(anchors(data, offsets), buckets, row["on_spans"])[2]
                 if len(names):
@@ -221,14 +235,19 @@ def repeated(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchor
 
     def conclude(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            place = batch.schema.get_field_index("carried")
+            for k, row in enumerate(batch.drop_columns(["carried"]).to_pylist()):
                 ids, data, offsets = opened(row)
                 known, open_, names = _open_windows(anchors(data, offsets), buckets, row["on_spans"])
                 if len(open_):
-                    sent, place = window_names(names)
+                    sent, at = window_names(names)
                     flags = _received([sent], buckets, row["on_windows"])[0]
-                    known = np.concatenate([known, open_[flags[place] & DUP > 0]])
-                yield finish(ids, data, offsets, np.unique(known))
+                    known = np.concatenate([known, open_[flags[at] & DUP > 0]])
+                out = finish(ids, data, offsets, np.unique(known))
+                rest = batch.column(place).slice(k, 1).flatten()
+                for c, column in zip(carry, rest.flatten() if carry else ()):
+                    out = out.append_column(c, column)
+                yield out
 
     on_spans = _asked(stored.mapInArrow(ask_spans, KEYS), buckets, "on_spans")
     told = stored.join(on_spans, "pack", "left")

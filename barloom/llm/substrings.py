@@ -128,31 +128,36 @@ def _finish(width: int):
         begin, end, before = words(data, offsets)
         gone = covered(starts, width, len(begin))
         raw = data.tobytes()
-        kept, removed = [], []
+        kept, removed, digests = [], [], []
         touched = set(np.unique(np.searchsorted(before, starts, "right") - 1).tolist())
         for k, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist())):
+            left = raw[offsets[k]:offsets[k + 1]]
+            removed.append(0)
             if k in touched:
-                left = a + np.flatnonzero(~gone[a:b])
-                removed.append(b - a - len(left))
-                kept.append(" ".join([raw[x:y].decode() for x, y in zip(begin[left].tolist(), end[left].tolist())]))
-            else:
-                removed.append(0)
-                kept.append(b" ".join(raw[offsets[k]:offsets[k + 1]].split()).decode())
+                own = np.concatenate([[True], gone[a:b], [True]])
+                on = np.flatnonzero(own[:-1] & ~own[1:]) + a  # first and, exclusive, last word of each run that stays
+                off = np.flatnonzero(~own[:-1] & own[1:]) + a
+                left = b" ".join([raw[x:y] for x, y in zip(begin[on].tolist(), end[off - 1].tolist())])
+                removed[-1] = int(gone[a:b].sum())
+            kept.append(left.decode())
+            digests.append(hashlib.sha256(b" ".join(left.split())).hexdigest())
         return pa.RecordBatch.from_arrays([
             pa.array(ids, pa.int64()), pa.array(np.diff(before)), pa.array(removed, pa.int64()),
-            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept]), pa.array(kept, pa.string()),
+            pa.array(digests, pa.string()), pa.array(kept, pa.string()),
         ], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
 
-def drop_repeated_words(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def drop_repeated_words(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row of ``docs`` without the words that lie in a window of ``width`` words that also starts elsewhere.
 
-    Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  Returns doc_id, n_words, n_removed, kept_sha256 and
-    ``kept``, the other words joined by one space.  Windows never cross documents and are judged on
+    Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  Returns doc_id, n_words, n_removed, kept_sha256 (of the
+    other words, joined by one space), ``kept`` and the columns named in ``carry``.  ``kept`` is the
+    text itself where nothing goes, else its runs of other words with their white space, joined by one
+    space.  Windows never cross documents and are judged on
     the input.  Null texts have no words, repeated rows and null ids are documents of their own, other
     columns are ignored, an empty table gives no rows.  Memory of a task is bounded by one pack of a
     megabyte or the longest single text.
     """
-    return repeated(docs, word_anchors(width), _finish(width), SCHEMA)
+    return repeated(docs, word_anchors(width), _finish(width), SCHEMA, carry)
