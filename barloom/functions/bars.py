@@ -9,19 +9,20 @@ from barloom.schema import TIMEFRAME_SECONDS
 
 
 def arrival_order(ts: Column, tie: Column) -> Column:
-    """Arrival order inside any bar of up to a day as one long.
+    """Arrival order inside any bar of up to a day as one decimal.
 
-    37 bits hold the microsecond of the day; the lower 26 bits of ``tie`` order ticks of the same
-    microsecond.  A fixed-width key keeps the bar aggregate a hash aggregate; a struct would turn
-    it into a sort of all ticks.
+    The microsecond of the day stands above the whole 64 bits of ``tie``, a long that orders ticks of
+    the same microsecond.  A fixed-width key keeps the bar aggregate a hash aggregate; a struct would
+    turn it into a sort of all ticks.
     """
-    return (F.unix_micros(ts) % F.lit(86_400_000_000)) * F.lit(2**26) + tie.cast("long") % F.lit(2**26)
+    micros = F.pmod(F.unix_micros(ts), F.lit(86_400_000_000)).cast("decimal(11,0)")
+    return micros * F.lit(str(2**64)).cast("decimal(20,0)") + tie.cast("long").cast("decimal(19,0)")
 
 
 def build_bars(ticks: DataFrame, timeframe: str, watermark: str | None = None) -> DataFrame:
     """symbol, ts, open, high, low, close, volume per timeframe.
 
-    Ticks carry symbol, ts, price, volume and ``seq``, a long that orders the ticks of a bar.
+    Ticks carry symbol, ts, price, volume and ``seq``, any value that orders the ticks of a bar.
 
     ``watermark`` (for example "15 minutes") makes the same plan append-only on a stream: a bar is
     emitted once its interval plus the delay has passed.

@@ -12,12 +12,15 @@ across block borders.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from barloom.series import Series
 from barloom.staging import hold
 
+# Powers of ``keep`` over one block must stay far from the range of a double.
+_LARGEST_EXPONENT = 600.0
 # Weights below this cannot change a double unless values differ by a factor of 2**60 or more.
 _NEGLIGIBLE = 2.0**-112
 
@@ -81,9 +84,20 @@ def add_means(
     blocks = f"OVER (PARTITION BY {keys} ORDER BY _block"
 
     def running_mean(start: int, alpha: float, value: str) -> str:
+        keep = 1 - alpha
+        if keep <= 0 or -math.log(keep) * (s.size + lead + 1) > _LARGEST_EXPONENT:
+            return short_mean(start, alpha, value)
         term = f"{_seeded(start, alpha, value)} * {_pow(1 - alpha, f'-{i}')}"
         return f"sum(CASE WHEN bar_no >= {begin} THEN {term} ELSE 0D END) {upto} * {_pow(1 - alpha, i)}"
 
+    def short_mean(start: int, alpha: float, value: str) -> str:
+        """A mean so short that only few rows still weigh: these, each times its own weight."""
+        keep = 1 - alpha
+        reach = 1 if keep <= 0 else math.ceil(math.log(_NEGLIGIBLE) / math.log(keep))
+        frame_ = f"OVER (PARTITION BY {keys}, _block ORDER BY bar_no ROWS BETWEEN {reach - 1} PRECEDING AND CURRENT ROW)"
+        terms = f"reverse(collect_list(CASE WHEN bar_no >= {begin} THEN {_seeded(start, alpha, value)} ELSE 0D END) {frame_})"
+        return f"aggregate(transform({terms}, (x, k) -> x * {_pow(keep, 'k')}), 0D, (total, x) -> total + x)"
+
     def chain(column: str, keep: float) -> str:
         """State at each block's end from the block sums of this and the preceding blocks."""
         decay = keep**s.size

@@ -9,16 +9,32 @@ _UNIT = 2**52
 
 
 def two_decimals(value: Column) -> Column:
-    """``value`` with two decimals, rounding the exact binary value half to even (below 2048).
+    """``value`` with two decimals, rounding the exact binary value half to even.
 
     The JVM formatter rounds the shortest decimal text half up, so 0.825 would become 0.83 although
-    the double lies below it.
+    the double lies below it.  The fraction is taken as 52 bits and 26 bits below them, which hold
+    every bit that can decide a rounding; from 2 ** 52 on a double has no fraction.
     """
-    scaled = (value * float(_UNIT)).cast("long").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
-    whole = F.floor(scaled / F.lit(_UNIT).cast("decimal(17,0)")).cast("long")
-    rest = scaled - whole.cast("decimal(20,0)") * F.lit(_UNIT).cast("decimal(17,0)")
-    twice = rest * F.lit(2).cast("decimal(1,0)")
-    unit = F.lit(_UNIT).cast("decimal(17,0)")
-    cents = whole + F.when((twice > unit) | ((twice == unit) & (whole % 2 == 1)), 1).otherwise(0)
-    text = F.format_string("%d.%02d", F.floor(cents / 100).cast("long"), (cents % 100).cast("long"))
-    return F.when(value.isNull(), "nan").when(F.abs(value) < 2048, text).otherwise(F.format_string("%.2f", value))
+    size = F.abs(value)
+    scaled = (size - F.floor(size)) * float(_UNIT)
+    below = F.floor((scaled - F.floor(scaled)) * float(2**26)) * 100
+    parts = F.struct(
+        F.floor(size).alias("whole"), (F.floor(scaled) * 100 + F.shiftright(below, 26)).alias("fraction"),
+        below.bitwiseAND(F.lit(2**26 - 1)).alias("low"),
+    )
+
+    def cents(x: Column) -> Column:
+        own = F.shiftright(x["fraction"], 52)
+        rest = x["fraction"].bitwiseAND(F.lit(_UNIT - 1))
+        up = (rest > _UNIT // 2) | ((rest == _UNIT // 2) & ((x["low"] > 0) | (own % 2 == 1)))
+        return x["whole"] * 100 + own + up.cast("long")
+
+    def text(x: Column) -> Column:
+        return F.concat(F.floor(x / 100).cast("string"), F.lit("."), F.lpad((x % 100).cast("string"), 2, "0"))
+
+    # one-element arrays name the steps, so that no step is written out twice
+    digits = F.transform(F.transform(F.array(parts), cents), text)[0]
+    exact = size < float(_UNIT)
+    return F.when(value.isNull() | F.isnan(value), "nan").when(
+        exact, F.concat(F.when(value < 0, "-").otherwise(""), digits)
+    ).otherwise(F.format_string("%.2f", value))

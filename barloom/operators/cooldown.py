@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86400
@@ -39,9 +39,10 @@ def decide(
     allowed: str | None = None,
     order: str | None = None,
 ) -> DataFrame:
-    """Adds ``decision``: CREATED, UPGRADED, COOLDOWN, or BLOCKED for rows ``allowed`` rules out.
+    """Adds ``decision``: CREATED, UPGRADED, COOLDOWN, DUPLICATE, or BLOCKED for rows ``allowed`` rules out.
 
-    Rows of a key are ordered by time and ``order`` (a tie breaker); together they must be unique.
+    Rows of a key are ordered by time and ``order`` (a tie breaker).  Of rows with the same key, time
+    and tie the one of the highest score is decided on, the others are DUPLICATE.
     Only accepted rows (CREATED, UPGRADED) become the row later ones are compared with.
     ``inclusive`` says whether a row exactly ``cooldown`` old still counts.
     """
@@ -54,7 +55,9 @@ def decide(
     none = F.lit(None).cast(kind)
     keys = list(keys)
 
-    sliced = signals.withColumn("_slice", F.floor(t / F.lit(span)))
+    same = Window.partitionBy(*keys, "_t", "_n").orderBy(F.col(score).desc_nulls_last(), open_.desc())
+    marked = signals.withColumns({"_t": t, "_n": tie}).withColumn("_copy", F.row_number().over(same))
+    sliced = marked.filter("_copy = 1").withColumn("_slice", F.floor(t / F.lit(span)))
     slices = sliced.groupBy(*keys, "_slice").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def step(anchor: Column, x: Column) -> Column:
@@ -124,13 +127,16 @@ def decide(
     verdicts = known.select(*keys, F.explode(F.aggregate("items", begin, judge)["out"]).alias("_v")).select(
         *keys, F.col("_v.t").alias("_t"), F.col("_v.n").alias("_n"), F.col("_v.decision").alias("decision")
     )
-    marked = signals.withColumns({"_t": t, "_n": tie})
-    return marked.join(verdicts, [*keys, "_t", "_n"]).drop("_t", "_n")
+    decided = marked.join(verdicts, [*keys, "_t", "_n"])
+    decision = F.when(F.col("_copy") == 1, F.col("decision")).otherwise("DUPLICATE")
+    return decided.withColumn("decision", decision).drop("_t", "_n", "_copy")
 
 
 def signal_decisions(signals: DataFrame, cooldown_minutes: int = 60, upgrade_points: int = UPGRADE_POINTS) -> DataFrame:
-    """SIGNAL_CREATED, SIGNAL_UPGRADED or REJECTED_COOLDOWN per symbol and timeframe."""
-    names = {"CREATED": "SIGNAL_CREATED", "UPGRADED": "SIGNAL_UPGRADED", "COOLDOWN": "REJECTED_COOLDOWN"}
+    """SIGNAL_CREATED, SIGNAL_UPGRADED, REJECTED_COOLDOWN or REJECTED_DUPLICATE per symbol and timeframe."""
+    names = {
+        "CREATED": "SIGNAL_CREATED", "UPGRADED": "SIGNAL_UPGRADED", "COOLDOWN": "REJECTED_COOLDOWN", "DUPLICATE": "REJECTED_DUPLICATE",
+    }
     out = decide(signals, ["symbol", "timeframe"], cooldown_minutes * 60, upgrade_points)
     named = F.lit(None).cast("string")
     for short, name in names.items():

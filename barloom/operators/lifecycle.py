@@ -311,9 +311,13 @@ def events(rows: DataFrame, signals: DataFrame, policy: Policy = Policy()) -> Da
 
 
 def evaluate(signals: DataFrame, bars: DataFrame, now: Column, policy: Policy = Policy(), data_usable: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(setups, events) of all signals with a complete plan, including those without a bar yet."""
+    """(setups, events) of all signals with a complete plan, including those without a later bar yet.
+
+    A signal counts from the completion of its own bar on; one whose bar is still open is left out.
+    """
     from barloom.staging import hold
 
+    signals = completed(signals, now)
     rows = hold(setup_bars(signals, bars, now, policy, data_usable))
     log = hold(events(rows, signals, policy))
     final = log.groupBy("signal_id").agg(
@@ -326,7 +330,9 @@ def evaluate(signals: DataFrame, bars: DataFrame, now: Column, policy: Policy =
     action = F.lit("BEKLE")
     for state, name in ACTIONS.items():
         action = F.when(F.col("state") == state, name).otherwise(action)
-    table = final.join(setups(rows, policy=policy), "signal_id", "left").join(counts, "signal_id", "left")
+    own = signals.select("signal_id", F.col("symbol").alias("_symbol"), F.col("ts").alias("_time"))
+    table = final.join(setups(rows, policy=policy), "signal_id", "left").join(counts, "signal_id", "left").join(own, "signal_id")
+    table = table.withColumns({"symbol": F.coalesce("symbol", "_symbol"), "signal_time": F.coalesce("signal_time", "_time")}).drop("_symbol", "_time")
     in_trade = F.when(F.col("entry_bar").isNotNull(), F.col("_completed") - F.col("entry_bar") + 1).otherwise(0)
     return table.withColumns({
         "bars_in_trade": in_trade.cast("long"), "action": action,

@@ -148,8 +148,8 @@ def m11(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("m12_retrain_decision", TRAIN + """
-SELECT t AS trained_on, CASE WHEN c < 200 THEN 'BELOW_THRESHOLD' WHEN t = c THEN 'SCORE_MISSING' ELSE 'TRAIN' END AS decision FROM (SELECT count(*) AS c FROM tr), (SELECT unnest([0, 100, 752]) AS t)""")
+SELECT t AS trained_on, CASE WHEN c < 200 THEN 'BELOW_THRESHOLD' WHEN t = c THEN 'SCORE_MISSING' ELSE 'TRAIN' END AS decision FROM (SELECT count(*) AS c FROM tr), (SELECT unnest([0, 100, (SELECT count(*)::INT FROM tr)]) AS t)""")
 def m12(spark: SparkSession, folder: str) -> DataFrame:
     eligible = training_rows(spark, folder).count()
-    rows = [(t, learning.retrain_decision(eligible, t)) for t in (0, 100, 752)]
+    rows = [(t, learning.retrain_decision(eligible, t)) for t in (0, 100, eligible)]
     return spark.createDataFrame(rows, "trained_on int, decision string")

@@ -45,6 +45,19 @@ def sc05(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws("\n", head, F.concat(two_decimals(F.col("l_quantity")), F.lit("x"))).alias("message"))
 
 
+
+@query("sc05_two_decimals", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, format('{:.2f}', l_extendedprice * (CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END)) AS price,
+  format('{:.2f}', (l_quantity - 25) / 8) AS eighths, format('{:.2f}', l_extendedprice * 1048576.125) AS large, format('{:.2f}', (l_discount - 0.05) / 2) AS small FROM lineitem""")
+def sc05_decimals(spark: SparkSession, folder: str) -> DataFrame:
+    """Negative, tied, large and small values."""
+    price = F.col("l_extendedprice")
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        two_decimals(price * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)).alias("price"),
+        two_decimals((F.col("l_quantity") - 25) / 8).alias("eighths"), two_decimals(price * 1048576.125).alias("large"),
+        two_decimals((F.col("l_discount") - 0.05) / 2).alias("small"))
+
 @query("sc07_sc09_time", """
 SELECT event_id, CAST(ts + INTERVAL 3 HOUR AS DATE) AS local_date, strftime(ts + INTERVAL 3 HOUR, '%H:%M') AS local_time, isodow(ts + INTERVAL 3 HOUR) - 1 AS weekday, dayname(ts) AS day_name,
   hour(ts) AS hour, strftime(ts, '%H:%M') AS slot, date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS seconds, round(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) / (365.2425 * 86400), 8) AS years

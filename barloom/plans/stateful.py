@@ -56,6 +56,17 @@ def st04(spark: SparkSession, folder: str) -> DataFrame:
     return cooldown.signal_decisions(snaps).select("symbol", "ts", "score", "decision")
 
 
+@query("st04_cooldown_repeats", INTRADAY + """,
+src AS MATERIALIZED (SELECT symbol, ts, radar_score AS score, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM snap),
+""" + _FOLD + """ SELECT symbol, ts, score, decision FROM fold UNION ALL
+SELECT symbol, ts, score - d, 'REJECTED_DUPLICATE' FROM fold, (SELECT unnest([0, 1]) AS d)""")
+def st04_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Every signal three times, once with a lower score: one decision each, the copies rejected."""
+    snaps = data.snapshot_rows(spark, folder).select("symbol", "timeframe", "ts", F.col("radar_score").cast("long").alias("score"))
+    lower = snaps.withColumn("score", F.col("score") - 1)
+    return cooldown.signal_decisions(snaps.unionByName(lower).unionByName(snaps)).select("symbol", "ts", "score", "decision")
+
+
 @query("st04_cooldown_by_user", sql.with_(sql.USER_HOUR, """src AS MATERIALIZED (
   SELECT symbol, ts, floor((high - 100) * 50)::BIGINT AS score, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars)""",
   _FOLD.replace("60 MINUTE", "10 HOUR"), recursive=True) + "SELECT symbol, ts, score, decision FROM fold")
@@ -164,7 +175,7 @@ WALK_SQL = PRE_ENTRY_SQL.replace("b.e, b.vwap, b.mom, b.rv\n", "b.e, b.vwap, b.m
 nx AS MATERIALIZED (SELECT *, lead(open) OVER w AS no, lead(bts) OVER w AS nts FROM dc WINDOW w AS (PARTITION BY signal_id ORDER BY i)),
 walk AS (
   SELECT signal_id, 0::BIGINT AS i, 'PRE' AS ph, NULL::DOUBLE AS entry, NULL::TIMESTAMP AS ets, NULL::BIGINT AS ei, stop AS act, 0 AS hi, 0::DOUBLE AS mfe, 0::DOUBLE AS mae, NULL::VARCHAR AS outcome, NULL::DOUBLE AS xp, NULL::TIMESTAMP AS xts
-  FROM sig WHERE zone_low IS NOT NULL
+  FROM sig WHERE zone_low IS NOT NULL AND ts <= """ + NOW_SQL + """ - INTERVAL 15 MINUTE
   UNION ALL
   SELECT signal_id, i, CASE WHEN oc IS NOT NULL THEN 'DONE' WHEN inside THEN 'IN' WHEN d = 'ENTRY_READY' THEN 'READY' ELSE ph END, en, et, e2, act2, hi2, mf, ma, oc, xprice, xtime
   FROM (SELECT w.signal_id, b.i, w.ph, b.d,
@@ -207,8 +218,7 @@ def st07(spark: SparkSession, folder: str) -> DataFrame:
 @query("st08_newest_setup")
 def st08(spark: SparkSession, folder: str) -> DataFrame:
     setups, events = lifecycle_tables(spark, folder)
-    known = setups.filter(F.col("symbol").isNotNull())
-    detail = lifecycle.newest_setup(known, events)
+    detail = lifecycle.newest_setup(setups, events)
     return detail.select("symbol", "signal_id", F.size("events").alias("events"),
                          F.concat_ws(">", F.transform("events", lambda e: e["event_type"])).alias("log"))
 

@@ -71,14 +71,23 @@ def st03(spark: SparkSession, folder: str) -> DataFrame:
     return kinds
 
 
+def _arrive(rows: DataFrame, parts: int, path: str) -> None:
+    """Write the rows as files that arrive in order of time: equal spans between the first and the last, the ends open."""
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [None, *(first + (last - first) * k / parts for k in range(1, parts)), None]
+    for a, b in zip(cuts, cuts[1:]):
+        part = rows
+        part = part if a is None else part.filter(F.col("ts") >= F.lit(a))
+        part = part if b is None else part.filter(F.col("ts") < F.lit(b))
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
 @query("st04_stream_cooldown", STATEFUL["st04_cooldown"])
 def st04_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The cooldown as keyed state; the answers equal the batch form's."""
     out = scratch(spark, "stream-cooldown")
     snaps = data.snapshot_rows(spark, folder).select("symbol", "timeframe", "ts", F.col("radar_score").cast("long").alias("score"))
-    half = F.lit("2024-01-15").cast("timestamp")
-    snaps.filter(F.col("ts") < half).coalesce(1).write.parquet(f"{out}/in")
-    snaps.filter(F.col("ts") >= half).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    _arrive(snaps, 2, f"{out}/in")
     arriving = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
     run = stream_bars.write_once(stream_cooldown.stream_decisions(arriving), f"{out}/data", f"{out}/log")
     run.awaitTermination()
@@ -91,10 +100,7 @@ def st06_stream(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark, "stream-lifecycle")
     bars = completed(context_rows(spark, folder), now()).select("symbol", "ts", "bar_no", "open", "high", "low", "close", "volume",
                                               "ctx_momentum", "ctx_rvol", "ctx_atr", "ctx_ema20", "ctx_vwap")
-    cuts = ["2024-01-01", "2024-01-12", "2024-01-21", "2024-02-01"]
-    for a, b in zip(cuts, cuts[1:]):
-        inside = (F.col("ts") >= F.lit(a).cast("timestamp")) & (F.col("ts") < F.lit(b).cast("timestamp"))
-        bars.filter(inside).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    _arrive(bars, 3, f"{out}/in")
     signals = data.planned_signals(spark, folder)
     arriving = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
     sink = stream_lifecycle.advance_setups(lambda: signals, f"{out}/store")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions import indicators as ind
 from barloom.functions import recursive as rec
 from barloom.functions import sessions
-from barloom.functions.bars import build_bars
+from barloom.functions.bars import arrival_order, build_bars
 from barloom.operators.features import add_levels
 from barloom.plans import sql
 from barloom.plans.common import day_series, m15_series, r, series
@@ -252,3 +252,37 @@ for _name, _load, _cte in (
 ):
     QUERIES[_name] = _bars(*_load)
     ORACLES[_name] = sql.with_(_cte) + _BAR_COLUMNS
+
+
+def st01_large_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Many ticks at one instant whose keys differ beyond 26 bits: the whole key orders them."""
+    ticks = tables.table(spark, folder, "events").select(
+        F.col("event_type").alias("symbol"), F.date_trunc("HOUR", F.col("ts").cast("timestamp")).alias("ts"),
+        (F.col("event_id") % 7 * F.lit(2**40) + F.col("event_id") * F.lit(2**26)).alias("key"),
+        (100 + F.col("value") / 50).alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"),
+    )
+    return build_bars(ticks.withColumn("seq", arrival_order(F.col("ts"), F.col("key"))), "60m")
+
+
+QUERIES["st01_bars_large_keys"] = st01_large_keys
+ORACLES["st01_bars_large_keys"] = """
+SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(100 + value / 50, k) AS open, max(100 + value / 50) AS high,
+  min(100 + value / 50) AS low, arg_max(100 + value / 50, k) AS close, sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS volume
+FROM (SELECT *, event_id % 7 * 1099511627776 + event_id * 67108864 AS k FROM events) GROUP BY 1, 2"""
+
+SHORT_SPANS = (1, 2, 3)
+
+
+def ts02_short(spark: SparkSession, folder: str) -> DataFrame:
+    s = day_series(spark, folder)
+    means = [rec.span_mean(f"ema{p}", "close", p) for p in SHORT_SPANS] + [rec.wilder_mean(f"wilder{p}", "close", p) for p in (1, 2)]
+    return rec.add_means(s, means).rows().select("symbol", "ts", *[r(m.name, 4).alias(m.name) for m in means])
+
+
+_SHORT = {f"ema{p}": (2 / (p + 1), p) for p in SHORT_SPANS} | {f"wilder{p}": (1 / p, p) for p in (1, 2)}
+QUERIES["ts02_ema_short_spans"] = ts02_short
+ORACLES["ts02_ema_short_spans"] = sql.with_(sql.DAY, sql.NUMBERED, f"""short AS (
+  SELECT symbol, n, ts, {", ".join(f"close AS {c}" for c in _SHORT)} FROM num WHERE n = 0 UNION ALL
+  SELECT b.symbol, b.n, b.ts, {", ".join(f"q.{c} * {1 - a!r}::DOUBLE + b.close * {a!r}::DOUBLE" for c, (a, _) in _SHORT.items())}
+  FROM short q JOIN num b ON b.symbol = q.symbol AND b.n = q.n + 1)""", recursive=True) + "SELECT symbol, ts, " + ", ".join(
+    f"CASE WHEN n >= {p - 1} THEN round({c}, 4) END AS {c}" for c, (_, p) in _SHORT.items()) + " FROM short"

@@ -29,11 +29,16 @@ def build_session(app: str = "barloom", cpus: int | str = 8, **extra: str) -> Sp
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a temporary one only where it is unset."""
+    """Shared checkpoint folder named by the cluster; a temporary one only on a local master.
+
+    Executors of a cluster don't see each other's disks, so there the setting must name a folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

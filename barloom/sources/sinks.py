@@ -68,7 +68,10 @@ def _safe(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.DecimalType):
         return value.cast("string")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss+00:00")
+        # as isoformat() writes it: microseconds only where there are any
+        micros = F.date_format(value, "SSSSSS")
+        fraction = F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros))
+        return F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
     if isinstance(kind, T.DateType):
         return F.date_format(value, "yyyy-MM-dd")
     if isinstance(kind, T.StructType):
@@ -76,4 +79,6 @@ def _safe(value: Column, kind: T.DataType) -> Column:
         return F.when(value.isNotNull(), inner)
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda item: _safe(item, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, item: _safe(item, kind.valueType))
     return value

@@ -35,12 +35,11 @@ def line_ticks(spark: SparkSession, folder: str, market_wide: bool = False) -> D
     """Order lines as trades of the supplier's region; ``market_wide`` gives the benchmark."""
     lines = table(spark, folder, "lineitem")
     price = 100 + F.col("l_extendedprice") / F.col("l_quantity") / 1000
-    # Lines have no time of day.  Order and line number come first; they are not unique, so the
-    # lower bits of the part key follow (40, 3 and 20 bits: enough for 10**12 orders).
-    seq = F.col("l_orderkey") * F.lit(2**23) + F.col("l_linenumber").cast("long") * F.lit(2**20) + F.col("l_partkey") % F.lit(2**20)
+    # Lines have no time of day.  Order and line number come first; they are not unique, so the part
+    # key follows.  The three together are wider than any fixed-width type.
     columns = [
         F.col("l_shipdate").cast("timestamp").alias("ts"),
-        seq.alias("seq"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"),
         price.alias("price"),
         F.col("l_quantity").alias("volume"),
     ]

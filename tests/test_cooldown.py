@@ -44,3 +44,11 @@ def test_matches_loop(spark, minutes, seconds, inclusive):
     wrong = [(r["symbol"], r["ts"], r["decision"], want[(r["symbol"], r["ts"])]) for r in got if want[(r["symbol"], r["ts"])] != r["decision"]]
     assert not wrong, (len(wrong), sorted(wrong)[:5])
     assert set(want.values()) == {"COOLDOWN", "BLOCKED", "CREATED", "UPGRADED"}
+
+
+def test_repeated_rows_are_duplicates(spark):
+    """Equal rows are decided once; of one instant the highest score is the signal."""
+    rows = [("A", "15m", BASE, 70), ("A", "15m", BASE, 70), ("A", "15m", BASE, 60), ("A", "15m", BASE + dt.timedelta(minutes=15), 71)]
+    got = cooldown.signal_decisions(spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp, score int")).collect()
+    assert sorted((r["ts"], r["score"], r["decision"]) for r in got) == [
+        (BASE, 60, "REJECTED_DUPLICATE"), (BASE, 70, "REJECTED_DUPLICATE"), (BASE, 70, "SIGNAL_CREATED"), (BASE + dt.timedelta(minutes=15), 71, "REJECTED_COOLDOWN")]

@@ -10,29 +10,36 @@ from barloom.operators import labels, portfolio, risk, trades
 from test_series import START, bars_frame
 
 
-def audit_loop(sig, rows):
-    entry = None
-    for i, b in enumerate(rows[:8], 1):
-        if b.low <= sig.zone_high and b.high >= sig.zone_low:
-            entry = i
-            break
-    if entry is None:
-        return ("NO_ENTRY" if len(rows) >= 8 else "WAITING_ENTRY", 0, None, 0)
-    held, hits, stopped = rows[entry - 1: entry + 15], [False] * 3, False
-    for b in held:
-        if b.low <= sig.stop:
-            stopped = True
-            break
-        hits = [h or b.high >= t for h, t in zip(hits, (sig.t1, sig.t2, sig.t3))]
-        if hits[2]:
-            break
-    top = 3 if hits[2] else 2 if hits[1] else 1 if hits[0] else 0
-    done = len(held) >= 16
-    name = "STOPPED" if stopped else "H3_REACHED" if top == 3 else f"EXPIRED_H{top}" if done else f"H{top}_ACTIVE" if top else "ENTRY_ACTIVE"
-    return (name, top, entry, len(held))
-
-
-def test_level_audit_and_bar_labels(spark):
+#: name: (bars as (low, high), classification, highest target, bars to entry, bars after entry)
+#: Zone 99 to 101, stop 98, targets 102, 103 and 104; entry within 8 bars, then 16 managed bars.
+IN, OUT = (100.0, 101.0), (101.2, 101.8)
+AUDITS = {
+    "nothing yet": ([], "WAITING_ENTRY", 0, None, 0),
+    "waiting": ([OUT] * 7, "WAITING_ENTRY", 0, None, 0),
+    "never": ([OUT] * 8, "NO_ENTRY", 0, None, 0),
+    "last chance": ([OUT] * 7 + [IN], "ENTRY_ACTIVE", 0, 8, 1),
+    "too late": ([OUT] * 8 + [IN], "NO_ENTRY", 0, None, 0),
+    "stop at once": ([(97.9, 105.0)], "STOPPED", 0, 1, 1),
+    "target, then stop": ([IN, (100.0, 102.5), (97.0, 100.0)], "STOPPED", 1, 1, 3),
+    "second": ([OUT, IN, (100.0, 103.0)], "H2_ACTIVE", 2, 2, 2),
+    "third": ([IN, (100.0, 104.0), (97.0, 100.0)], "H3_REACHED", 3, 1, 3),
+    "expired empty": ([IN] * 16, "EXPIRED_H0", 0, 1, 16),
+    "expired with one": ([IN, (100.0, 102.0)] + [IN] * 14, "EXPIRED_H1", 1, 1, 16),
+    "target after the end": ([IN] * 16 + [(100.0, 104.0)], "EXPIRED_H0", 0, 1, 16),
+}
+
+
+def test_level_audit(spark):
+    signals, bars = [], []
+    for name, (rows, *_) in AUDITS.items():
+        signals.append(dict(signal_id=name, symbol=name, bar_no=0, ts=START, price=100.0, zone_low=99.0, zone_high=101.0, stop=98.0, t1=102.0, t2=103.0, t3=104.0))
+        bars += [dict(symbol=name, bar_no=k, ts=START + dt.timedelta(minutes=15 * k), open=100.0, high=h, low=w, close=100.0, volume=1.0) for k, (w, h) in enumerate(rows, 1)]
+    got = labels.level_audit(spark.createDataFrame(pd.DataFrame(signals)), spark.createDataFrame(pd.DataFrame(bars))).collect()
+    assert {r["signal_id"]: (r["result_classification"], r["highest_target"], r["bars_to_entry"], r["bars_after_entry"]) for r in got} == {
+        name: tuple(want) for name, (_, *want) in AUDITS.items()}
+
+
+def test_bar_labels(spark):
     frame = bars_frame({s: 60 for s in "ABCDEFGH"}, seed=9, gap=False)
     frame["bar_no"] = frame.groupby("symbol").cumcount()
     rng = np.random.default_rng(1)
@@ -42,16 +49,10 @@ def test_level_audit_and_bar_labels(spark):
         "price": picks.close.values, "zone_low": picks.close.values - 0.6, "zone_high": picks.close.values + 0.1,
         "stop": picks.close.values - rng.uniform(0.8, 2, len(picks)), "t1": picks.close.values + 0.8, "t2": picks.close.values + 1.6, "t3": picks.close.values + 2.4})
     signals, bars = spark.createDataFrame(sig), spark.createDataFrame(frame)
-    got = {r["signal_id"]: r for r in labels.level_audit(signals, bars).collect()}
     now = F.lit(str(START + dt.timedelta(days=30))).cast("timestamp")
     out = {(r["signal_id"], r["horizon"]): r for r in labels.label_bars(signals, bars, now).collect()}
-    seen = set()
     for s in sig.itertuples():
         rows = list(frame[(frame.symbol == s.symbol) & (frame.bar_no > s.bar_no)].itertuples())
-        want = audit_loop(s, rows)
-        a = got[s.signal_id]
-        assert (a["result_classification"], a["highest_target"], a["bars_to_entry"], a["bars_after_entry"]) == want
-        seen.add(want[0])
         for name, n in labels.HORIZONS.items():
             o = out[(s.signal_id, name)]
             if len(rows) < n:
@@ -68,7 +69,6 @@ def test_level_audit_and_bar_labels(spark):
                 if b.high >= s.price * 1.01:
                     break
             assert o["hit_stop_first"] == first
-    assert len(seen) >= 6
 
 
 def test_known_label_figures(spark):

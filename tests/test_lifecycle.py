@@ -1,4 +1,4 @@
-"""Lifecycle windows against a step-by-step walk over random setups."""
+"""Lifecycle windows: setups written down by hand, and what holds for random ones."""
 
 import datetime as dt
 
@@ -7,112 +7,71 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from barloom.operators import lifecycle
-from barloom.operators.lifecycle import Policy
 
 START = dt.datetime(2024, 1, 2, 8, 0)
 
 
-def walk(sig, bars, policy=Policy()):
-    """Walk the bars of one setup; returns (events, result)."""
-    log, state = [(START, "SIGNAL_DETECTED", "DETECTED")], "DETECTED"
-    res = dict(outcome=None, entry=None, exit=None, highest=0, mfe=0.0, mae=0.0, r=None, stop=None)
-    zl, zh, stop, targets = sig["zone_low"], sig["zone_high"], sig["stop"], (sig["t1"], sig["t2"], sig["t3"])
-
-    def say(ts, kind, to):
-        nonlocal state
-        log.append((ts, kind, to))
-        state = to
-
-    entering, entry_i, active = False, None, stop
-    for n, b in enumerate(bars, 1):
-        if n == 1:
-            say(b["ts"], "STATE_REVIEW", "ARMED")
-        if entering:
-            entering = False
-            risk = b["open"] - stop
-            if b["open"] > zh + max(risk, 0) * policy.chase_r:
-                say(b["ts"], "ENTRY_REJECTED_CHASE", "CHASED")
-                res["outcome"] = "CHASED"
-                break
-            if risk <= 0 or (targets[0] - b["open"]) / risk < policy.min_risk_reward:
-                say(b["ts"], "ENTRY_REJECTED_RR", "NO_ENTRY")
-                res["outcome"] = "NO_ENTRY_STRUCTURE"
-                break
-            res["entry"], entry_i, active = b["open"], n, stop
-            say(b["ts"], "ENTRY_FILLED_NEXT_OPEN", "ENTRY_ACTIVATED")
-        if res["entry"] is None:
-            mom, rvol, first = b["ctx_momentum"], b["ctx_rvol"], sig["rvol"]
-            if b["close"] < b["ctx_vwap"] and b["close"] < b["ctx_ema20"] and mom < -0.01:
-                say(b["ts"], "SETUP_INVALIDATED", "CANCELLED_STRUCTURE")
-                res["outcome"] = "NO_ENTRY_STRUCTURE"
-                break
-            if n >= 3 and rvol < max(0.5, first * 0.35) and mom < 0:
-                say(b["ts"], "SETUP_INVALIDATED", "CANCELLED_DECAY")
-                res["outcome"] = "NO_ENTRY_DECAY"
-                break
-            if n >= policy.entry_bars:
-                say(b["ts"], "ENTRY_TTL_EXPIRED", "EXPIRED")
-                res["outcome"] = "NO_ENTRY_EXPIRED"
-                break
-            if b["close"] > zh + (zh - stop) * policy.chase_r:
-                say(b["ts"], "SETUP_CHASED", "CHASED")
-                res["outcome"] = "CHASED"
-                break
-            if b["low"] <= zh and b["high"] >= zl:
-                entering = True
-                say(b["ts"], "ENTRY_CONDITIONS_READY", "ENTRY_READY")
-            else:
-                to = "WAITING_PULLBACK" if b["close"] > zh else "ARMED"
-                if to != state:
-                    say(b["ts"], "SETUP_REVIEWED", to)
-            continue
-        risk = res["entry"] - stop
-        res["mfe"] = max(res["mfe"], (b["high"] - res["entry"]) / risk)
-        res["mae"] = min(res["mae"], (b["low"] - res["entry"]) / risk)
-        if b["low"] <= active:
-            early = res["highest"] == 0
-            res.update(exit=active, outcome="STOP_BEFORE_H1" if early else "TRAILING_EXIT", r=(active - res["entry"]) / risk)
-            say(b["ts"], "HARD_STOP" if early else "TRAILING_STOP", "HARD_STOP" if early else "TRAILING_STOP")
-            break
-        for k, level in enumerate(targets, 1):
-            if k > res["highest"] and b["high"] >= level:
-                res["highest"] = k
-                say(b["ts"], f"H{k}_TOUCHED", f"H{k}_REACHED")
-                if k == 1:
-                    active = max(active, res["entry"])
-                    say(b["ts"], "STOP_TIGHTENED", "PROGRESSING")
-                if k == 3:
-                    res.update(exit=level, outcome="H3_EXIT", r=(level - res["entry"]) / risk)
-        if res["outcome"]:
-            break
-        held = n - entry_i + 1
-        if res["highest"]:
-            raised = max(active, min(b["close"] - 2 * b["ctx_atr"], b["close"]))
-            if raised > active:
-                active = raised
-                say(b["ts"], "STOP_TIGHTENED", "PROGRESSING")
-        leave = None
-        if held >= 4 and not res["highest"] and b["ctx_momentum"] < -0.01 and b["close"] < b["ctx_vwap"]:
-            leave = "THESIS_INVALIDATED"
-        elif held >= policy.max_holding:
-            if not res["highest"] and res["mfe"] <= 0.5 and state != "STALLED":
-                say(b["ts"], "TRADE_STALLED", "STALLED")
-            leave = "TIME_EXIT"
-        elif held >= 8 and res["mfe"] < 0.5:
-            if state != "STALLED":
-                say(b["ts"], "TRADE_STALLED", "STALLED")
-        elif state not in ("PROGRESSING", "H1_REACHED", "H2_REACHED"):
-            say(b["ts"], "POSITION_ACTIVE", "ACTIVE")
-        if leave and n < len(bars):
-            after = bars[n]
-            res["exit"], res["r"] = after["open"], (after["open"] - res["entry"]) / risk
-            res["outcome"] = leave if leave != "TIME_EXIT" else (
-                "TIME_EXIT_PROFIT" if res["r"] > 0.1 else "TIME_EXIT_LOSS" if res["r"] < -0.1 else "TIME_EXIT_FLAT")
-            say(after["ts"], "EXIT_FILLED_NEXT_OPEN", leave)
-            break
-    res["stop"] = active if res["entry"] is not None else None
-    res["state"] = state
-    return log, res
+SIGNAL = dict(bar_no=0, ts=START, rvol=1.0, zone_low=99.5, zone_high=100.5, stop=98.8, t1=104.2, t2=105.5, t3=107.0)
+
+
+def bar(open_, high, low, close, momentum=0.0, rvol=1.0, vwap=90.0, ema=90.0, atr=0.5):
+    return dict(open=open_, high=high, low=low, close=close, volume=1000.0, ctx_momentum=momentum, ctx_rvol=rvol, ctx_vwap=vwap, ctx_ema20=ema, ctx_atr=atr)
+
+
+TOUCH = bar(100.6, 101, 100, 100.4)  # comes back into the zone: entry at the next open
+ABOVE = bar(101, 101.2, 100.8, 101)  # waits above the zone, not far enough to be chased
+FLAT = bar(100.2, 100.6, 99.9, 100.2)
+BEGIN, FILL = ["SIGNAL_DETECTED", "STATE_REVIEW"], ["ENTRY_CONDITIONS_READY", "ENTRY_FILLED_NEXT_OPEN"]
+
+#: name: (signal changes, bars, events, outcome, realised R, highest target)
+SCENARIOS = {
+    "no bar yet": ({}, [], ["SIGNAL_DETECTED"], None, None, 0),
+    "structure": ({}, [bar(100, 100.2, 98.9, 99, -0.02, 1, 100, 100)], [*BEGIN, "SETUP_INVALIDATED"], "NO_ENTRY_STRUCTURE", None, 0),
+    "decay": ({}, [ABOVE, ABOVE, {**ABOVE, "ctx_rvol": 0.3, "ctx_momentum": -0.001}], [*BEGIN, "SETUP_REVIEWED", "SETUP_INVALIDATED"], "NO_ENTRY_DECAY", None, 0),
+    "expired": ({}, [ABOVE] * 9, [*BEGIN, "SETUP_REVIEWED", "ENTRY_TTL_EXPIRED"], "NO_ENTRY_EXPIRED", None, 0),
+    "chased": ({}, [bar(101, 102.2, 101, 102)], [*BEGIN, "SETUP_CHASED"], "CHASED", None, 0),
+    "chased at the open": ({}, [TOUCH, bar(103, 103.2, 102.8, 103)], [*BEGIN, "ENTRY_CONDITIONS_READY", "ENTRY_REJECTED_CHASE"], "CHASED", None, 0),
+    "poor reward": (dict(t1=102.5), [TOUCH, FLAT], [*BEGIN, "ENTRY_CONDITIONS_READY", "ENTRY_REJECTED_RR"], "NO_ENTRY_STRUCTURE", None, 0),
+    "stopped": ({}, [TOUCH, bar(100.2, 100.4, 98.7, 99)], [*BEGIN, *FILL, "HARD_STOP"], "STOP_BEFORE_H1", -1.0, 0),
+    "stop wins inside a bar": ({}, [TOUCH, bar(100.2, 107.5, 98.7, 99)], [*BEGIN, *FILL, "HARD_STOP"], "STOP_BEFORE_H1", -1.0, 0),
+    "all targets": ({}, [TOUCH, bar(100.2, 107.5, 99.5, 107)],
+                    [*BEGIN, *FILL, "H1_TOUCHED", "STOP_TIGHTENED", "H2_TOUCHED", "H3_TOUCHED"], "H3_EXIT", (107 - 100.2) / 1.4, 3),
+    # 104 less two ranges of 0.5: the stop stands at 103
+    "trailing": ({}, [TOUCH, bar(100.2, 104.5, 99.9, 104), bar(104, 104.1, 102.9, 103)],
+                 [*BEGIN, *FILL, "H1_TOUCHED", "STOP_TIGHTENED", "STOP_TIGHTENED", "TRAILING_STOP"], "TRAILING_EXIT", (103 - 100.2) / 1.4, 1),
+    "thesis": ({}, [TOUCH, FLAT, FLAT, FLAT, {**FLAT, "ctx_momentum": -0.02, "ctx_vwap": 101.0}, bar(99.5, 99.8, 99.3, 99.5)],
+               [*BEGIN, *FILL, *["POSITION_ACTIVE"] * 3, "EXIT_FILLED_NEXT_OPEN"], "THESIS_INVALIDATED", (99.5 - 100.2) / 1.4, 0),
+    "time": ({}, [TOUCH, *[FLAT] * 16, bar(100.25, 100.3, 100.2, 100.2)], None, "TIME_EXIT_FLAT", 0.05 / 1.4, 0),
+}
+
+
+def test_scenarios(spark):
+    """Setups written down by hand with what the rules make of them."""
+    signals, bars = [], []
+    for name, (change, rows, *_) in SCENARIOS.items():
+        signals.append(dict(SIGNAL, **change, signal_id=name, symbol=name))
+        bars += [dict(b, symbol=name, bar_no=k, ts=START + dt.timedelta(minutes=15 * k)) for k, b in enumerate(rows, 1)]
+    table, log = lifecycle.evaluate(spark.createDataFrame(pd.DataFrame(signals)), spark.createDataFrame(pd.DataFrame(bars)), F.lit("2024-02-01").cast("timestamp"))
+    got = {r["signal_id"]: r for r in table.collect()}
+    events = {}
+    for r in log.orderBy("signal_id", "sequence").collect():
+        events.setdefault(r["signal_id"], []).append(r["event_type"])
+    assert set(got) == set(SCENARIOS)
+    for name, (_, _, want, outcome, realized, highest) in SCENARIOS.items():
+        row = got[name]
+        assert want is None or events[name] == want, (name, events[name])
+        assert (row["outcome"], row["highest_target"], row["symbol"]) == (outcome, highest, name), (name, row)
+        assert (row["realized_r"] is None) == (realized is None) and (realized is None or abs(row["realized_r"] - realized) < 1e-9), (name, row)
+    assert "TRADE_STALLED" in events["time"] and events["time"][-1] == "EXIT_FILLED_NEXT_OPEN"
+
+
+def test_open_bars_are_left_out(spark):
+    """A signal counts once its own bar is complete."""
+    signals = spark.createDataFrame(pd.DataFrame([dict(SIGNAL, signal_id="a", symbol="A")]))
+    bars = spark.createDataFrame(pd.DataFrame([dict(TOUCH, symbol="A", bar_no=1, ts=START + dt.timedelta(minutes=15))]))
+    for minutes, n in ((14, 0), (15, 1)):
+        table, log = lifecycle.evaluate(signals, bars, F.lit(str(START + dt.timedelta(minutes=minutes))).cast("timestamp"))
+        assert (table.count(), log.count()) == (n, n)
 
 
 def random_case(rng, number):
@@ -133,31 +92,39 @@ def random_case(rng, number):
     return sig, bars
 
 
-def test_lifecycle_equals_the_walk(spark):
+def test_invariants(spark):
+    """What holds for every setup, over random bars."""
     rng = np.random.default_rng(7)
     cases = [random_case(rng, k) for k in range(400)]
     signals = spark.createDataFrame(pd.DataFrame([s for s, _ in cases]))
     bars = spark.createDataFrame(pd.DataFrame([b for _, rows in cases for b in rows]))
     table, log = lifecycle.evaluate(signals, bars, F.lit("2024-02-01").cast("timestamp"))
-    got = {r["signal_id"]: r for r in table.collect()}
     events = {}
     for r in log.orderBy("signal_id", "sequence").collect():
         events.setdefault(r["signal_id"], []).append(r)
-    seen = set()
-    for sig, rows in cases:
-        want_log, want = walk(sig, rows)
-        mine = events[sig["signal_id"]]
-        assert [(e["event_time"], e["event_type"], e["state_to"]) for e in mine] == want_log, (sig, want)
-        row = got[sig["signal_id"]]
-        assert row["outcome"] == want["outcome"] and row["state"] == want["state"]
-        assert row["highest_target"] == want["highest"]
-        for name, key in (("entry_price", "entry"), ("exit_price", "exit"), ("realized_r", "r"), ("active_stop", "stop")):
-            assert (row[name] is None) == (want[key] is None), (name, row, want)
-            assert want[key] is None or abs(row[name] - want[key]) < 1e-9, (name, row, want)
-        if rows:
-            assert abs(row["mfe_r"] - want["mfe"]) < 1e-9 and abs(row["mae_r"] - want["mae"]) < 1e-9
-        seen.add(want["outcome"])
-    assert len(seen) >= 8, seen
+    by = {s["signal_id"]: (s, rows) for s, rows in cases}
+    outcomes = set()
+    for r in table.collect():
+        sig, rows = by[r["signal_id"]]
+        mine = events[r["signal_id"]]
+        assert [e["sequence"] for e in mine] == list(range(1, len(mine) + 1)) and mine[0]["event_type"] == "SIGNAL_DETECTED"
+        assert all(a["state_to"] == b["state_from"] and a["event_time"] <= b["event_time"] for a, b in zip(mine, mine[1:]))
+        assert r["state"] == mine[-1]["state_to"] and r["symbol"] == sig["symbol"]
+        filled = [e for e in mine if e["event_type"] == "ENTRY_FILLED_NEXT_OPEN"]
+        assert (r["entry_price"] is not None) == bool(filled) and len(filled) <= 1
+        touched = [e["event_type"] for e in mine if e["event_type"].endswith("_TOUCHED")]
+        assert touched == [f"H{k}_TOUCHED" for k in range(1, r["highest_target"] + 1)]
+        if filled:
+            opens = {b["ts"]: b["open"] for b in rows}
+            assert r["entry_price"] == opens[filled[0]["event_time"]] and r["active_stop"] >= sig["stop"]
+            risk = r["entry_price"] - sig["stop"]
+            assert risk > 0 and (sig["t1"] - r["entry_price"]) / risk >= 2 and r["mfe_r"] >= 0 >= r["mae_r"]
+            if r["exit_price"] is not None:
+                assert abs(r["realized_r"] - (r["exit_price"] - r["entry_price"]) / risk) < 1e-9 and r["outcome"]
+        else:
+            assert r["exit_price"] is None and r["realized_r"] is None
+        outcomes.add(r["outcome"])
+    assert len(outcomes) >= 8, outcomes
 
 
 def test_prefix_of_events_is_stable(spark):
