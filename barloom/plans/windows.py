@@ -274,15 +274,20 @@ SHORT_SPANS = (1, 2, 3)
 
 
 def ts02_short(spark: SparkSession, folder: str) -> DataFrame:
+    """Means of one row are the value itself; their digits are compared before any rounding."""
     s = day_series(spark, folder)
     means = [rec.span_mean(f"ema{p}", "close", p) for p in SHORT_SPANS] + [rec.wilder_mean(f"wilder{p}", "close", p) for p in (1, 2)]
-    return rec.add_means(s, means).rows().select("symbol", "ts", *[r(m.name, 4).alias(m.name) for m in means])
+    rows = rec.add_means(s, means).rows()
+    return rows.select(
+        "symbol", "ts", *[(F.col(m.name) == F.col("close")).alias(f"{m.name}_is_close") for m in means if m.periods == 1],
+        *[r(m.name, 4).alias(m.name) for m in means if m.periods > 1],
+    )
 
 
-_SHORT = {f"ema{p}": (2 / (p + 1), p) for p in SHORT_SPANS} | {f"wilder{p}": (1 / p, p) for p in (1, 2)}
+_SHORT = {f"ema{p}": (2 / (p + 1), p) for p in SHORT_SPANS if p > 1} | {"wilder2": (0.5, 2)}
 QUERIES["ts02_ema_short_spans"] = ts02_short
 ORACLES["ts02_ema_short_spans"] = sql.with_(sql.DAY, sql.NUMBERED, f"""short AS (
   SELECT symbol, n, ts, {", ".join(f"close AS {c}" for c in _SHORT)} FROM num WHERE n = 0 UNION ALL
-  SELECT b.symbol, b.n, b.ts, {", ".join(f"q.{c} * {1 - a!r}::DOUBLE + b.close * {a!r}::DOUBLE" for c, (a, _) in _SHORT.items())}
-  FROM short q JOIN num b ON b.symbol = q.symbol AND b.n = q.n + 1)""", recursive=True) + "SELECT symbol, ts, " + ", ".join(
+  SELECT b.symbol, b.n, b.ts, {", ".join(f"q.{c} + (b.close - q.{c}) * {a!r}::DOUBLE" for c, (a, _) in _SHORT.items())}
+  FROM short q JOIN num b ON b.symbol = q.symbol AND b.n = q.n + 1)""", recursive=True) + "SELECT symbol, ts, true AS ema1_is_close, true AS wilder1_is_close, " + ", ".join(
     f"CASE WHEN n >= {p - 1} THEN round({c}, 4) END AS {c}" for c, (_, p) in _SHORT.items()) + " FROM short"
