@@ -114,7 +114,8 @@ def label_days(signals: DataFrame, bars: DataFrame, now: Column, dataset_complet
     every = dates.withColumn("_bar_day", F.col("day")).unionByName(
         signal_days.select("symbol", "day", F.lit(None).cast("date").alias("_bar_day"))
     ).groupBy("symbol", "day").agg(F.max("_bar_day").alias("_bar_day"))
-    later = Window.partitionBy("symbol").orderBy("day").rowsBetween(1, Window.unboundedFollowing)
+    # latest first, so that the frame only grows and its minimum is kept, not evaluated anew
+    later = Window.partitionBy("symbol").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
     following = every.select("symbol", "day", F.min("_bar_day").over(later).alias("next_day"))
     plan = signal_days.join(following, ["symbol", "day"])
     choices = F.array(

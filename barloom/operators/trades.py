@@ -21,6 +21,8 @@ MAX_ENTRY_GAP_PERCENT = 3.0
 MIN_QUALITY = 90
 PORTFOLIO = "paper-default"
 BLOCK = 64
+#: Blocks under one summary row of the next level.
+FAN = 64
 
 
 def next_bar(signals: DataFrame, bars: DataFrame) -> DataFrame:
@@ -83,9 +85,11 @@ def first_exits(trades: DataFrame, bars: DataFrame, block: int = BLOCK) -> DataF
     """trade_id with exit_time, exit_reason and raw_fill of the first bar after entry that closes it.
 
     Most exits are near: the rest of the entry's block and the next block are searched bar by bar.
-    The others look at later blocks through one summary row per block (lowest low, highest high) and
-    then at the bars of the first block that can close them.  Every join is an equi-join on
-    (symbol, block), so a symbol with much history or many trades spreads over its blocks.
+    The others look at later blocks through summary rows (lowest low, highest high) of blocks, of 64
+    blocks, of 64 times 64, and so on: up the levels until one can close the trade, down again to its
+    first block, then at that block's bars.  A trade meets at most 64 rows per level, however long the
+    history.  Every join is an equi-join on (symbol, block), so a symbol with much history or many
+    trades spreads over its blocks.
     """
     side = bars.select("symbol", F.floor(F.col("bar_no") / block).alias("_block"), "bar_no", F.col("ts").alias("exit_time"), "open", "high", "low")
     want = trades.select("trade_id", "symbol", "entry_bar", "stop", "target_1", "target_2", F.floor((F.col("entry_bar") + 1) / block).alias("_home"))
@@ -98,16 +102,38 @@ def first_exits(trades: DataFrame, bars: DataFrame, block: int = BLOCK) -> DataF
 
     near = search(want.withColumn("_block", F.explode(F.sequence(F.col("_home"), F.col("_home") + 1))))
     rest = want.join(near, "trade_id", "left_anti")
-    summary = side.groupBy("symbol", "_block").agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
-    last = summary.groupBy("symbol").agg(F.max("_block").alias("_last"))
-    later = rest.join(last, "symbol").filter(F.col("_last") >= F.col("_home") + 2).withColumn(
-        "_block", F.explode(F.sequence(F.col("_home") + 2, F.col("_last"))))
-    possible = later.join(summary, ["symbol", "_block"]).filter((F.col("_low") <= F.col("stop")) | (F.col("_high") >= F.col("target_1")))
-    chosen = possible.groupBy("trade_id").agg(F.min("_block").alias("_block"))
+    chosen = _closing_block(rest.withColumn("_from", F.col("_home") + 2), side)
     far = search(rest.join(chosen, "trade_id"))
     return near.unionByName(far)
 
 
+def _closing_block(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """trade_id and the first ``_block`` from ``_from`` on that reaches its stop or first target."""
+    levels = [bars.groupBy("symbol", "_block").agg(F.min("low").alias("_low"), F.max("high").alias("_high"))]
+    most = levels[0].agg(F.max("_block")).first()[0] or 0
+    while most >= FAN:
+        most //= FAN
+        above = levels[-1].withColumn("_block", F.floor(F.col("_block") / FAN))
+        levels.append(above.groupBy("symbol", "_block").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")))
+
+    def first(candidates: DataFrame, level: DataFrame) -> DataFrame:
+        reached = (F.col("_low") <= F.col("stop")) | (F.col("_high") >= F.col("target_1"))
+        return candidates.join(level, ["symbol", "_block"]).filter(reached).groupBy("trade_id").agg(F.min("_block").alias("_block"))
+
+    todo = trades.select("trade_id", "symbol", "stop", "target_1", "_from")
+    plain = todo.drop("_from")
+    found = []
+    for level in levels:  # up: the rest of the blocks under the same parent
+        end = (F.floor(F.col("_from") / FAN) + 1) * FAN - 1
+        here = first(todo.withColumn("_block", F.explode(F.sequence("_from", end))), level)
+        found.append(here)
+        todo = todo.join(here, "trade_id", "left_anti").withColumn("_from", F.floor(F.col("_from") / FAN) + 1)
+    for k in range(len(levels) - 1, 0, -1):  # down: the children of the block found
+        inside = plain.join(found[k], "trade_id").withColumn("_block", F.explode(F.sequence(F.col("_block") * FAN, F.col("_block") * FAN + FAN - 1)))
+        found[k - 1] = found[k - 1].unionByName(first(inside, levels[k - 1]))
+    return found[0]
+
+
 def close_trades(trades: DataFrame, exits: DataFrame, commission_bps: float = COMMISSION_BPS, slippage_bps: float = SLIPPAGE_BPS) -> DataFrame:
     """Trades with exit price, gross and net result; open trades keep nulls."""
     rows = trades.join(exits, "trade_id", "left")

@@ -7,29 +7,54 @@ and push filters into the scan, and keeps their plans short.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.session import checkpoint_dir
 
-_tables: dict[tuple[str, str, str], DataFrame] = {}
+_tables: dict[tuple[str, str, str, str], DataFrame] = {}
 _held: list[DataFrame] = []
+_lock = threading.RLock()
+
+
+def listing(spark: SparkSession, folder: str) -> str:
+    """Fingerprint of the files under ``folder``: their paths, sizes and times.
+
+    A folder that only Spark can list is read through it; the contents are not touched.
+    """
+    if os.path.isdir(folder):
+        found = []
+        for at, _, names in os.walk(folder):
+            for name in names:
+                state = os.stat(os.path.join(at, name))
+                found.append((os.path.join(at, name), state.st_size, state.st_mtime_ns))
+        return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    row = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()
+    return f"{row[0]}:{row[1]}"
 
 
 def staged(name: str, spark: SparkSession, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` derived from ``folder``, built and written at first use in a session."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _tables:
-        frame = build()
-        path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
-        frame.write.parquet(path)
-        _tables[key] = spark.read.schema(frame.schema).parquet(path)
-        release()
-    return _tables[key]
+    """The table ``name`` derived from ``folder``, built and written at first use in a session.
+
+    Files that changed since then are another input, so the table is built again.
+    """
+    key = (spark.sparkContext.applicationId, folder, listing(spark, folder), name)
+    with _lock:
+        if key not in _tables:
+            frame = build()
+            path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+            frame.write.parquet(path)
+            _tables[key] = spark.read.schema(frame.schema).parquet(path)
+            release()
+        return _tables[key]
 
 
 def hold(frame: DataFrame) -> DataFrame:
