@@ -5,9 +5,11 @@ Every document becomes the set of its distinct five-word shingles, and the set a
 agree in a whole band are candidates.  Candidates are compared by signature, and what may be similar
 enough is confirmed on full sets.  Links join classes into components.
 
-Within a band's group not all pairs are compared.  First every member meets the group's least member;
-the links found make components.  Then only members of groups that still hold several components meet,
-and of these only those of different components: within a component more links would change nothing.
+Within a band's group not all pairs are compared.  First every member meets the group's least and
+greatest member; the links found make components.  Then only members of groups that still hold several
+components meet, and of these only those of different components: within a component more links would
+change nothing.  Such a pair leaves the join only in its first common band, and only if a longer
+signature of ``SKETCH`` one-bit minima, compared in the join itself, says that it may be similar enough.
 """
 
 from __future__ import annotations
@@ -30,13 +32,17 @@ SIMILAR = (75, 100)
 #: Signatures may agree this much less than the threshold (five standard deviations) before the sets decide.
 SLACK = 5 * (0.75 * 0.25 / (BANDS * ROWS)) ** 0.5
 BLOCK = 64
+#: One-bit minima agree with probability (1 + similarity) / 2; a pair at the threshold is four and a half
+#: standard deviations above this many equal bits.
+SKETCH = 3072
+LEAST_BITS = int(SKETCH * (0.875 - 4.5 * (0.875 * 0.125 / SKETCH) ** 0.5))
 SETS = "doc_id long, n_shingles long, key1 long, key2 long, signature binary"
 LINKS = "u long, v long"
 
 
-def _universal(seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+def _universal(n: int = BANDS * ROWS, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, BANDS * ROWS, np.uint32)
+    return rng.integers(0, 2**31, n, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, np.uint32)
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -54,20 +60,35 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return [np.unique(names[a:b]) for a, b in zip(before[:-1].tolist(), last.tolist())]
 
 
+def _minima(sets: list[np.ndarray], hashes: tuple[np.ndarray, np.ndarray]):
+    """Minima of all sets, none of them empty, under one hash after the other."""
+    x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+    at = np.cumsum([0, *(len(s) for s in sets[:-1])])
+    for a, b in zip(*hashes):
+        yield np.minimum.reduceat(x * a + b, at)
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Minima of each set under every hash (sets x hashes); an empty set has the greatest value everywhere."""
     out = np.full((len(sets), BANDS * ROWS), 2**32 - 1, np.uint32)
     full = [k for k, s in enumerate(sets) if len(s)]
     if full:
-        x = (np.concatenate([sets[k] for k in full]) >> np.uint64(32)).astype(np.uint32)
-        at = np.cumsum([0, *(len(sets[k]) for k in full[:-1])])
-        mine = np.empty((BANDS * ROWS, len(full)), np.uint32)
-        for h, (a, b) in enumerate(zip(*_universal())):
-            mine[h] = np.minimum.reduceat(x * a + b, at)
-        out[full] = mine.T
+        out[full] = np.stack(list(_minima([sets[k] for k in full], _universal())), 1)
     return out
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One bit of each of ``SKETCH`` further minima, packed into longs (sets x longs)."""
+    out = np.zeros((len(sets), SKETCH // 8), np.uint8)
+    full = [k for k, s in enumerate(sets) if len(s)]
+    if full:
+        bits = np.empty((SKETCH, len(full)), bool)
+        for h, least in enumerate(_minima([sets[k] for k in full], _universal(SKETCH, 23))):
+            bits[h] = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+        out[full] = np.packbits(bits, axis=0).T
+    return out.view(np.int64)
+
+
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -85,7 +106,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(band, node): one row for each band of each class."""
+    """(band, node, number): one row for each band of each class."""
 
     def run(batches):
         for batch in batches:
@@ -94,10 +115,13 @@ def _bands(nodes: DataFrame) -> DataFrame:
             marks = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, BANDS, ROWS)
             cells = band_names(marks)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cells.ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], names=["band", "node"],
+                [
+                    pa.array(cells.ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS)),
+                    pa.array(np.tile(np.arange(1, BANDS + 1, dtype=np.int32), batch.num_rows)),
+                ], names=["band", "node", "number"],
             )
 
-    return nodes.select("node", "signature").mapInArrow(run, "band long, node long")
+    return nodes.select("node", "signature").mapInArrow(run, "band long, node long, number int")
 
 
 def band_names(marks: np.ndarray) -> np.ndarray:
@@ -142,18 +166,21 @@ def _confirm(table: pa.Table) -> pa.Table:
 
 
 def _named(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, names, signature) of the wanted nodes."""
+    """(node, names, signature, sketch, cells) of the wanted nodes; cells are 32 bits of each band's name."""
 
     def run(batches):
         for batch in batches:
             for part in byte_balanced(batch, "text", 1 << 20):
                 sets = shingle_sets(part.column("text"))
+                marks = signatures(sets)
+                cells = band_names(marks.reshape(len(sets), BANDS, ROWS)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()),
-                    pa.array([m.tobytes() for m in signatures(sets)], pa.binary()),
-                ], names=["node", "names", "signature"])
+                    part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary()),
+                    pa.array(list(sketches(sets)), pa.list_(pa.int64())), pa.array(list(cells), pa.list_(pa.int32())),
+                ], names=["node", "names", "signature", "sketch", "cells"])
 
-    return texts(docs).join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "node long, names binary, signature binary")
+    chosen = texts(docs).join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    return chosen.mapInArrow(run, "node long, names binary, signature binary, sketch array<long>, cells array<int>")
 
 
 def _links(pairs: DataFrame, named: DataFrame) -> DataFrame:
@@ -169,6 +196,15 @@ def _links(pairs: DataFrame, named: DataFrame) -> DataFrame:
     return members.unionByName(leaders).groupBy("leader", "block").applyInArrow(_confirm, LINKS)
 
 
+def _unlike_pairs(split: DataFrame) -> DataFrame:
+    """(leader, node) of one band and of different components, in their first common band, if their sketches are close."""
+    a, b = split.alias("a"), split.alias("b")
+    differ = " + ".join(f"bit_count(a.sketch[{k}] ^ b.sketch[{k}])" for k in range(SKETCH // 64))
+    condition = f"""a.band = b.band AND a.c < b.c AND {SKETCH} - ({differ}) >= {LEAST_BITS}
+        AND array_position(zip_with(a.cells, b.cells, (x, y) -> x = y), true) = a.number"""
+    return a.join(b, F.expr(condition)).select(F.col("b.node").alias("leader"), F.col("a.node").alias("node"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``.
 
@@ -200,12 +236,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = written(spark, components(links), "components")
 
     # groups that still hold several components: members of different components meet
-    placed = members.select("band", "node").join(first, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
+    placed = members.select("band", "node", "number").join(first, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     split = placed.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("band")
-    split = written(spark, placed.join(split, "band", "left_semi"), "split")
-    other = split.select("band", F.col("node").alias("leader"), F.col("c").alias("d"))
-    met = split.join(other, "band").filter("c < d").select("leader", "node").distinct()
-    late = written(spark, _links(met.join(led.distinct(), ["leader", "node"], "left_anti"), named), "late")
+    split = placed.join(split, "band", "left_semi").join(named.select("node", "sketch", "cells"), "node")
+    late = written(spark, _links(_unlike_pairs(written(spark, split, "split")).distinct(), named), "late")
 
     # equal sets and equal ids tie a document's rows to its classes
     same = known.select("doc_id", "key1", "key2").join(classes, ["key1", "key2"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
