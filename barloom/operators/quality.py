@@ -16,6 +16,7 @@ CHECKS = (
     "non-positive price", "negative volume", "invalid OHLC", "invalid symbol", "unexpected symbol",
     "abnormal jump; corporate action adjustment required",
 )
+MISSING = "missing rows or columns"
 SESSION_OPEN, SESSION_END = "10:00:00", "18:10:00"
 
 
@@ -69,9 +70,12 @@ def arrival_pairs(bars: DataFrame, slice_rows: int = 65536) -> DataFrame:
 
 def validate_series(
     bars: DataFrame, now: Column, stale_seconds: int = 172800, max_jump_percent: float = 40.0,
-    group: str = "symbol", slice_rows: int = 65536,
+    group: str = "symbol", slice_rows: int = 65536, expected: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per symbol: status, quality score and the list of failed checks."""
+    """One row per symbol: status, quality score and the list of failed checks.
+
+    Symbols of ``expected`` without any bar are MISSING with a score of 0.
+    """
     paired = arrival_pairs(bars, slice_rows)
     copies = bars.filter(F.col("ts").isNotNull()).groupBy(group, "ts").agg(F.count(F.lit(1)).alias("_n"))
     doubled = copies.groupBy(group).agg((F.max("_n") > 1).alias("_doubled"))
@@ -99,17 +103,45 @@ def validate_series(
     out = flags.withColumn("errors", errors)
     stale = (F.unix_micros(now) - F.unix_micros("_newest")) > stale_seconds * 1_000_000
     invalid = F.size("errors") > 0
-    return out.select(
+    found = out.select(
         group,
         F.when(invalid, "INVALID").when(stale, "STALE").otherwise("OK").alias("status"),
         F.when(invalid, F.greatest(F.lit(0.0), 100.0 - F.size("errors") * 20.0))
         .when(stale, 70.0).otherwise(100.0).alias("quality_score"),
         F.when(~invalid & stale, F.array(F.lit("stale data"))).otherwise(F.col("errors")).alias("errors"),
     )
+    if expected is None:
+        return found
+    absent = expected.select(group).distinct().join(found.select(group), group, "left_anti").select(
+        group, F.lit("MISSING").alias("status"), F.lit(0.0).alias("quality_score"), F.array(F.lit(MISSING)).alias("errors"))
+    return found.unionByName(absent)
+
+
+# Reasons for which a history is refused, in the order of the checks.
+NO_HISTORY = "malformed historical data"
+REFUSALS = (
+    ("bad_timestamp", "invalid timestamp"), ("unordered", "unordered historical data"),
+    ("duplicate", "duplicate historical bar"), ("foreign", "unexpected symbol"),
+)
+
+
+def refused_histories(bars: DataFrame, expected: DataFrame) -> DataFrame:
+    """symbol and the first reason for which its history is refused; symbols without a fault are left out.
+
+    ``expected`` lists the symbols asked for: one without bars is refused, and so are bars of
+    any other symbol.
+    """
+    asked = expected.select("symbol").distinct().withColumn("_asked", F.lit(True))
+    both = history_problems(bars).withColumn("_has", F.lit(True)).join(asked, "symbol", "full_outer")
+    both = both.withColumn("foreign", F.col("_asked").isNull())
+    reason = F.when(F.col("_has").isNull(), NO_HISTORY)
+    for flag, text in REFUSALS:
+        reason = reason.when(F.coalesce(F.col(flag), F.lit(False)), text)
+    return both.select("symbol", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def history_problems(bars: DataFrame) -> DataFrame:
-    """Symbols whose history must be refused, with the first reason; empty when all are clean."""
+    """One row per symbol: whether its timestamps are broken, out of order or doubled."""
     paired = arrival_pairs(bars)
     return paired.groupBy("symbol").agg(
         F.coalesce(F.bool_or(F.col("ts").isNull()), F.lit(False)).alias("bad_timestamp"),

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.quality import latest_rows
 
 
-def top_candidates(rows: DataFrame, score: str = "score", minimum: int = 70, n: int = 10) -> DataFrame:
-    return rows.filter(F.col(score) >= minimum).orderBy(F.desc(score), "symbol").limit(n)
+def top_candidates(rows: DataFrame, score: str = "score", minimum: int = 70, n: int = 10, ties: Sequence[str] = ()) -> DataFrame:
+    """The n best rows of at least ``minimum``, by score, then symbol, then ``ties``."""
+    return rows.filter(F.col(score) >= minimum).orderBy(F.desc(score), "symbol", *ties).limit(n)
 
 
 def newest_per_symbol(rows: DataFrame, score: str = "radar_score", seq: str = "seq") -> DataFrame:

@@ -158,8 +158,11 @@ def unique_open(trades: DataFrame, keys: Sequence[str] = ("portfolio_id", "strat
 
 
 def fingerprint(settings: dict[str, object]) -> Column:
-    """SHA-256 of the settings in key order."""
-    return F.sha2(F.to_json(F.struct(*[F.lit(str(settings[k])).alias(k) for k in sorted(settings)])), 256)
+    """SHA-256 of the settings in key order; a setting may be a column."""
+    def text(value: object) -> Column:
+        return value.cast("string") if isinstance(value, Column) else F.lit(str(value))
+
+    return F.sha2(F.to_json(F.struct(*[text(settings[k]).alias(k) for k in sorted(settings)])), 256)
 
 
 def extremes(trades: DataFrame, n: int = 10) -> DataFrame:

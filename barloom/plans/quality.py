@@ -78,6 +78,27 @@ def v01_clean(spark: SparkSession, folder: str) -> DataFrame:
     return _state(bars, F.lit("2001-11-05").cast("timestamp"))
 
 
+@query("v01_missing_series", RAW + "," + _SERIES_STATE.format(rows="raw", now=NOW_SQL) + """
+SELECT symbol, status FROM (""" + _STATE_PICK + """) UNION ALL
+SELECT DISTINCT 'NO' || n_regionkey, 'MISSING' FROM nation""")
+def v01_missing(spark: SparkSession, folder: str) -> DataFrame:
+    """Symbols asked for without bars, beside those with bars."""
+    absent = tables.table(spark, folder, "nation").select(F.concat(F.lit("NO"), F.col("n_regionkey").cast("string")).alias("symbol"))
+    rows = raw_bars(spark, folder)
+    return quality.validate_series(rows, now(), expected=absent.unionByName(rows.select("symbol"))).select("symbol", "status")
+
+
+@query("v02_refused_histories", RAW + """,
+p AS (SELECT symbol, bool_or(ts < p) AS unordered, bool_or(ts = p) AS duplicate
+  FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ingest_seq) AS p FROM raw) GROUP BY 1)
+SELECT symbol, CASE WHEN unordered THEN 'unordered historical data' WHEN duplicate THEN 'duplicate historical bar' ELSE 'unexpected symbol' END AS reason
+FROM p WHERE symbol LIKE 'c%' OR unordered OR duplicate UNION ALL SELECT DISTINCT 'NO' || n_regionkey, 'malformed historical data' FROM nation""")
+def v02_refused(spark: SparkSession, folder: str) -> DataFrame:
+    absent = tables.table(spark, folder, "nation").select(F.concat(F.lit("NO"), F.col("n_regionkey").cast("string")).alias("symbol"))
+    rows = raw_bars(spark, folder)
+    return quality.refused_histories(rows, absent.unionByName(rows.select("symbol").filter(~F.col("symbol").startswith("c"))))
+
+
 @query("v02_history_problems", RAW + """
 SELECT symbol, false AS bad_timestamp, bool_or(ts < p) AS unordered, bool_or(ts = p) AS duplicate
 FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ingest_seq) AS p FROM raw) GROUP BY 1""")

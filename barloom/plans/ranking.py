@@ -32,7 +32,7 @@ def query(name: str, oracle: str | None = None) -> Callable:
 @query("o01_top_candidates", SCORES + "SELECT symbol, ts, score FROM scored WHERE score >= 70 ORDER BY score DESC, symbol, ts LIMIT 10")
 def o01(spark: SparkSession, folder: str) -> DataFrame:
     rows = data.daily_score_rows(spark, folder).select("symbol", "ts", "score")
-    return rows.filter(F.col("score") >= 70).orderBy(F.desc("score"), "symbol", "ts").limit(10)
+    return ranking.top_candidates(rows, ties=("ts",))
 
 
 @query("o02_newest_per_symbol", """
@@ -104,10 +104,12 @@ def o09(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("o10_no_longer_listed", """
-SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-28' EXCEPT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-28'""")
+SELECT user_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 12 HOUR
+EXCEPT SELECT user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR""")
 def o10(spark: SparkSession, folder: str) -> DataFrame:
+    """Users without an event in the last twelve hours."""
     events = tables.table(spark, folder, "events").withColumn("t", F.col("ts").cast("timestamp"))
-    cut = F.lit("2024-01-28").cast("timestamp")
+    cut = F.lit(events.agg(F.max("t")).first()[0]) - F.expr("INTERVAL 12 HOURS")
     return events.filter(F.col("t") < cut).select("user_id").subtract(events.filter(F.col("t") >= cut).select("user_id"))
 
 

@@ -78,6 +78,17 @@ def t02(spark: SparkSession, folder: str) -> DataFrame:
         "signal_id", "idempotency_key", "symbol", "signal_time", "expected_entry", "stop", "target_1", "target_2", "score", "regime")
 
 
+@query("udf_strategy_hook", SCORES + """
+SELECT symbol, ts AS signal_time, close AS expected_entry, stop, target_1, target_2, score FROM scored WHERE score >= 50 AND regime <> 'BEAR'""")
+def udf_hook(spark: SparkSession, folder: str) -> DataFrame:
+    """A user's strategy: middling scores outside a falling market."""
+    def middling(rows: DataFrame) -> DataFrame:
+        return rows.filter((F.col("score") >= 50) & (F.col("regime") != "BEAR")).select(
+            "symbol", F.col("ts").alias("signal_time"), "bar_no", F.col("entry").alias("expected_entry"), "stop", "target_1", "target_2", "score")
+
+    return signals.apply_strategy(data.daily_score_rows(spark, folder), middling).drop("bar_no")
+
+
 @query("t03_entry_gates", GATED + "SELECT symbol, ts AS signal_time, result FROM gated")
 def t03(spark: SparkSession, folder: str) -> DataFrame:
     return gated_rows(spark, folder).select("symbol", "signal_time", "result")
@@ -168,8 +179,8 @@ SELECT n_name, sha256('{"commission_bps":"10.0","nation":"' || n_name || '","sli
 def t12(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of the cost settings per nation's portfolio."""
     nations = tables.table(spark, folder, "nation")
-    settings = F.to_json(F.struct(F.lit(str(trades.COMMISSION_BPS)).alias("commission_bps"), F.col("n_name").alias("nation"), F.lit(str(trades.SLIPPAGE_BPS)).alias("slippage_bps")))
-    return nations.select("n_name", F.sha2(settings, 256).alias("fingerprint"))
+    settings = {"commission_bps": trades.COMMISSION_BPS, "nation": F.col("n_name"), "slippage_bps": trades.SLIPPAGE_BPS}
+    return nations.select("n_name", trades.fingerprint(settings).alias("fingerprint"))
 
 
 # --- statistics -----------------------------------------------------------------------------
