@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from barloom.functions.bars import arrival_order
 from barloom.plans import datasets as data
@@ -55,15 +56,12 @@ def st02_stream(spark: SparkSession, folder: str) -> DataFrame:
 @query("st03_late_and_revised", RAW + "," + _ERRORS + "," + _CLASSES + """
 SELECT 'bars' AS kind, count(*) AS rows FROM kept UNION ALL SELECT 'revisions', count(*) FROM cls WHERE c = 'revision' UNION ALL SELECT 'quarantine', count(*) FROM errs WHERE k > 0""")
 def st03(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw bars arriving in two files; the copies come with the second one."""
+    """Raw bars arriving in two parts; the copies come with the second one."""
     out = scratch(spark, "stream-ingest")
     raw = raw_bars(spark, folder).drop("fault", "slot")
-    for k in (0, 1):
-        raw.filter(F.col("copy") == k).drop("copy").coalesce(1).write.mode("append").parquet(f"{out}/in")
-    arriving = spark.readStream.schema(raw.drop("copy").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
-    run = arriving.writeStream.foreachBatch(stream_ingest.keep_first(f"{out}/store")).option(
-        "checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
-    run.awaitTermination()
+    sink = stream_ingest.keep_first(f"{out}/store")
+    _feed([raw.filter(F.col("copy") == k).drop("copy") for k in (0, 1)], f"{out}/in", lambda arriving: arriving.writeStream.foreachBatch(
+        sink).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start())
     kinds = None
     for kind in ("bars", "revisions", "quarantine"):
         part = spark.read.parquet(f"{out}/store/{kind}").agg(F.count(F.lit(1)).alias("rows")).withColumn("kind", F.lit(kind))
@@ -71,15 +69,21 @@ def st03(spark: SparkSession, folder: str) -> DataFrame:
     return kinds
 
 
-def _arrive(rows: DataFrame, parts: int, path: str) -> None:
-    """Write the rows as files that arrive in order of time: equal spans between the first and the last, the ends open."""
+def _feed(parts: Iterable[DataFrame], path: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Let the parts arrive one after the other, each as many files as it has tasks; the query takes up where it stopped."""
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        start(part.sparkSession.readStream.schema(part.schema).parquet(path)).awaitTermination()
+
+
+def _by_time(rows: DataFrame, parts: int) -> Iterator[DataFrame]:
+    """The rows in order of time: equal spans between the first and the last, the ends open."""
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
     cuts = [None, *(first + (last - first) * k / parts for k in range(1, parts)), None]
     for a, b in zip(cuts, cuts[1:]):
         part = rows
         part = part if a is None else part.filter(F.col("ts") >= F.lit(a))
-        part = part if b is None else part.filter(F.col("ts") < F.lit(b))
-        part.coalesce(1).write.mode("append").parquet(path)
+        yield part if b is None else part.filter(F.col("ts") < F.lit(b))
 
 
 @query("st04_stream_cooldown", STATEFUL["st04_cooldown"])
@@ -87,25 +91,21 @@ def st04_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The cooldown as keyed state; the answers equal the batch form's."""
     out = scratch(spark, "stream-cooldown")
     snaps = data.snapshot_rows(spark, folder).select("symbol", "timeframe", "ts", F.col("radar_score").cast("long").alias("score"))
-    _arrive(snaps, 2, f"{out}/in")
-    arriving = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
-    run = stream_bars.write_once(stream_cooldown.stream_decisions(arriving), f"{out}/data", f"{out}/log")
-    run.awaitTermination()
+    _feed(_by_time(snaps, 2), f"{out}/in", lambda arriving: stream_bars.write_once(
+        stream_cooldown.stream_decisions(arriving), f"{out}/data", f"{out}/log"))
     return spark.read.parquet(f"{out}/data").select("symbol", "ts", "score", "decision")
 
 
 @query("st06_stream_lifecycle")
 def st06_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Events written by a stream of three bar files, beside those of the batch run (equal counts)."""
+    """Events written by a stream of bars in three parts, beside those of the batch run (equal counts)."""
     out = scratch(spark, "stream-lifecycle")
     bars = completed(context_rows(spark, folder), now()).select("symbol", "ts", "bar_no", "open", "high", "low", "close", "volume",
                                               "ctx_momentum", "ctx_rvol", "ctx_atr", "ctx_ema20", "ctx_vwap")
-    _arrive(bars, 3, f"{out}/in")
     signals = data.planned_signals(spark, folder)
-    arriving = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
     sink = stream_lifecycle.advance_setups(lambda: signals, f"{out}/store")
-    run = arriving.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
-    run.awaitTermination()
+    _feed(_by_time(bars, 3), f"{out}/in", lambda arriving: arriving.writeStream.foreachBatch(
+        sink).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start())
     streamed = spark.read.parquet(f"{out}/store/events").groupBy("event_type").agg(F.count(F.lit(1)).alias("streamed"))
     _, events = lifecycle_tables(spark, folder)
     batch = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("batch"))

@@ -24,7 +24,9 @@ def keep_first(path: str) -> Callable[[DataFrame, int], None]:
         batch = batch.persist()
         valid, bad = split_valid(batch)
         stored = read_or_empty(spark, f"{path}/bars", valid.select(*columns, F.lit(0).alias("batch_id")).schema)
-        stored = stored.filter(F.col("batch_id") < batch_id).select(*columns)
+        # only the stored bars of the batch's own time range are read (a bound that the file statistics prune by)
+        first_ts, last_ts = valid.agg(F.min("ts"), F.max("ts")).first()
+        stored = stored.filter((F.col("batch_id") < batch_id) & F.col("ts").between(F.lit(first_ts), F.lit(last_ts))).select(*columns)
         first = valid.groupBy(*IDENTITY).agg(F.min_by(F.struct(*VALUES), "ingest_seq").alias("_v"))
         first = first.select(*IDENTITY, *[F.col(f"_v.{v}").alias(v) for v in VALUES])
         fresh = first.join(stored.select(*IDENTITY), list(IDENTITY), "left_anti")
