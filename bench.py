@@ -18,7 +18,7 @@ HEADLINES = (
     "ts18_slot_relative_volume", "f01_feature_table", "f05_score", "f07_intraday_features", "f11_classify_text",
     "v01_validate_raw_series", "in02_ingest_metrics", "in06_dataset_hash", "l01_l03_labels", "l06_level_audit",
     "t05_exits", "t08_equity_curve", "a05_bucket_analytics", "a11_trade_metrics", "st04_cooldown",
-    "st06_lifecycle", "m05_logistic_heads", "m09_classification_metrics",
+    "st06_lifecycle", "m05_logistic_heads", "m09_classification_metrics", "st02_stream_bars", "st04_stream_cooldown",
 )
 
 

@@ -4,6 +4,7 @@ Set BARLOOM_ALL_ORACLES=1 to compare every query.
 """
 
 import os
+import re
 
 import pytest
 
@@ -11,13 +12,16 @@ import __spark_entry__ as contract
 from check_oracle import compare, rows_of_duckdb
 
 SMALL = "/root/testdata/sf0.001"
-SAMPLE = ("st01_bars_15m", "ts09_relative_volume", "ts02_ema", "f12_buckets", "in02_ingest_metrics", "l06_level_audit", "t05_exits", "st04_cooldown", "m09_classification_metrics", "j08_as_of")
+SAMPLE = ("st01_bars_15m", "ts09_relative_volume", "ts02_ema", "f12_buckets", "in02_ingest_metrics", "l06_level_audit", "t05_exits", "st04_cooldown", "m09_classification_metrics", "j08_as_of",
+          "st01_bars_large_keys", "ts02_ema_short_spans", "sc05_two_decimals", "st04_cooldown_repeats", "v01_missing_series", "v02_refused_histories",
+          "udf_strategy_hook", "o10_no_longer_listed", "t12_config_fingerprint")
 
 
 def test_contract():
     names, oracles = contract.queries(), contract.oracle_sql()
     assert set(oracles) <= set(names) and len(names) > 150
-    assert len(set(names) - set(oracles)) < 12
+    without = {n for n in set(names) - set(oracles) if not re.match(r"op\d+_|pipeline$", n)}  # the training-data operators have tests of their own
+    assert len(without) < 8
 
 
 def test_entry(spark):
