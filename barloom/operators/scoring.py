@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.text import two_decimals
+from barloom.functions.text import decimals, six_digits, two_decimals
 
 # The strategy names, cut-offs and points below must give the published scores.
 INTRADAY_STRATEGY = "radar-intraday-v1"
@@ -235,3 +235,49 @@ def alert_reason(now: Column, max_age_minutes: int, market_open: Column) -> Colu
         .when(stale, "ALERT_SUPPRESSED_STALE_DATA")
         .when(~strong, "ALERT_SUPPRESSED_CLASS")
     )
+
+
+# Lines of the alert and research messages.
+ALERT_TITLES = ("🔥 BIST RADAR — ÇOK GÜÇLÜ ADAY", "🔥 BIST RADAR — GÜÇLÜ ADAY")
+RESEARCH_TITLE = "🔥 BIST RADAR — RESEARCH"
+PAPER_ONLY = "RESEARCH / PAPER ONLY"
+DISCLAIMER = "Bu sistem yatırım tavsiyesi değildir."
+ALERT_DISCLAIMER = "Bu sistem yatırım tavsiyesi değildir.\nKarar-destek ve paper trading amaçlıdır."
+NO_RATIO = "Veri yok"
+
+
+def _utc_text(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss+00:00")
+
+
+def _lines(*parts: Column | str) -> Column:
+    return F.array_join(F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts]), "\n")
+
+
+def alert_text(now: Column, shadow_status: str | Column) -> Column:
+    """Message of a candidate: symbol, radar_score, price, rvol, early_momentum_score, risk_reward and ts."""
+    age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros("ts")) / 60e6)
+    ratio = F.when(F.col("risk_reward").isNull(), NO_RATIO).otherwise(F.concat(F.lit("1:"), decimals(F.col("risk_reward"), 1)))
+    return _lines(
+        F.when(F.col("radar_score") >= 90, ALERT_TITLES[0]).otherwise(ALERT_TITLES[1]), "", F.col("symbol"),
+        F.format_string("Radar: %d/100", "radar_score"), F.concat(F.lit("Fiyat: "), six_digits(F.col("price"))),
+        F.concat(F.lit("15m RVOL: "), two_decimals(F.col("rvol")), F.lit("x")), F.format_string("Early Momentum: %d", "early_momentum_score"),
+        F.concat(F.lit("Risk/Getiri: "), ratio), "", F.concat(F.lit("Veri zamanı: "), _utc_text(F.col("ts"))),
+        F.concat(F.lit("Veri yaşı: "), decimals(age, 0), F.lit(" dk")), "", "Shadow:", shadow_status, "", PAPER_ONLY, ALERT_DISCLAIMER,
+    )
+
+
+def research_text(shadow: Column | None = None) -> Column:
+    """Message of a snapshot; ``shadow`` is a map from head to probability, its part left out where it is null or empty."""
+    head = _lines(
+        RESEARCH_TITLE, "", F.col("symbol"), F.format_string("Radar: %d", "radar_score"),
+        F.concat(F.lit("15m RVOL: "), two_decimals(F.col("rvol")), F.lit("x")), F.format_string("Early momentum: %d", "early_momentum_score"),
+        F.concat(F.lit("Data timestamp: "), _utc_text(F.col("ts"))),
+        F.concat(F.lit("Data latency: "), decimals(F.col("provider_latency_seconds") / 60, 1), F.lit("m")),
+    )
+    tail = _lines("", PAPER_ONLY, DISCLAIMER)
+    if shadow is None:
+        return F.concat_ws("\n", head, tail)
+    items = F.transform(F.map_entries(shadow), lambda e: F.concat(e["key"], F.lit(": "), decimals(e["value"] * 100, 1), F.lit("%")))
+    middle = F.when(F.size(F.coalesce(F.map_keys(shadow), F.array().cast("array<string>"))) > 0, F.concat(F.lit("\nShadow ML:\n"), F.array_join(items, "\n"), F.lit("\nMode: SHADOW")))
+    return F.concat_ws("\n", head, middle, tail)

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.text import two_decimals
 from barloom.operators import features as feat
 from barloom.operators import quality, risk, scoring, signals
 from barloom.plans import datasets as data
@@ -330,26 +329,29 @@ def f14_alert_eligibility(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("symbol", "ts", reason.alias("reason"))
 
 
+SHADOW_STATUS = "UNCALIBRATED"
+
+
 def f15_alert_text(spark: SparkSession, folder: str) -> DataFrame:
-    snaps = data.snapshot_rows(spark, folder).filter(F.col("radar_score") >= 80)
-    text = F.concat_ws(
-        "\n",
-        F.when(F.col("radar_score") >= 90, "VERY STRONG CANDIDATE").otherwise("STRONG CANDIDATE"),
-        "symbol",
-        F.format_string("Radar: %d/100", "radar_score"),
-        F.concat(F.lit("15m RVOL: "), two_decimals(F.col("rvol")), F.lit("x")),
-        F.format_string("Early Momentum: %d", "early_momentum_score"),
-        F.concat(F.lit("Data time: "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss+00:00")),
-        F.format_string("Data latency: %.1fm", F.col("provider_latency_seconds") / 60),
-        F.lit("RESEARCH / PAPER ONLY"),
-    )
-    return snaps.select("signal_id", text.alias("message"))
+    """Messages of strong candidates half an hour after the newest bar; the ratio is unknown for the strongest."""
+    snaps = data.snapshot_rows(spark, folder)
+    newest = snaps.agg((F.max("ts") + F.expr("INTERVAL 30 MINUTES")).alias("now"))
+    strong = snaps.filter(F.col("radar_score") >= 70).crossJoin(F.broadcast(newest))
+    strong = strong.withColumn("risk_reward", F.when(F.col("radar_score") < 80, F.col("rvol") / 8))
+    return strong.select("signal_id", scoring.alert_text(F.col("now"), SHADOW_STATUS).alias("message"))
+
+
+def f15_research_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages of all snapshots, with shadow probabilities for the scores from 60 on."""
+    snaps = data.snapshot_rows(spark, folder)
+    shadow = F.when(F.col("radar_score") >= 60, F.create_map(F.lit("entry"), F.col("radar_score") / 128, F.lit("stop"), 1 - F.col("radar_score") / 128))
+    return snaps.select("signal_id", scoring.research_text(shadow).alias("message"))
 
 
 QUERIES |= {
     "f11_classify_text": f11_classify_text, "f12_buckets": f12_buckets,
     "f13_sample_maturity": f13_sample_maturity, "f14_alert_eligibility": f14_alert_eligibility,
-    "f15_alert_text": f15_alert_text,
+    "f15_alert_text": f15_alert_text, "f15_research_text": f15_research_text,
 }
 ORACLES["f11_classify_text"] = (
     f"SELECT doc_id, {_case(scoring.PHRASES)} AS category, {_case(DEMO_PHRASES)} AS demo_category FROM documents")
@@ -370,8 +372,15 @@ SELECT symbol, ts, CASE WHEN NOT (isodow(ts + INTERVAL 3 HOUR) <= 5 AND strftime
   WHEN (SELECT max(ts) FROM snap) + INTERVAL 30 MINUTE - ts > INTERVAL 3 DAY THEN 'ALERT_SUPPRESSED_STALE_DATA'
   WHEN radar_score < 80 THEN 'ALERT_SUPPRESSED_CLASS' END AS reason
 FROM snap"""
-ORACLES["f15_alert_text"] = INTRADAY + """
-SELECT signal_id, concat_ws(chr(10), CASE WHEN radar_score >= 90 THEN 'VERY STRONG CANDIDATE' ELSE 'STRONG CANDIDATE' END, symbol,
-  'Radar: ' || radar_score || '/100', '15m RVOL: ' || format('{:.2f}', rvol) || 'x', 'Early Momentum: ' || early_momentum_score,
-  'Data time: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00'), 'Data latency: 15.0m', 'RESEARCH / PAPER ONLY') AS message
-FROM snap WHERE radar_score >= 80"""
+ORACLES["f15_alert_text"] = INTRADAY + f"""
+SELECT signal_id, array_to_string([CASE WHEN radar_score >= 90 THEN '{scoring.ALERT_TITLES[0]}' ELSE '{scoring.ALERT_TITLES[1]}' END, '', symbol,
+  'Radar: ' || radar_score || '/100', 'Fiyat: ' || format('{{:g}}', price), '15m RVOL: ' || format('{{:.2f}}', rvol) || 'x', 'Early Momentum: ' || early_momentum_score,
+  'Risk/Getiri: ' || CASE WHEN radar_score < 80 THEN '1:' || format('{{:.1f}}', rvol / 8) ELSE '{scoring.NO_RATIO}' END, '',
+  'Veri zamanı: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00'), 'Veri yaşı: ' || format('{{:.0f}}', date_diff('second', ts, (SELECT max(ts) FROM snap) + INTERVAL 30 MINUTE) / 60.0) || ' dk',
+  '', 'Shadow:', '{SHADOW_STATUS}', '', '{scoring.PAPER_ONLY}', '{scoring.ALERT_DISCLAIMER}'], chr(10)) AS message
+FROM snap WHERE radar_score >= 70"""
+ORACLES["f15_research_text"] = INTRADAY + f"""
+SELECT signal_id, array_to_string(list_concat(['{scoring.RESEARCH_TITLE}', '', symbol, 'Radar: ' || radar_score, '15m RVOL: ' || format('{{:.2f}}', rvol) || 'x',
+  'Early momentum: ' || early_momentum_score, 'Data timestamp: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00'), 'Data latency: 15.0m'],
+  CASE WHEN radar_score >= 60 THEN ['', 'Shadow ML:', 'entry: ' || format('{{:.1f}}', radar_score / 128.0::DOUBLE * 100) || '%', 'stop: ' || format('{{:.1f}}', (1 - radar_score / 128.0::DOUBLE) * 100) || '%', 'Mode: SHADOW'] ELSE [] END,
+  ['', '{scoring.PAPER_ONLY}', '{scoring.DISCLAIMER}']), chr(10)) AS message FROM snap"""
