@@ -170,10 +170,11 @@ def j08(spark: SparkSession, folder: str) -> DataFrame:
 @query("j09_visible_benchmark", SCORES + """
 SELECT s.symbol, s.ts, count(m.ts) AS visible_rows FROM (SELECT symbol, ts FROM scored WHERE score >= 70) s JOIN market m ON m.ts <= s.ts GROUP BY 1, 2""")
 def j09(spark: SparkSession, folder: str) -> DataFrame:
-    """How many benchmark rows each candidate may see: the benchmark's own position at that time."""
-    market = tables.market_day_bars(spark, folder).select("ts", (F.col("bar_no") + 1).alias("visible_rows"))
-    picked = data.daily_score_rows(spark, folder).filter(F.col("score") >= 70).select("symbol", "ts")
-    return picked.join(market, "ts").select("symbol", "ts", "visible_rows")
+    """How many benchmark rows each candidate may see: the position of the benchmark's last row up to then."""
+    market = tables.market_day_bars(spark, folder).select(F.lit(1).alias("k"), "ts", (F.col("bar_no") + 1).alias("visible_rows"))
+    picked = data.daily_score_rows(spark, folder).filter(F.col("score") >= 70).select(F.lit(1).alias("k"), "symbol", "ts", F.xxhash64("symbol").alias("tie"))
+    seen = joins.as_of(picked, market, ["k"], F.year("ts"), ["visible_rows"], tie="tie")
+    return seen.filter(F.col("visible_rows").isNotNull()).select("symbol", "ts", "visible_rows")
 
 
 @query("j10_next_bars", INTRADAY + """
