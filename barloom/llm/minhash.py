@@ -34,7 +34,7 @@ SLACK = 5 * (0.75 * 0.25 / (BANDS * ROWS)) ** 0.5
 BLOCK = 64
 #: One-bit minima agree with probability (1 + similarity) / 2; a pair at the threshold is four and a half
 #: standard deviations above this many equal bits.
-SKETCH = 3072
+SKETCH = 4096
 LEAST_BITS = int(SKETCH * (0.875 - 4.5 * (0.875 * 0.125 / SKETCH) ** 0.5))
 SETS = "doc_id long, n_shingles long, key1 long, key2 long, signature binary"
 LINKS = "u long, v long"
