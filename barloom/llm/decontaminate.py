@@ -10,9 +10,11 @@ word edits separate it from a passage.  Every item-sized window of a text is a q
   that agrees with an item in any key is a candidate.
 * Candidates are verified by the exact edit distance between item and text around the window.
 
-Windows that cannot be within the distance of any item are not embedded.  Both tests are lossless: k
-edits leave n - k words of the window in the items' vocabulary, and cut the item into k + 1 pieces of
-which one stands in the window unchanged.
+Windows that cannot be within the distance of any item are not embedded: k edits leave n - k words of
+the window in the items' vocabulary, and cut the item into k + 1 pieces of which one stands in the
+window unchanged.  Where the text's start or end cuts a window short there is nothing to embed; an item
+that shares a piece there, and whose own words make up n - k of the text around it, is verified at once,
+so that no passage at an edge depends on the walks.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ LEAST_WORDS = 5
 #: Bytes of items in one broadcast; larger benchmarks take several passes.
 SLICE_BYTES = 8 << 20
 CHUNK = 2048
+EDGE_CHUNK = 1 << 14
 TABLE_BITS = 20
 SCHEMA = "doc_id long, item_id long, item_words long, distance long, first_word long, end_word long"
 _PUNCTUATION = np.zeros(256, bool)
@@ -107,7 +110,8 @@ class Items:
         self.lengths = sorted({len(w) for w in self.words})
         self.vocabulary = np.zeros(1 << TABLE_BITS, bool)
         self.seen = {piece_words(n): np.zeros(1 << TABLE_BITS, bool) for n in self.lengths}
-        pieces: dict[int, set] = {q: set() for q in self.seen}
+        pieces: dict[int, dict] = {q: defaultdict(list) for q in self.seen}
+        self.own = np.zeros(1 << TABLE_BITS, bool)  # pairs of an item and a word of it
         found = defaultdict(list)
         shift = np.uint64(64 - TABLE_BITS)
         for k, own in enumerate(self.words):
@@ -117,26 +121,49 @@ class Items:
             starts = np.arange(n - q + 1)
             names = span_hash(prefix(own, BASES[0]), starts, starts + q, BASES[0])
             self.seen[q][(names >> shift).astype(np.int64)] = True
-            pieces[q].update((piece, n, o) for o, piece in enumerate(names.tolist()))
+            for o, piece in enumerate(names.tolist()):
+                pieces[q][piece, n, o].append(k)
+            self.own[self._own_cells(own, np.full(n, k))] = True
             for key in embed_keys(own, np.array([0]), np.array([n]))[:, 0].tolist():
                 found[key].append(k)
-        #: Per piece size: sorted piece names with the item length and the offset at which they stand.
-        self.pieces = {}
+        #: Per piece size: sorted piece names with the item length and the offset at which they stand,
+        #: and for each of them the items, from the first of ``bounds`` to the next.
+        self.pieces, self.holders = {}, {}
         for q, rows_ in pieces.items():
             ranked = sorted(rows_)
             self.pieces[q] = (np.array([r[0] for r in ranked], np.uint64), np.array([r[1:] for r in ranked], np.int64).reshape(-1, 2))
+            bounds = np.cumsum([0, *(len(rows_[r]) for r in ranked)])
+            self.holders[q] = (bounds, np.array([k for r in ranked for k in rows_[r]], np.int64))
         self.keys = np.array(sorted(found), np.uint64)
         self.of_key = [found[k] for k in self.keys.tolist()]
 
-    def windows(self, names: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths of the windows that may lie within the distance of an item."""
+    @staticmethod
+    def _own_cells(names: np.ndarray, items: np.ndarray) -> np.ndarray:
+        return (mix(names ^ mix(items.astype(np.uint64))) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def _at_edge(self, names: np.ndarray, low: np.ndarray, high: np.ndarray, items: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
+        """Of the stretches [low, high) of the text, those in which ``least`` words or more may be the item's own."""
+        out = []
+        for a in range(0, len(low), EDGE_CHUNK):
+            at, k = slice(a, a + EDGE_CHUNK), items[a:a + EDGE_CHUNK]
+            size = high[at] - low[at]
+            own = self.own[self._own_cells(names[concat_ranges(low[at], size)], np.repeat(k, size))]
+            enough = np.add.reduceat(own, np.cumsum(size) - size, dtype=np.int64) >= least[at]
+            out.append(np.stack([low[at], high[at], k])[:, enough])
+        return out
+
+    def windows(self, names: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and lengths of the windows that may lie within the distance of an item.
+
+        Third, as columns: start, end and item of each stretch at the edge of a text that may hold the item.
+        """
         shift = np.uint64(64 - TABLE_BITS)
         known = np.concatenate([[0], np.cumsum(self.vocabulary[(mix(names) >> shift).astype(np.int64)])])
         sums = prefix(names, BASES[0])
         total = len(names)
         start = np.repeat(before[:-1], np.diff(before))  # of each word's text
         stop = np.repeat(before[1:], np.diff(before))
-        found = []
+        found, edges = [], []
         for q, table in self.seen.items():
             at = np.arange(max(0, total - q + 1))
             piece = span_hash(sums, at, at + q, BASES[0])
@@ -144,8 +171,18 @@ class Items:
             have, where = self.pieces[q]
             low, high = np.searchsorted(have, piece[at]), np.searchsorted(have, piece[at], "right")
             at = np.repeat(at, high - low)
-            n, offset = where[concat_ranges(low, high - low)].T
+            row = concat_ranges(low, high - low)
+            n, offset = where[row].T
             spare = (EDITS * n).astype(np.int64)  # the piece may stand this much earlier or later in the window
+            low, high = at - offset - spare, at - offset + n + spare
+            a, b = np.maximum(low, start[at]), np.minimum(high, stop[at])
+            cut = np.flatnonzero(((a > low) | (b < high)) & (b - a >= n - spare))
+            bounds, items = self.holders[q]
+            held = bounds[row[cut] + 1] - bounds[row[cut]]
+            k, cut = items[concat_ranges(bounds[row[cut]], held)], np.repeat(cut, held)
+            if len(cut):
+                stretches = np.unique(np.stack([a[cut], b[cut], k, (n - spare)[cut]]), axis=1)
+                edges += self._at_edge(names, *stretches)
             each = 2 * spare + 1
             begin = concat_ranges(at - offset - spare, each)
             at, n = np.repeat(at, each), np.repeat(n, each)
@@ -154,13 +191,13 @@ class Items:
             ok = known[begin + n] - known[begin] >= n - (EDITS * n).astype(np.int64)
             found.append(begin[ok] << 20 | n[ok])
         windows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return windows >> 20, windows & (1 << 20) - 1
+        return windows >> 20, windows & (1 << 20) - 1, np.concatenate(edges, 1) if edges else np.zeros((3, 0), np.int64)
 
     def search(self, names: np.ndarray, before: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item_id, item_words, distance, first_word, end_word): the best match of each text and item."""
         if not self.words or not len(names):
             return []
-        starts, lengths = self.windows(names, before)
+        starts, lengths, edges = self.windows(names, before)
         candidates = set()
         for a in range(0, len(starts), CHUNK):
             s, n = starts[a:a + CHUNK], lengths[a:a + CHUNK]
@@ -170,12 +207,14 @@ class Items:
                 for k in self.of_key[place[walk, window]]:
                     if len(self.words[k]) == n[window]:
                         candidates.add((k, int(s[window])))
-        regions = defaultdict(list)
-        for k, p in sorted(candidates):
+        around = [(a, b, k) for a, b, k in edges.T.tolist()]
+        for k, p in candidates:
             text = int(np.searchsorted(before, p, "right")) - 1
             n, spare = len(self.words[k]), edits_allowed(len(self.words[k]))
-            a, b = max(int(before[text]), p - spare), min(int(before[text + 1]), p + n + spare)
-            own = regions[text, k]
+            around.append((max(int(before[text]), p - spare), min(int(before[text + 1]), p + n + spare), k))
+        regions = defaultdict(list)
+        for a, b, k in sorted(around):
+            own = regions[int(np.searchsorted(before, a, "right")) - 1, k]
             if own and a <= own[-1][1]:
                 own[-1][1] = max(b, own[-1][1])
             else:

@@ -89,6 +89,26 @@ def test_leaks(spark):
         assert 0 <= r.first_word <= r.end_word <= len(_plain(texts[r.doc_id] or "")) or r.doc_id in (None, 4)
 
 
+def test_leaks_at_edges():
+    """Items that lose one to k words, alone in a text or at its start or end: all are found."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(5 + i)]) for i in range(56)]
+    bench = leak.Items([(i, " ".join(w)) for i, w in items])
+    texts, want = [], {}
+    for i, w in items:
+        for gone in range(1, leak.edits_allowed(len(w)) + 1):
+            out = rng.sample(range(len(w)), gone)
+            for places in (range(gone), range(len(w) - gone, len(w)), out):
+                left = [x for j, x in enumerate(w) if j not in places]
+                lone = [f"z{rng.random()}" for _ in range(rng.randrange(30))]
+                for text in (left, left + lone, lone + left):
+                    want[len(texts), i] = edit_distance(w, text)
+                    texts.append(" ".join(text))
+    found = {(t, i): d for t, i, _, d, _, _ in bench.search(*leak.plain_words(pa.array(texts)))}
+    assert len(want) > 2000 and {key: found.get(key) for key in want} == want
+
+
 def test_slices_and_empty(spark, monkeypatch):
     items, docs = _planted()
     bench = spark.createDataFrame(items, "item_id long, text string")
