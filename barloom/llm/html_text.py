@@ -4,6 +4,10 @@ The page becomes a tree.  Every paragraph gives points for its length and its co
 half to the grandparent, a third to the next, and so on; a container's points are discounted by the
 share of its text that stands in links.  The best container and those of its siblings that look like
 text are kept, without the parts that are never article text.
+
+Words in a class or id only make an element doubtful, as a sidebar's name may stand on the wrapper of
+the whole page.  Doubtful elements are dropped if they hold neither the page's article nor much of its
+text; those kept for their amount of text alone give lower points.
 """
 
 from __future__ import annotations
@@ -54,42 +58,53 @@ OUTER = frozenset({"header"})
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 SIBLING = 0.2
 LINKS = 0.3
+#: Points that paragraphs in a doubtful element keep; readers' replies may be far longer than the article.
+DOUBT, REPLY = 0.25, 0.1
+REPLIES = frozenset("disqus discussion replies respond".split())
+#: Shares of the page's paragraph points that keep a doubtful element, and one with an article or main heading inside.
+SHARE, NAMED = 0.25, 0.1
 
 
 class _Node:
-    __slots__ = ("children", "links", "parent", "points", "size", "skip", "tag")
+    __slots__ = ("children", "links", "parent", "points", "size", "skip", "tag", "trust", "weak", "worth")
 
-    def __init__(self, tag: str, parent: _Node | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: _Node | None, trust: float):
+        self.tag, self.parent, self.trust = tag, parent, trust
+        self.skip = trust == 0 or (parent is not None and parent.skip)
         self.children: list = []
-        self.points = self.size = self.links = 0.0
+        self.points = self.size = self.links = self.worth = 0.0
+        self.weak = 1.0
 
 
-def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
+def _trust(tag: str, attrs: str, in_article: bool) -> float:
+    """0 for what is never article text, less than 1 for an element with a doubtful class or id."""
     if tag in NEVER or (tag in OUTER and not in_article):
-        return True
+        return 0.0
     if not attrs or tag in ("html", "body"):
-        return False
+        return 1.0
+    trust = 1.0
     for m in _ATTR.finditer(attrs):
         key = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return 0.0
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return 0.0
         elif key == "role":
             if value in ROLES:
-                return True
+                return 0.0
         elif value:
             for word in _SPLIT.split(value):
-                if word in WORDS or word.startswith(STARTS) or (word in OUTER and not in_article):
-                    return True
-    return False
+                if word in REPLIES or word.startswith("comment"):
+                    trust = REPLY
+                elif word in WORDS or word.startswith(STARTS) or (word in OUTER and not in_article):
+                    trust = min(trust, DOUBT)
+    return max(trust, DOUBT) if tag in ("article", "main") else trust
 
 
 def parse(page: str) -> _Node:
-    root = _Node("html", None, False)
+    root = _Node("html", None, 1.0)
     at, open_tags = root, {}
     for m in _TOKEN.finditer(page):
         text = m["text"]
@@ -114,7 +129,7 @@ def parse(page: str) -> _Node:
             continue
         if tag in VOID:
             if tag == "hr":
-                at.children.append(_Node("hr", at, False))
+                at.children.append(_Node("hr", at, 1.0))
             continue
         if tag in ("html", "body") and open_tags.get(tag):
             continue
@@ -139,7 +154,7 @@ def parse(page: str) -> _Node:
                         at = at.parent
                     open_tags[up.tag] -= 1
                     at = up.parent
-        node = _Node(tag, at, at.skip or _unwanted(tag, m["attrs"], bool(open_tags.get("article"))))
+        node = _Node(tag, at, _trust(tag, m["attrs"], bool(open_tags.get("article"))))
         at.children.append(node)
         if not m["attrs"].endswith("/") or tag in BLOCKS:
             open_tags[tag] = open_tags.get(tag, 0) + 1
@@ -159,11 +174,13 @@ def _walk(root: _Node):
         stack.extend((c, False) for c in reversed(node.children) if isinstance(c, _Node))
 
 
-def _score(root: _Node) -> None:
+def _measure(nodes: list[_Node]) -> None:
+    """Text, linked text and a paragraph's own points (worth) of each node."""
     commas: dict[int, int] = {}
-    for node in _walk(root):
+    for node in nodes:
         if node.skip:
             continue
+        node.size = node.links = node.worth = 0.0
         own = 0
         n_commas = 0
         inner = False  # has blocks inside
@@ -184,14 +201,64 @@ def _score(root: _Node) -> None:
             node.links = node.size
         text = own if inner else node.size
         if text and (node.tag in PARAGRAPH or (node.tag in BLOCKS and own)):
-            points = (1 + n_commas + text / 100) * (1 - node.links / max(node.size, 1))
+            node.worth = (1 + n_commas + text / 100) * (1 - node.links / max(node.size, 1))
+
+
+def _settle(nodes: list[_Node]) -> None:
+    """Drops doubtful elements that hold neither the article nor much of the text."""
+    weight: dict[int, float] = {}  # paragraph points inside
+    sure: dict[int, float] = {}  # of these, outside doubtful elements
+    mains, named = set(), set()  # nodes that hold a main, or also an article or main heading
+    for node in nodes:
+        if node.skip:
+            continue
+        inside = [c for c in node.children if not isinstance(c, str) and not c.skip]
+        weight[id(node)] = node.worth + sum(weight[id(c)] for c in inside)
+        sure[id(node)] = node.worth + sum(sure[id(c)] for c in inside if c.trust == 1)
+        if node.tag == "main" or any(id(c) in mains for c in inside):
+            mains.add(id(node))
+        if any(id(c) in named or (c.tag in ("article", "h1") and c.trust == 1) for c in inside):
+            named.add(id(node))
+    total = weight.get(id(nodes[-1]), 0.0)
+    below = set()  # doubtful elements and what they hold
+    outside = 0.0  # the greatest article that is in no doubtful element
+    for node in reversed(nodes):
+        if node.trust < 1 or (node.parent is not None and id(node.parent) in below):
+            below.add(id(node))
+        elif not node.skip and node.tag in ("article", "main"):
+            outside = max(outside, sure[id(node)])
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.skip |= node.parent.skip
+            node.weak = node.parent.weak
+        if node.skip or node.trust == 1:
+            continue
+        own = weight[id(node)]
+        if id(node) in mains or (id(node) in named and own >= NAMED * total):
+            node.skip = own < outside
+        elif own and own >= SHARE * total:
+            node.weak *= node.trust
+        else:
+            node.skip = True
+
+
+def _score(root: _Node) -> None:
+    nodes = list(_walk(root))
+    _measure(nodes)
+    if any(0 < node.trust < 1 for node in nodes):
+        _settle(nodes)
+        _measure(nodes)
+    for node in nodes:
+        if node.worth and not node.skip:
+            points = node.worth * node.weak
             up, share = node.parent, 1
-            while up is not None and points:
+            while up is not None:
                 up.points += points / share
                 up, share = up.parent, share + 1
 
 
-def _blocks(nodes: list[_Node]) -> list[str]:
+def _blocks(nodes: list[_Node], least: float = 0.0) -> list[str]:
+    """Lines of the nodes, without elements weaker than ``least``."""
     out: list[str] = []
     line: list[str] = []
 
@@ -208,7 +275,7 @@ def _blocks(nodes: list[_Node]) -> list[str]:
             line.append(node)
         elif node is None:
             end()
-        elif not node.skip:
+        elif not node.skip and node.weak >= least:
             block = node.tag in BLOCKS
             if block:
                 end()
@@ -218,6 +285,13 @@ def _blocks(nodes: list[_Node]) -> list[str]:
     return out
 
 
+def _weakest(best: _Node) -> float:
+    """How weak a part of the best container may be: its weaker parts go unless they outweigh the rest."""
+    inside = [node for node in _walk(best) if node.worth and not node.skip]
+    weaker = sum(node.worth * node.weak for node in inside if node.weak < best.weak)
+    return best.weak if sum(node.worth * node.weak for node in inside) >= 2 * weaker else 0.0
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text, one to a line; empty where there is none."""
     if not page:
@@ -237,8 +311,9 @@ def main_text(page: str | None) -> str:
         up = up.parent
     if up is not None and not up.skip and up.links <= LINKS * up.size:
         best = up  # the page itself names the container
+    least = _weakest(best)
     if best.parent is None or best.tag in ("article", "body", "main"):
-        return "\n".join(_blocks([best]))
+        return "\n".join(_blocks([best], least))
     keep = []
     for sibling in best.parent.children:
         if sibling is best:
@@ -247,7 +322,7 @@ def main_text(page: str | None) -> str:
             few_links = sibling.links <= LINKS * sibling.size
             if few_links and (sibling.points >= SIBLING * most or sibling.tag in PARAGRAPH or re.fullmatch("h[1-6]", sibling.tag)):
                 keep.append(sibling)
-    return "\n".join(_blocks(keep))
+    return "\n".join(_blocks(keep, least))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -36,6 +36,27 @@ def test_odd_pages():
     assert main_text("<article><table><tr><td>a<td>b<tr><td>c</table></article>") == "a\nb\nc"
 
 
+def test_article_in_doubtful_wrappers():
+    """Words like sidebar on a wrapper of the article don't drop it; parts of that name still go."""
+    body = "".join(f"<p>Sentence {i}, with commas, and some more words to make it long enough.</p>" for i in range(6))
+    want = [f"Sentence {i}, with commas, and some more words to make it long enough." for i in range(6)]
+    more = (
+        '<div class="sidebar"><p>more, more, more</p></div><div class="related"><article><p>teaser, one</p></article></div>'
+        '<div id="comments"><article class="comment-body"><p>nice, post</p></article></div>'
+    )
+    for name in ("content-sidebar-wrap", "layout has-sidebar", "no-sidebar", "with-nav", "ad-free", "page-share", "comments-open", "header-fixed"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<h1>Title</h1>{body}", body, f'<div class="post">{body}</div>'):
+            for page in (f'<div class="{name}">{inner}</div>', f'<div class="{name}">{inner}{more}</div>', f'<div class="{name}">{inner}</div>{more}'):
+                for top in (page, f"<html><body><div class='banner'><p>Shop</p></div><p>Intro.</p>{page}", f'<div class="{name}"><div id="{name}">{page}</div></div>'):
+                    got = [x for x in main_text(top).split("\n") if x not in ("Title", "Intro.")]
+                    assert got == want, (top, got)
+        assert main_text(f'<article class="{name}">{body}</article>{more}').split("\n") == want
+    replies = '<div class="comments">' + "<p>me, too, and so on, and on, and on, and on, for long</p>" * 12 + "</div>"
+    assert main_text(f'<div class="post">{body}</div>{replies}').split("\n") == want
+    assert main_text(f"<div><div>{body}</div>{replies}</div>").split("\n") == want
+    assert main_text(f"<article>{body}</article>{replies}").split("\n") == want
+
+
 def test_pages(spark):
     df = spark.read.parquet(f"{SMALL}/pages.parquet")
     rows = extract(df).collect()
