@@ -1,11 +1,13 @@
-"""Removal of repeated byte strings by a depth-limited radix sort of suffixes.
-
-Suffixes are told apart only through ``WIDTH`` bytes, most significant digit first.  Not every suffix
-enters the sort: in each window one suffix is chosen by content (the least hash of eight bytes), so
-that equal windows choose at the same offset, and the others follow from it.  First digit: the chosen
-suffix's first ``CORE`` bytes; suffixes alone in their group leave.  Second digit: the span of all
-windows that chose the suffix; groups of equal spans are repeated windows as they stand.  Last, where
-a group of the first digit holds different spans, the single windows are ranked in full depth.
+"""Removal of repeated byte strings by names of spans at chosen suffixes.
+
+Strings are compared through ``WIDTH`` bytes.  Nothing is sorted and there are no digit passes: instead
+of a most-significant-digit sort of all suffixes, equality of hashed names is asked by grouping, because
+a sort would shuffle eight bytes or more per byte of text.  In each window one suffix is chosen by content
+(the least hash of eight bytes), so that equal windows choose at the same offset, and the others follow
+from it.  First the chosen suffixes are grouped by the name of their first ``CORE`` bytes; those alone
+leave.  Then by the name of the span of all windows that chose the suffix; groups of equal spans are
+repeated windows as they stand.  Last, where a group of the first name holds different spans, the single
+windows are grouped by a name of their whole width.
 """
 
 from __future__ import annotations
