@@ -32,7 +32,7 @@ from barloom.llm.tokens import byte_balanced
 
 EDITS = 0.2
 WALKS, SAMPLES = 24, 3
-#: Shorter items say too little to be recognised.
+#: Shorter items are found as they stand only.
 LEAST_WORDS = 5
 #: Bytes of items in one broadcast; larger benchmarks take several passes.
 SLICE_BYTES = 8 << 20
@@ -44,9 +44,36 @@ _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
+def _lead(*ranges: tuple[int, int]) -> np.ndarray:
+    """First two bytes (as one number) of the UTF-8 forms of the code points in the ranges, 64 to a pair."""
+    out = np.zeros(1 << 16, bool)
+    for a, b in ranges:
+        for c in range(a, b, 64):
+            x = chr(c).encode()
+            out[x[0] << 8 | x[1]] = True
+    return out
+
+
+#: Scripts without spaces: Thai and Lao, Burmese, Khmer, kana, Han (with its extensions).
+_SPACELESS = _lead((0x0E00, 0x0F00), (0x1000, 0x1080), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0xA000), (0x20000, 0x32000))
+
+
+def apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with spaces around each character of a script without spaces, and their offsets."""
+    at = np.flatnonzero(data[:-1] >= 0xE0)
+    at = at[_SPACELESS[data[at].astype(np.int64) << 8 | data[at + 1]]]
+    if not len(at):
+        return data, offsets
+    cuts = np.unique(np.concatenate([at, at + 3 + (data[at] >= 0xF0)]))
+    return np.insert(data, cuts, 32), offsets + np.searchsorted(cuts, offsets)
+
+
 def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all words, without case (A-Z) and ASCII punctuation, and the number of words before each text."""
-    data, offsets = flat(column)
+    """Names of all words, without case (A-Z) and ASCII punctuation, and the number of words before each text.
+
+    In scripts without spaces each character is a word.
+    """
+    data, offsets = apart(*flat(column))
     data = LOWER[data]
     data[_PUNCTUATION[data]] = 32
     begin, end, before = words(data, offsets)
@@ -54,7 +81,7 @@ def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def edits_allowed(n: int) -> int:
-    return int(EDITS * n)
+    return int(EDITS * n) if n >= LEAST_WORDS else 0
 
 
 def piece_words(n: int) -> int:
@@ -104,7 +131,7 @@ class Items:
         names, before = plain_words(pa.array([t for _, t in rows], pa.string()))
         self.words, self.ids = [], []
         for (item_id, _), a, b in zip(rows, before[:-1].tolist(), before[1:].tolist()):
-            if b - a >= LEAST_WORDS:
+            if b > a:
                 self.words.append(names[a:b])
                 self.ids.append(item_id)
         self.lengths = sorted({len(w) for w in self.words})
@@ -246,8 +273,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` and item with a passage within the distance: the best such passage.
 
     doc_id, item_id, item_words, distance (word edits), first_word and end_word of the passage (words of
-    the text, split as above).  Null and empty texts and items, and items under ``LEAST_WORDS`` words,
-    match nothing; of equally near passages the first counts; repeated rows are searched each; null ids
+    the text, split as above).  Null and empty texts and items match
+    nothing; items under ``LEAST_WORDS`` words match their exact sequence of words; of equally near passages the first counts; repeated rows are searched each; null ids
     stay null; other columns are ignored; empty tables give no rows.  The benchmark is sent to the tasks
     in slices of bounded size.  One pass over the texts per slice, without a shuffle.
     """

@@ -130,6 +130,15 @@ def test_leaks_at_edges():
     assert len(want) > 2000 and {key: found.get(key) for key in want} == want
 
 
+def test_short_and_spaceless_items():
+    """Items under five words are found as they stand; without spaces the characters count."""
+    items = ["Twelve apples", "why", "红楼梦里有多少首诗词", "ประเทศไทย", "a b c d"]
+    texts = ["we had twelve, apples!", "so WHY not", "twelve big apples", "问:红楼梦里有首诗词?", "日本語の文", "xประเทศไทยx y", "a b d", "", "a b c d", None]
+    bench = leak.Items(list(enumerate(items)))
+    found = {(t, i, d) for t, i, _, d, _, _ in bench.search(*leak.plain_words(pa.array(texts)))}
+    assert found == {(0, 0, 0), (1, 1, 0), (3, 2, 2), (5, 3, 0), (8, 4, 0)}
+
+
 def test_slices_and_empty(spark, monkeypatch):
     items, docs = _planted()
     bench = spark.createDataFrame(items, "item_id long, text string")
