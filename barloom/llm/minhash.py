@@ -252,6 +252,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; of rows with one id, one stays."""
-    ids = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near duplicates, that of the least id, with all its columns; rows with a null id stay.
+
+    Rows that share an id are documents of their own, in the order of a hash of their texts: unlike texts both
+    stay, of equal rows of one id one.
+    """
+    spark = docs.sparkSession
+    known = docs.filter("doc_id is not null")
+    clash = known.groupBy("doc_id").count().filter("count > 1")
+    if clash.isEmpty():
+        ids = near_duplicates(known).filter("kept").select("doc_id")
+        stay = known.join(ids, "doc_id", "left_semi")
+    else:  # numbers in the order of id and hash take the place of the ids
+        name = F.coalesce(F.sha2("text", 256), F.lit("")).alias("_text_name")
+        keys = known.select("doc_id", name).distinct().repartitionByRange("doc_id", "_text_name").sortWithinPartitions("doc_id", "_text_name")
+        keys = written(spark, keys.withColumn("_number", F.monotonically_increasing_id()), "numbers")
+        rows = written(spark, known.withColumn("_text_name", name).join(keys, ["doc_id", "_text_name"]).dropDuplicates(["_number"]), "numbered")
+        numbers = near_duplicates(rows.select(F.col("_number").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_number"))
+        stay = rows.join(numbers, "_number", "left_semi").select(*docs.columns)
+    return stay.unionByName(docs.filter("doc_id is null"))

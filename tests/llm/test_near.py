@@ -30,6 +30,13 @@ def test_one_of_each(spark):
     assert sorted((r.doc_id or 0) for r in one_of_each(frame(spark, rows)).collect()) == [0, 1, 3, 4, 5]
 
 
+def test_one_id_for_unlike_texts(spark):
+    """Unlike texts under one id both stay, also if one of them is a copy of a document with a lesser id."""
+    rows = [(1, "a b c d e f"), (4, "g h i j k l"), (4, "A b c d e f"), (4, "m n o p q r"), (4, "m n o p q r"), (6, "G h i j k l"), (7, "s t u v w x")]
+    got = sorted((r.doc_id, r.text) for r in one_of_each(frame(spark, rows)).collect())
+    assert got == [(1, "a b c d e f"), (4, "g h i j k l"), (4, "m n o p q r"), (7, "s t u v w x")]
+
+
 def test_empty(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
