@@ -8,6 +8,7 @@ text is one token, which is that library's default.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,10 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
 #: Texts longer than this (in characters) are encoded piece by piece.
 PIECE = 1 << 18
+#: White space as the vocabulary's pattern has it, and runs of it that the pattern cannot take at once.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUN = 1 << 16
+_RUN = re.compile(f"[{SPACE}]{{{RUN},}}")
 
 
 @lru_cache(2)
@@ -47,14 +52,38 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
     return [*out, text[start:]]
 
 
-def encode(text: str | None) -> np.ndarray:
-    """Ids of the whole text; a null is empty."""
-    if not text:
-        return np.zeros(0, np.uint32)
+def _known(text: str, special: bool) -> np.ndarray:
+    """Ids of a text without very long runs of white space."""
     code = encoding()
+    more = {"allowed_special": "all"} if special else {"disallowed_special": ()}
     if len(text) <= PIECE:
-        return code.encode_to_numpy(text, allowed_special="all")
-    return np.concatenate([code.encode_to_numpy(x, allowed_special="all") for x in pieces(text)])
+        return code.encode_to_numpy(text, **more)
+    return np.concatenate([code.encode_to_numpy(x, **more) for x in pieces(text)])
+
+
+def encode(text: str | None, special: bool = True) -> np.ndarray:
+    """Ids of the whole text; a null is empty.  Without ``special`` a special string is ordinary text.
+
+    The pattern walks back over a run of white space, which a very long run does not allow.  Such a
+    run is one stretch of the pattern, without its last character where more text follows, so it is
+    merged by itself and the text around it is cut there.
+    """
+    if not text:
+        return np.zeros(0, np.uint32)
+    if len(text) < RUN:
+        return _known(text, special)
+    out, at = [], 0
+    for run in _RUN.finditer(text):
+        a, b = run.span()
+        if b < len(text) and not (special and any(text.startswith(x, b) for x in SPECIAL)):
+            b -= 1
+        if a > at:
+            out.append(_known(text[at:a], special))
+        out.append(np.array(encoding()._encode_single_piece(text[a:b]), np.uint32))
+        at = b
+    if at < len(text):
+        out.append(_known(text[at:], special))
+    return np.concatenate(out)
 
 
 def byte_balanced(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
