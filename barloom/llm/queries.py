@@ -16,7 +16,9 @@ from barloom.llm.substrings import drop_repeated_words
 from barloom.llm.suffixes import drop_repeated_bytes
 from barloom.llm.tables import table
 from barloom.llm.token_counts import token_counts
+from barloom.llm.token_files import token_files
 from barloom.llm.toxicity import toxicity
+from barloom.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,7 +63,15 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
+def op13_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_dedup, op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op9_minhash_near_dedup, op10_html_extraction)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_dedup, op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op9_minhash_near_dedup, op10_html_extraction, op11_embedding_whitening, op13_token_id_output)
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": rules.SQL}
