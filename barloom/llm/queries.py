@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import quality_rules as rules
+from barloom.llm.align import align
 from barloom.llm.decontaminate import leaks
 from barloom.llm.html_text import extract
 from barloom.llm.minhash import near_duplicates
@@ -67,11 +68,15 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align(table(spark, folder, "documents"))
+
+
 def op13_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_dedup, op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op9_minhash_near_dedup, op10_html_extraction, op11_embedding_whitening, op13_token_id_output)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_dedup, op5_token_counts, op6_packing, op7_quality_rules, op8_quality_classifier, op9_minhash_near_dedup, op10_html_extraction, op11_embedding_whitening, op12_cross_tokenizer_alignment, op13_token_id_output)
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": rules.SQL}
