@@ -47,7 +47,7 @@ def _frequent(key: np.ndarray, slot: np.ndarray, free: np.ndarray, least: int) -
     A slot's count bounds those of its pairs from above, so only pairs of full slots are sorted.
     """
     full = np.bincount(slot[free], minlength=_SLOTS)
-    bound = max(least, int(full.max()) // 16)
+    bound = max(least, int(full.max()) // 64)
     while True:
         found = np.sort(key[free & (full[slot] >= bound)])
         starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)

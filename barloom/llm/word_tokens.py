@@ -7,7 +7,9 @@ by the ``tokenizers`` library and remembered.
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,15 +22,49 @@ END = 2
 #: Characters that Python's split() takes for white space and the vocabulary does not.
 _OTHER = re.compile("[\x1c-\x1f]")
 _BREAK = re.compile(f"[{SPACE}]+")
-#: Words of printable ASCII, and their parts as the vocabulary's pattern has them after lower-casing.
-_PLAIN = re.compile(r"[!-~]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of printable ASCII and of Latin letters whose lower case and normal form are plain, and their
+#: parts as the vocabulary's pattern has them after lower-casing.
+_LETTERS = "a-zß-öø-įı-ňŋ-ž"
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 #: Words remembered at most, and their longest length.
 WORDS, LONGEST = 1 << 19, 64
 
 
+def _merges(path: str):
+    """The vocabulary's merges for ``tiktoken``, or None where they can't be put as ranks.
+
+    The end of a word is the byte 0xFF, which no UTF-8 text holds.  It joins the byte before it first
+    of all, and every other token's id is the rank of its merge.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    byte = {c: b for b, c in bytes_to_letters().items()}
+    end = model["end_of_word_suffix"]
+    raw = lambda t: bytes(byte[c] for c in t.removesuffix(end)) + (b"\xff" if t.endswith(end) else b"")
+    ranks = {raw(t): i for t, i in model["vocab"].items() if not t.startswith("<|")}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    rising = all(model["vocab"][a + b] == 512 + i for i, (a, b) in enumerate(pairs))
+    if not rising or len(ranks) != 512 + len(pairs):
+        return None
+    ranks[b"\xff"] = len(ranks) + 2  # never left alone
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+
+
+def bytes_to_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class _Known(dict):
-    """Word to its ids, two bytes each; filled on demand and emptied when full."""
+    """Word to its ids, two bytes each; filled on demand and emptied when full.
+
+    Words of plain letters are merged by ``tiktoken`` with the same merges, all others by the library.
+    """
 
     def __init__(self, name: str):
         import public_tokenizers
@@ -37,23 +73,18 @@ class _Known(dict):
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError(f"{name} has ids above 65535")
-
-        self.parts: dict[str, tuple[int, ...]] = {}
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= WORDS:
-                self.parts.clear()
-            found = self.parts[part] = tuple(t.id for t in self.library.model.tokenize(part))
-        return found
+        self.merges = _merges(public_tokenizers.path(name))
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) <= LONGEST and _PLAIN.fullmatch(word) and "<|" not in word:  # no other normal form, no special string
-            ids = [i for part in _PARTS.findall(word.lower()) for i in self._part(part)]
+        if self.merges and len(word) <= LONGEST and _PLAIN.fullmatch(word) and "<|" not in word:
+            merge, word_ = self.merges._core_bpe.encode_single_piece, word.lower()
+            if word_.isalpha():
+                ids = merge(word_.encode() + b"\xff")
+            else:
+                ids = [i for part in _PARTS.findall(word_) for i in merge(part.encode() + b"\xff")]
         else:
             ids = self.library.encode(word, add_special_tokens=False).ids
-        out = np.array(ids, "<u2").tobytes()
+        out = array("H", ids).tobytes()
         if len(word) <= LONGEST:
             if len(self) >= WORDS:
                 self.clear()
