@@ -11,7 +11,7 @@ from barloom.plans.oracle_types import typed
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
-    "windows", "features", "quality", "ingestion", "risk_plans", "labels", "joins", "trades",
+    "windows", "features", "scans", "quality", "ingestion", "risk_plans", "labels", "joins", "trades",
     "analytics", "stateful", "ranking", "learning", "scalars", "streams",
 )
 

@@ -181,22 +181,6 @@ SELECT symbol, score, CASE WHEN score >= 90 THEN 'VERY_STRONG_CANDIDATE' WHEN sc
   WHEN score >= 70 THEN 'CANDIDATE' WHEN score >= 60 THEN 'WATCH' ELSE 'NO_SIGNAL' END AS signal_class, data_status, data_quality FROM fin"""
 
 
-def f17_latest_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Top ten symbols at their last bar with score from 70 on."""
-    newest = feat.last_bar(data.daily_score_rows(spark, folder))
-    return (
-        newest.filter(F.col("score") >= 70)
-        .select("symbol", "score", "signal_class", F.col("ts").alias("data_timestamp"))
-        .orderBy(F.desc("score"), "symbol").limit(10)
-    )
-
-
-QUERIES["f17_latest_scan"] = f17_latest_scan
-ORACLES["f17_latest_scan"] = SCORES + """
-SELECT symbol, score, signal_class, ts AS data_timestamp FROM
-  (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)
-WHERE score >= 70 ORDER BY score DESC, symbol LIMIT 10"""
-
 
 # --- 15-minute ------------------------------------------------------------------------------
 

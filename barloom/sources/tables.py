@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.bars import arrival_order, build_bars
@@ -31,8 +31,8 @@ def event_ticks(spark: SparkSession, folder: str, symbol: str = "event_type") ->
     )
 
 
-def line_ticks(spark: SparkSession, folder: str, market_wide: bool = False) -> DataFrame:
-    """Order lines as trades of the supplier's region; ``market_wide`` gives the benchmark."""
+def line_ticks(spark: SparkSession, folder: str, market_wide: bool = False, by: Column | None = None) -> DataFrame:
+    """Order lines as trades of the supplier's region (or of ``by``); ``market_wide`` gives the benchmark."""
     lines = table(spark, folder, "lineitem")
     price = 100 + F.col("l_extendedprice") / F.col("l_quantity") / 1000
     # Lines have no time of day.  Order and line number come first; they are not unique, so the part
@@ -46,7 +46,7 @@ def line_ticks(spark: SparkSession, folder: str, market_wide: bool = False) -> D
     if market_wide:
         return lines.select(F.lit("MARKET").alias("symbol"), *columns)
     return lines.join(supplier_regions(spark, folder), F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.col("r_name").alias("symbol"), *columns
+        (F.col("r_name") if by is None else by).alias("symbol"), *columns
     )
 
 
@@ -85,3 +85,24 @@ def day_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 def market_day_bars(spark: SparkSession, folder: str) -> DataFrame:
     return _bars("market_day_bars", "1d", spark, folder, lambda: line_ticks(spark, folder, market_wide=True))
+
+
+#: First day of the index that research scans compare with.
+INDEX_LAUNCH = "1995-07-01"
+
+
+def contract_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as trades of yearly contracts of the supplier's nation, and of coarse ones in steps of a thousand."""
+    lines = line_ticks(spark, folder, by=F.col("n_name"))
+    yearly = lines.withColumn("symbol", F.concat_ws("-", "symbol", F.year("ts")))
+    coarse = lines.withColumns({"symbol": F.concat_ws("-", "symbol", F.lit("COARSE")), "price": F.ceil(F.col("price") / 1000) * 1000.0})
+    return yearly.unionByName(coarse)
+
+
+def contract_bars(spark: SparkSession, folder: str) -> DataFrame:
+    return _bars("contract_bars", "1d", spark, folder, lambda: contract_ticks(spark, folder))
+
+
+def index_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """The market-wide benchmark from its launch on."""
+    return _bars("index_bars", "1d", spark, folder, lambda: line_ticks(spark, folder, market_wide=True).filter(F.col("ts") >= INDEX_LAUNCH))
