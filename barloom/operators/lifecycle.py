@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import indicators as ind
 from barloom.functions.recursive import add_means, span_mean
+from barloom.operators.joins import as_of
 from barloom.operators.labels import attach_next, completed
 from barloom.series import Series
 
@@ -60,6 +61,18 @@ ACTIONS = {
     "H3_REACHED": "HEDEF",
 }
 HEALTH_GOOD, HEALTH_WEAK, HEALTH_BROKEN, HEALTH_INVALID = "GÜÇLÜ", "ZAYIFLIYOR", "BOZULDU", "GEÇERSİZ"
+# Reasons that events carry, and rules by which a stop moves.
+HEALTH_REASONS = {
+    HEALTH_GOOD: ("Yapı ve momentum iptal eşiğini ihlal etmedi",),
+    HEALTH_WEAK: ("Hacim veya momentum sinyal anına göre zayıflıyor",),
+    HEALTH_BROKEN: ("Göreli hacim sinyal anına göre belirgin düştü", "Momentum negatif"),
+    HEALTH_INVALID: ("Fiyat VWAP ve EMA20 altına indi", "Üç bar momentumu negatif"),
+}
+FIRST_BAR_REASON = "İlk completed bar bekleniyor"
+RISK_REWARD_REASON = "RISK_REWARD_DETERIORATED"
+EXIT_REASONS = {"THESIS_INVALIDATED": "Momentum ve VWAP yapısı bozuldu", "TIME_EXIT": "Maksimum holding süresi doldu"}
+BREAKEVEN_RULE, TRAIL_RULE = "BREAKEVEN_AFTER_H1", "2_ATR_TRAIL"
+SIGNAL_PLAN = "SIGNAL_PLAN"
 LEVELS = ("zone_low", "zone_high", "stop", "t1", "t2", "t3")
 
 
@@ -111,6 +124,7 @@ def setup_bars(signals: DataFrame, bars: DataFrame, now: Column, policy: Policy
     rows = rows.withColumns({
         "health": F.when(broken, HEALTH_INVALID).when(decayed, HEALTH_BROKEN).when(weak, HEALTH_WEAK).otherwise(HEALTH_GOOD),
         "decision": decision if data_usable else F.lit(None).cast("string"),
+        "touched": F.coalesce(touched, F.lit(False)),
         "bars_seen": F.count(F.lit(1)).over(setup),
         "waiting": F.when(close > F.col("zone_high"), "WAITING_PULLBACK").otherwise("ARMED"),
         "next_open": F.lead("open").over(order), "next_ts": F.lead("bar_ts").over(order),
@@ -234,7 +248,8 @@ def setups(rows: DataFrame, all_bars: DataFrame | None = None, policy: Policy =
 
 
 def events(rows: DataFrame, signals: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """The event log: signal_id, sequence, event_time, event_type, state_from, state_to, price."""
+    """The event log: signal_id, sequence, event_time, event_type, state_from, state_to, price, reason,
+    zone_touched (of invalidated setups) and rule (of moved stops)."""
     x_at, way = F.col("x.at"), F.coalesce(F.col("x.way"), F.lit(""))
     i, here = F.col("i"), F.col("i") == F.col("x.at")
     here = F.coalesce(here, F.lit(False))
@@ -271,42 +286,59 @@ def events(rows: DataFrame, signals: DataFrame, policy: Policy = Policy()) -> Da
         .otherwise("ENTRY_FILLED_NEXT_OPEN")
     )
 
-    def one(test: Column, kind: str | Column, state: str | Column, price: Column, at: Column | None = None) -> Column:
+    def one(test: Column, kind: str | Column, state: str | Column, price: Column, at: Column | None = None,
+            reason: Column | None = None, zone_touched: Column | None = None, rule: str | None = None) -> Column:
         kind = F.lit(kind) if isinstance(kind, str) else kind
         state = F.lit(state) if isinstance(state, str) else state
         body = F.struct((F.col("bar_ts") if at is None else at).alias("event_time"), kind.alias("event_type"),
-                        state.alias("state_to"), price.cast("double").alias("price"))
+                        state.alias("state_to"), price.cast("double").alias("price"),
+                        (F.lit(None) if reason is None else reason).cast("array<string>").alias("reason"),
+                        (F.lit(None) if zone_touched is None else zone_touched).cast("boolean").alias("zone_touched"),
+                        F.lit(rule).cast("string").alias("rule"))
         return F.when(F.coalesce(test, F.lit(False)), body)
 
+    def told(*text: str) -> Column:
+        return F.array(*[F.lit(t) for t in text])
+
     none = F.lit(None).cast("double")
+    healthy = F.lit(None).cast("array<string>")
+    for health, text in HEALTH_REASONS.items():
+        healthy = F.when(F.col("health") == health, told(*text)).otherwise(healthy)
+    leaving = F.lit(None).cast("array<string>")
+    for name, text in EXIT_REASONS.items():
+        leaving = F.when(way == name, told(text)).otherwise(leaving)
+    cancelled = decision.isin("CANCELLED_STRUCTURE", "CANCELLED_DECAY")
     log = [
-        one(i == 1, "STATE_REVIEW", "ARMED", none),
-        one(ready, gate_kind, F.col("gate"), F.col("open")),
-        one(waiting & (F.col("decision").isNull()) & (F.col("_previous") != F.col("waiting")), "SETUP_REVIEWED", F.col("waiting"), none),
-        one(i == p_at, kind_of, decision, F.col("close")),
+        one(i == 1, "STATE_REVIEW", "ARMED", none, reason=told(FIRST_BAR_REASON)),
+        one(ready, gate_kind, F.col("gate"), F.col("open"), reason=F.when(F.col("gate") == "NO_ENTRY", told(RISK_REWARD_REASON))),
+        one(waiting & (F.col("decision").isNull()) & (F.col("_previous") != F.col("waiting")), "SETUP_REVIEWED", F.col("waiting"), none, reason=healthy),
+        one(i == p_at, kind_of, decision, F.col("close"), reason=F.when(cancelled | (decision == "ENTRY_READY"), healthy),
+            zone_touched=F.when(cancelled, F.col("touched"))),
         one(stopped, way, way, F.when(way == "HARD_STOP", F.col("stop")).otherwise(F.col("stop_before"))),
         one(running & (i == F.col("h1")), "H1_TOUCHED", "H1_REACHED", F.col("t1")),
-        one(running & (i == F.col("h1")), "STOP_TIGHTENED", "PROGRESSING", F.col("entry")),
+        one(running & (i == F.col("h1")), "STOP_TIGHTENED", "PROGRESSING", F.col("entry"), rule=BREAKEVEN_RULE),
         one(running & (i == F.col("h2")), "H2_TOUCHED", "H2_REACHED", F.col("t2")),
         one(running & (i == F.col("h3")), "H3_TOUCHED", "H3_REACHED", F.col("t3")),
-        one(running & ~h3_exit & moved, "STOP_TIGHTENED", "PROGRESSING", F.col("stop_after")),
+        one(running & ~h3_exit & moved, "STOP_TIGHTENED", "PROGRESSING", F.col("stop_after"), rule=TRAIL_RULE),
         one(running & stalling, "TRADE_STALLED", "STALLED", none),
         one(running & calm, "POSITION_ACTIVE", "ACTIVE", none),
-        one(leaves & F.col("next_open").isNotNull(), "EXIT_FILLED_NEXT_OPEN", way, F.col("next_open"), F.col("next_ts")),
+        one(leaves & F.col("next_open").isNotNull(), "EXIT_FILLED_NEXT_OPEN", way, F.col("next_open"), F.col("next_ts"), reason=leaving),
     ]
     listed = stage.select("signal_id", "i", F.posexplode(F.array_compact(F.array(*log))).alias("_k", "_e"))
-    later = listed.select("signal_id", "i", "_k", "_e.event_time", "_e.event_type", "_e.state_to", "_e.price")
+    later = listed.select("signal_id", "i", "_k", "_e.*")
     start = signals
     for level in LEVELS:
         start = start.filter(F.col(level).isNotNull())
     first = start.select(
         "signal_id", F.lit(0).alias("i"), F.lit(0).alias("_k"), F.col("ts").alias("event_time"),
         F.lit("SIGNAL_DETECTED").alias("event_type"), F.lit("DETECTED").alias("state_to"), none.alias("price"),
+        F.lit(None).cast("array<string>").alias("reason"), F.lit(None).cast("boolean").alias("zone_touched"), F.lit(None).cast("string").alias("rule"),
     )
     every = Window.partitionBy("signal_id").orderBy("i", "_k")
     return first.unionByName(later).select(
         "signal_id", F.row_number().over(every).alias("sequence"), "event_time", "event_type",
         F.lag("state_to", 1, "DETECTED").over(every).alias("state_from"), "state_to", "price",
+        "reason", "zone_touched", "rule",
     )
 
 
@@ -324,6 +356,7 @@ def evaluate(signals: DataFrame, bars: DataFrame, now: Column, policy: Policy =
         F.max_by("state_to", "sequence").alias("state"), F.count(F.lit(1)).alias("events"),
         F.min(F.when(F.col("event_type") == "ENTRY_FILLED_NEXT_OPEN", F.col("sequence") - 1)).alias("bars_to_entry"),
         F.max_by("event_type", "sequence").alias("last_event"), F.max("event_time").alias("last_event_time"),
+        F.max_by(F.coalesce("reason", F.array("event_type")), "sequence").alias("action_reason"),
     )
     ends = completed(bars, now).groupBy("symbol").agg(F.max("bar_no").alias("_end"))
     counts = signals.join(ends, "symbol").select("signal_id", (F.col("_end") - F.col("bar_no")).alias("_completed"))
@@ -349,13 +382,44 @@ def new_events(log: DataFrame, stored: DataFrame, stored_setups: DataFrame | Non
     return log.join(stored.select("signal_id", "sequence"), ["signal_id", "sequence"], "left_anti")
 
 
+def plan_versions(signals: DataFrame, log: DataFrame) -> DataFrame:
+    """The plans of every setup with the interval of events in which each holds.
+
+    Version 1 is the signal's plan; each stop that the log moves gives the next version, with its rule
+    as the reason.  A version holds for the events from ``from_sequence`` up to, but not with,
+    ``to_sequence`` (null: still in force).
+    """
+    whole = signals
+    for level in LEVELS:
+        whole = whole.filter(F.col(level).isNotNull())
+    plans = whole.select("signal_id", F.col("ts").alias("signal_time"), *LEVELS)
+    first = plans.select("signal_id", F.lit(1).alias("from_sequence"), F.col("signal_time").alias("effective_at"), F.lit(SIGNAL_PLAN).alias("reason"), F.col("stop").alias("_stop"))
+    moved = log.filter(F.col("event_type") == "STOP_TIGHTENED").select(
+        "signal_id", F.col("sequence").alias("from_sequence"), F.col("event_time").alias("effective_at"), F.col("rule").alias("reason"), F.col("price").alias("_stop"))
+    order = Window.partitionBy("signal_id").orderBy("from_sequence")
+    versions = first.unionByName(moved).withColumns({
+        "version": F.row_number().over(order), "to_sequence": F.lead("from_sequence").over(order),
+    })
+    return versions.join(plans, "signal_id").select(
+        "signal_id", "version", "from_sequence", "to_sequence", "effective_at", "reason",
+        "zone_low", "zone_high", F.col("_stop").alias("stop"), "t1", "t2", "t3",
+    )
+
+
+def with_plan_in_force(log: DataFrame, versions: DataFrame) -> DataFrame:
+    """Each event with the version, and its stop, whose interval holds it.
+
+    The interval join is an as-of scan over sequence numbers, so no event meets versions that do not
+    hold it.  The event that moves the stop belongs to the version it makes.
+    """
+    held = versions.select("signal_id", F.col("from_sequence").alias("sequence"), F.col("version").alias("plan_version"), F.col("stop").alias("plan_stop"))
+    return as_of(log, held, ["signal_id"], F.floor(F.col("sequence") / 1024), ["plan_version", "plan_stop"], ts="sequence")
+
+
 def newest_setup(setups_: DataFrame, log: DataFrame) -> DataFrame:
-    """Newest setup of each symbol with its events in order (at most a few dozen per setup)."""
+    """The events of the newest setup of each symbol, one row for each."""
     newest = setups_.groupBy("symbol").agg(F.max_by("signal_id", F.struct("signal_time", "signal_id")).alias("signal_id"))
-    detail = log.join(newest, "signal_id").groupBy("symbol", "signal_id").agg(
-        F.array_sort(F.collect_list(F.struct("sequence", "event_time", "event_type", "state_from", "state_to"))).alias("events")
-    )
-    return detail
+    return log.join(newest, "signal_id")
 
 
 def analytics(setups_: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:

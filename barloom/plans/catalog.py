@@ -12,7 +12,7 @@ from barloom.plans.oracle_types import typed
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     "windows", "features", "scans", "quality", "ingestion", "risk_plans", "labels", "joins", "trades",
-    "analytics", "stateful", "ranking", "learning", "scalars", "streams",
+    "analytics", "stateful", "lifecycle_log", "ranking", "learning", "scalars", "streams",
 )
 
 

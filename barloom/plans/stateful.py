@@ -129,14 +129,15 @@ def lifecycle_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
 def st06(spark: SparkSession, folder: str) -> DataFrame:
     setups, _ = lifecycle_tables(spark, folder)
     money = ("entry_price", "active_stop", "exit_price", "mfe_r", "mae_r", "realized_r", "realized_r_after_cost")
-    return setups.select("signal_id", "state", "outcome", "health", "action", "entry_time", "exit_time", "highest_target",
+    return setups.select("signal_id", "state", "outcome", "health", "action", F.concat_ws("|", "action_reason").alias("action_reason"), "entry_time", "exit_time", "highest_target",
                          "bars_to_entry", "bars_in_trade", *[r(c, 4).alias(c) for c in money])
 
 
 @query("st06_lifecycle_events")
 def st06_events(spark: SparkSession, folder: str) -> DataFrame:
     _, events = lifecycle_tables(spark, folder)
-    return events.select("signal_id", "sequence", "event_time", "event_type", "state_from", "state_to", r("price", 4).alias("price"))
+    return events.select("signal_id", "sequence", "event_time", "event_type", "state_from", "state_to", r("price", 4).alias("price"),
+                         F.when(F.col("reason").isNotNull(), F.concat_ws("|", "reason")).alias("reason"), "zone_touched", "rule")
 
 
 # The pre-entry half in SQL: first deciding bar of each setup.
@@ -215,14 +216,6 @@ def st07(spark: SparkSession, folder: str) -> DataFrame:
     return fresh.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("st08_newest_setup")
-def st08(spark: SparkSession, folder: str) -> DataFrame:
-    setups, events = lifecycle_tables(spark, folder)
-    detail = lifecycle.newest_setup(setups, events)
-    return detail.select("symbol", "signal_id", F.size("events").alias("events"),
-                         F.concat_ws(">", F.transform("events", lambda e: e["event_type"])).alias("log"))
-
-
 @query("a10_lifecycle_totals", SIGNALS + WALK_SQL + """,
 v AS (SELECT list_sort(list(rr - 0.002)) AS l, avg(rr - 0.002) AS m FROM fin WHERE outcome IS NOT NULL AND rr IS NOT NULL),
 h AS (SELECT f.signal_id, min(b.bts) AS t FROM fin f JOIN nx b ON b.signal_id = f.signal_id AND f.hi >= 1 AND b.i >= f.ei AND b.high >= b.t1 GROUP BY 1)
