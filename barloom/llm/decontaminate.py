@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.tables import texts
-from barloom.llm.textarrays import BASES, LOWER, concat_ranges, flat, mix, prefix, span_hash, word_hashes, words
+from barloom.llm.textarrays import BASES, LOWER, concat_ranges, flat, mix, prefix, span_hash, word_names, words
 from barloom.llm.tokens import byte_balanced
 
 EDITS = 0.2
@@ -77,7 +77,7 @@ def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[data]
     data[_PUNCTUATION[data]] = 32
     begin, end, before = words(data, offsets)
-    return word_hashes(data, begin, end), before
+    return word_names(data, begin, end), before
 
 
 def edits_allowed(n: int) -> int:

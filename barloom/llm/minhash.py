@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.components import components
 from barloom.llm.tables import texts, written
-from barloom.llm.textarrays import BASES, LOWER, flat, mix, prefix, span_hash, word_hashes, words
+from barloom.llm.textarrays import BASES, LOWER, flat, mix, prefix, span_hash, word_names, words
 from barloom.llm.tokens import byte_balanced
 
 SHINGLE = 5
@@ -50,7 +50,7 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     data, offsets = flat(column)
     data = LOWER[data]
     begin, end, before = words(data, offsets)
-    sums = prefix(word_hashes(data, begin, end), BASES[0])
+    sums = prefix(word_names(data, begin, end), BASES[0])
     last = np.maximum(before[1:] - SHINGLE + 1, before[:-1] + 1)
     last[before[1:] == before[:-1]] = before[:-1][before[1:] == before[:-1]]
     stops = np.minimum(np.arange(len(begin)) + SHINGLE, len(begin))
@@ -166,21 +166,21 @@ def _confirm(table: pa.Table) -> pa.Table:
 
 
 def _named(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, names, signature, sketch, cells) of the wanted nodes; cells are 32 bits of each band's name."""
+    """(node, names, signature, sketch, cells) of the wanted nodes; cells are the names of the bands."""
 
     def run(batches):
         for batch in batches:
             for part in byte_balanced(batch, "text", 1 << 20):
                 sets = shingle_sets(part.column("text"))
                 marks = signatures(sets)
-                cells = band_names(marks.reshape(len(sets), BANDS, ROWS)).astype(np.uint32).view(np.int32)
+                cells = band_names(marks.reshape(len(sets), BANDS, ROWS)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary()),
-                    pa.array(list(sketches(sets)), pa.list_(pa.int64())), pa.array(list(cells), pa.list_(pa.int32())),
+                    pa.array(list(sketches(sets)), pa.list_(pa.int64())), pa.array(list(cells), pa.list_(pa.int64())),
                 ], names=["node", "names", "signature", "sketch", "cells"])
 
     chosen = texts(docs).join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, "node long, names binary, signature binary, sketch array<long>, cells array<int>")
+    return chosen.mapInArrow(run, "node long, names binary, signature binary, sketch array<long>, cells array<long>")
 
 
 def _links(pairs: DataFrame, named: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barloom.llm.repeats import Anchors, repeated
-from barloom.llm.textarrays import BASES, covered, mix, prefix, span_hash, window_starts, word_hashes, words
+from barloom.llm.textarrays import Spans, covered, mix, window_starts, word_names, words
 
 WIDTH = 35
 PAIR_ROUNDS = 2
@@ -99,12 +99,8 @@ def word_anchors(width: int = WIDTH) -> Callable[[np.ndarray, np.ndarray], Ancho
 
     def run(data: np.ndarray, offsets: np.ndarray) -> Anchors:
         begin, end, before = words(data, offsets)
-        names = [word_hashes(data, begin, end, k) for k in (0, 1)]
-        sums = [prefix(x, b) for x, b in zip(names, BASES)]
-
-        def named(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-            return np.stack([span_hash(s, starts, ends, b) for s, b in zip(sums, BASES)], 1)
-
+        names = [word_names(data, begin, end, k) for k in (0, 1)]
+        named = Spans.of_names(*names).names
         starts = window_starts(before, width)
         if not len(starts):
             return Anchors(starts, starts, starts.astype(np.uint64), np.zeros((0, 2), np.uint64), lambda s: named(s, s + width))
@@ -117,7 +113,7 @@ def word_anchors(width: int = WIDTH) -> Callable[[np.ndarray, np.ndarray], Ancho
         at = np.flatnonzero(cut)
         last = np.append(at[1:], len(starts)) - 1
         a, b, c = starts[at], starts[last], chosen[at]
-        core = span_hash(sums[0], first[c] - context, first[c + 1] + context, BASES[0])
+        core = named(first[c] - context, first[c + 1] + context)[:, 0]
         return Anchors(a, b, core, named(a, b + width), lambda s: named(s, s + width))
 
     return run

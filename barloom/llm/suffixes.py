@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barloom.llm.repeats import Anchors, repeated
-from barloom.llm.textarrays import BASES, _coefficients, byte_sums, covered, span_hash
+from barloom.llm.textarrays import Spans, _coefficients, covered
 
 WIDTH = 200
 CORE = 64
@@ -51,11 +51,7 @@ def byte_anchors(width: int = WIDTH, core: int = CORE) -> Callable[[np.ndarray,
     core = min(core, max(1, width // 3))
 
     def run(data: np.ndarray, offsets: np.ndarray) -> Anchors:
-        sums = [byte_sums(data, k) for k in (0, 1)]
-
-        def named(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-            return np.stack([span_hash(s, starts, ends, b) for s, b in zip(sums, BASES)], 1)
-
+        named = Spans.of_bytes(data).names
         valid = np.zeros(len(data) + 1, np.int64)
         inside = np.flatnonzero(np.diff(offsets) >= width)
         np.add.at(valid, offsets[inside], 1)
@@ -69,7 +65,7 @@ def byte_anchors(width: int = WIDTH, core: int = CORE) -> Callable[[np.ndarray,
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(starts)) - 1
         first, last, at = starts[begin], starts[end], at[begin]
-        return Anchors(first, last, span_hash(sums[0], at, at + core, BASES[0]), named(first, last + width), lambda s: named(s, s + width))
+        return Anchors(first, last, named(at, at + core)[:, 0], named(first, last + width), lambda s: named(s, s + width))
 
     return run
 

@@ -1,7 +1,10 @@
-"""Texts of an Arrow batch as flat numpy arrays: bytes, words, hashes of words and of windows.
+"""Texts of an Arrow batch as flat numpy arrays: bytes, words, names of words and of windows.
 
-All hashes are polynomials over the ring of 64-bit integers with fixed random coefficients, so a
-window's hash is a difference of prefix sums.  Whoever needs certainty takes two of them.
+``word_names`` chains a mixing step over the bytes of a word, eight at a time.  Windows and spans of
+items are named by ``Spans``: polynomials over four random bases modulo the prime 2 ** 31 - 1, packed
+into 128 bits, so a window's name is a difference of prefix sums.  The polynomials modulo 2 ** 64
+(``prefix``, ``span_hash``) serve short runs of word names and features only: for long regular strings
+they lose many bits.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -104,6 +108,91 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     return span_hash(byte_sums(data, which), starts, ends, BASES[which])
 
 
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+#: Words of more bytes are named one by one.
+_LONG_WORD = 64
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit name of each word's bytes; the names of ``which`` 0 and 1 are independent."""
+    size = (ends - starts).astype(np.int64)
+    seed = np.uint64(_SEEDS[which])
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    long = np.flatnonzero(size > _LONG_WORD)
+    active = np.flatnonzero((size > 0) & (size <= _LONG_WORD))
+    step = 0
+    while len(active):
+        part = eight[starts[active] + step]
+        short = size[active] - step
+        last = short < 8
+        part[last] &= (np.uint64(1) << (short[last].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        out[active] = mix(out[active] * np.uint64(0xD6E8FEB86659FD93) + mix(part + seed))
+        step += 8
+        active = active[short > 8]
+    for k in long.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k]:ends[k]].tobytes(), seed=int(seed))
+    return out
+
+
+_PRIME = (1 << 31) - 1
+_LANES = (1_103_515_245, 1_664_525_013, 1_597_334_677, 1_812_433_253)
+_lane_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers_31(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and its inverse for i below n, modulo the prime; built by doubling."""
+    have = _lane_powers.get(base)
+    if have is None or len(have[0]) < n:
+        out = []
+        for b in (base, pow(base, -1, _PRIME)):
+            row = np.ones(1, np.uint64)
+            while len(row) < max(n, 1 << 16):
+                row = np.concatenate([row, row * np.uint64(pow(b, len(row), _PRIME)) % np.uint64(_PRIME)])
+            out.append(row)
+        have = (out[0], out[1])
+        if len(have[0]) <= 1 << 23:
+            _lane_powers[base] = have
+    return have[0][:n], have[1][:n]
+
+
+class Spans:
+    """Names of any spans of a row of items.
+
+    ``lanes`` are four arrays of numbers below 2 ** 31, or one that serves for all four.
+    """
+
+    def __init__(self, lanes: list[np.ndarray]) -> None:
+        n = len(lanes[0])
+        self.sums = []
+        for k, base in enumerate(_LANES):
+            values = lanes[k % len(lanes)].astype(np.uint64) * _powers_31(n, base)[0]
+            if n and int(lanes[k % len(lanes)].max()) * n >= 1 << 32:
+                values %= np.uint64(_PRIME)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(values, out=sums[1:])
+            self.sums.append(sums)
+
+    @classmethod
+    def of_bytes(cls, data: np.ndarray) -> Spans:
+        return cls([data.astype(np.uint64) + np.uint64(1)])
+
+    @classmethod
+    def of_names(cls, first: np.ndarray, second: np.ndarray) -> Spans:
+        low = np.uint64((1 << 31) - 1)
+        return cls([part % np.uint64(_PRIME) for x in (first, second) for part in (x & low, x >> np.uint64(33))])
+
+    def names(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Two 64-bit names of the items in each [start, end): equal for equal items, wherever they lie."""
+        size = (ends - starts).astype(np.uint64)
+        lanes = []
+        for base, sums in zip(_LANES, self.sums):
+            inverse = _powers_31(len(sums), base)[1]
+            lanes.append((sums[ends] - sums[starts]) % np.uint64(_PRIME) * inverse[starts] % np.uint64(_PRIME))
+        return np.stack([mix(((lanes[k] << np.uint64(31)) | lanes[k + 1]) + (size << np.uint64(62))) ^ mix(size) for k in (0, 2)], 1)
+
+
 def window_starts(before: np.ndarray, width: int) -> np.ndarray:
     """First item of each window of ``width`` items that lies inside one text."""
     counts = np.maximum(np.diff(before) - width + 1, 0)
