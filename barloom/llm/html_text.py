@@ -25,12 +25,14 @@ from barloom.llm.tokens import byte_balanced
 SCHEMA = "page_id long, url string, text string, n_chars long"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|(?P<text>[^<]+|<)",
     re.I | re.S,
 )
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after the other: a name, and a value if there is one.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_OPEN_END = re.compile(r"<!--(?!.*-->\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b(?!.*</\1\s*>\Z)", re.I | re.S)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -61,6 +63,8 @@ LINKS = 0.3
 #: Points that paragraphs in a doubtful element keep; readers' replies may be far longer than the article.
 DOUBT, REPLY = 0.25, 0.1
 REPLIES = frozenset("disqus discussion replies respond".split())
+#: Ancestors that a paragraph gives points to; further ones would get less than a sixty-fourth of them.
+ANCESTORS = 64
 #: Shares of the page's paragraph points that keep a doubtful element, and one with an article or main heading inside.
 SHARE, NAMED = 0.25, 0.1
 
@@ -94,7 +98,7 @@ def _trust(tag: str, attrs: str, in_article: bool) -> float:
         elif key == "role":
             if value in ROLES:
                 return 0.0
-        elif value:
+        elif key in ("class", "id"):
             for word in _SPLIT.split(value):
                 if word in REPLIES or word.startswith("comment"):
                     trust = REPLY
@@ -103,10 +107,22 @@ def _trust(tag: str, attrs: str, in_article: bool) -> float:
     return max(trust, DOUBT) if tag in ("article", "main") else trust
 
 
+def _tokens(page: str):
+    """Tokens of the page.  What follows the last ``>`` can hold no tag, so it is not searched for any."""
+    end = page.rfind(">") + 1
+    m = None
+    for m in _TOKEN.finditer(page, 0, end):
+        yield m
+    if end < len(page) and not (m is not None and m["text"] is None and m["tag"] is None and _OPEN_END.match(m[0])):
+        tail = re.split("<[!?]", page[end:], maxsplit=1)[0]  # a comment that never ends takes the rest
+        if tail:
+            yield {"text": tail}
+
+
 def parse(page: str) -> _Node:
     root = _Node("html", None, 1.0)
     at, open_tags = root, {}
-    for m in _TOKEN.finditer(page):
+    for m in _tokens(page):
         text = m["text"]
         if text is not None:
             at.children.append(html.unescape(text) if "&" in text else text)
@@ -252,7 +268,7 @@ def _score(root: _Node) -> None:
         if node.worth and not node.skip:
             points = node.worth * node.weak
             up, share = node.parent, 1
-            while up is not None:
+            while up is not None and share <= ANCESTORS:
                 up.points += points / share
                 up, share = up.parent, share + 1
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,20 @@ def test_odd_pages():
     assert main_text("<div>" * 3000 + "<p>deep" + "</div>" * 3000) == "deep"
     assert main_text("<p>" + "word " * 200000).count("word") == 200000
     assert main_text("<article><table><tr><td>a<td>b<tr><td>c</table></article>") == "a\nb\nc"
+    for inside in ('p title="hidden gems"', 'div aria-label="show hidden rows"', 'p data-hidden="false"', 'p data-role="navigation"', "p title='class=ad'"):
+        assert main_text(f"<article><p>one, two</p><{inside}>three, four</{inside[:3].strip()}></article>") == "one, two\nthree, four"
+    assert main_text("<article><p>one, two</p><p hidden>gone</p><p style='display: none'>gone</p><p HIDDEN=''>gone</p></article>") == "one, two"
+    assert main_text('<article><p>see <a href="/x?id=ad">this page</a> for more</p></article>') == "see this page for more"
+    assert main_text("<p>a</p> b <c") == "a\nb <c"
+    assert main_text("<p>a</p> b <!-- c") == main_text("<p>a</p> b <!-- c > d") == main_text("<p>a</p> b <script>x > y") == "a\nb"
+
+
+def test_time_of_malformed_pages():
+    """Pages of 500 KB that no tag ends, or that nest without end, take seconds, not hours."""
+    for page in ("<a " * 170_000, "<a '" * 120_000 + ">", "<div>a, b" * 50_000, "<p><b>" * 80_000, "<li><i>" * 70_000, "</x>" * 120_000, "<!-" * 170_000, "&amp" * 120_000):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 20
 
 
 def test_article_in_doubtful_wrappers():
