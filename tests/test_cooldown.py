@@ -52,3 +52,27 @@ def test_repeated_rows_are_duplicates(spark):
     got = cooldown.signal_decisions(spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp, score int")).collect()
     assert sorted((r["ts"], r["score"], r["decision"]) for r in got) == [
         (BASE, 60, "REJECTED_DUPLICATE"), (BASE, 70, "REJECTED_DUPLICATE"), (BASE, 70, "SIGNAL_CREATED"), (BASE + dt.timedelta(minutes=15), 71, "REJECTED_COOLDOWN")]
+
+
+@pytest.mark.parametrize("block,seconds,inclusive", [(4, 3600, True), (8, 20_000, False), (2, 50_000, True)])
+def test_many_blocks(spark, block, seconds, inclusive):
+    """Walks over many small blocks: ends, levels and rounds of pointer doubling."""
+    rng = np.random.default_rng(block)
+    frames, want = [], {}
+    for key, n in (("A", 700), ("B", 1), ("C", 90)):
+        steps = np.cumsum(rng.integers(0, 30, n)) * 60
+        rows = [(BASE + dt.timedelta(seconds=int(m)), int(s)) for m, s in zip(steps, rng.integers(40, 100, n))]
+        ok = rng.random(n) < 0.7
+        want.update({(key, k): d for k, d in enumerate(loop(rows, seconds, 5, inclusive, ok))})
+        frames += [dict(symbol=key, ts=ts, score=s, ok=bool(o), seq=k) for k, ((ts, s), o) in enumerate(zip(rows, ok))]
+    frame = spark.createDataFrame(pd.DataFrame(frames))
+    got = cooldown.decide(frame, ["symbol"], seconds, inclusive=inclusive, allowed="ok", order="seq", block=block).collect()
+    assert {(r["symbol"], r["seq"]): r["decision"] for r in got} == want
+
+
+def test_missing_scores(spark):
+    """A missing score is no upgrade, and is upgraded by none; it may be accepted once the cooldown is over."""
+    at = lambda m: BASE + dt.timedelta(minutes=m)
+    rows = [("A", at(0), 50), ("A", at(10), None), ("A", at(100), None), ("A", at(110), 99), ("A", at(200), 10)]
+    got = cooldown.decide(spark.createDataFrame(rows, "symbol string, ts timestamp, score int"), ["symbol"], 3600).collect()
+    assert [r["decision"] for r in sorted(got, key=lambda r: r["ts"])] == ["CREATED", "COOLDOWN", "CREATED", "COOLDOWN", "CREATED"]
