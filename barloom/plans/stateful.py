@@ -38,7 +38,7 @@ def query(name: str, oracle: str | None = None) -> Callable:
 
 
 # The fold by definition: one recursion step per signal of a symbol.
-_FOLD = """fold AS (
+FOLD = """fold AS (
   SELECT symbol, k, ts, score, ts AS a_ts, score AS a_score, 'SIGNAL_CREATED' AS decision FROM src WHERE k = 1
   UNION ALL
   SELECT s.symbol, s.k, s.ts, s.score,
@@ -50,7 +50,7 @@ _FOLD = """fold AS (
 
 @query("st04_cooldown", INTRADAY + """,
 src AS MATERIALIZED (SELECT symbol, ts, radar_score AS score, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM snap),
-""" + _FOLD + " SELECT symbol, ts, score, decision FROM fold")
+""" + FOLD + " SELECT symbol, ts, score, decision FROM fold")
 def st04(spark: SparkSession, folder: str) -> DataFrame:
     snaps = data.snapshot_rows(spark, folder).select("symbol", "timeframe", "ts", F.col("radar_score").alias("score"))
     return cooldown.signal_decisions(snaps).select("symbol", "ts", "score", "decision")
@@ -58,7 +58,7 @@ def st04(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("st04_cooldown_repeats", INTRADAY + """,
 src AS MATERIALIZED (SELECT symbol, ts, radar_score AS score, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM snap),
-""" + _FOLD + """ SELECT symbol, ts, score, decision FROM fold UNION ALL
+""" + FOLD + """ SELECT symbol, ts, score, decision FROM fold UNION ALL
 SELECT symbol, ts, score - d, 'REJECTED_DUPLICATE' FROM fold, (SELECT unnest([0, 1]) AS d)""")
 def st04_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Every signal three times, once with a lower score: one decision each, the copies rejected."""
@@ -69,7 +69,7 @@ def st04_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("st04_cooldown_by_user", sql.with_(sql.USER_HOUR, """src AS MATERIALIZED (
   SELECT symbol, ts, floor((high - 100) * 50)::BIGINT AS score, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars)""",
-  _FOLD.replace("60 MINUTE", "10 HOUR"), recursive=True) + "SELECT symbol, ts, score, decision FROM fold")
+  FOLD.replace("60 MINUTE", "10 HOUR"), recursive=True) + "SELECT symbol, ts, score, decision FROM fold")
 def st04_users(spark: SparkSession, folder: str) -> DataFrame:
     """Every hourly bar of a user as a signal, ten hours of cooldown."""
     bars = tables.user_hour_bars(spark, folder).select(

@@ -14,9 +14,9 @@ from barloom.plans import sql
 from barloom.plans.ingestion import _CLASSES, _ERRORS, scratch
 from barloom.plans.quality import RAW
 from barloom.plans.raw import raw_bars
-from barloom.plans.stateful import ORACLES as STATEFUL
+from barloom.plans.features import INTRADAY
 from barloom.operators.labels import completed
-from barloom.plans.stateful import context_rows, lifecycle_tables, now
+from barloom.plans.stateful import FOLD, context_rows, lifecycle_tables, now
 from barloom.session import use_utc
 from barloom.sources import tables
 from barloom.streaming import bars as stream_bars
@@ -76,23 +76,41 @@ def _feed(parts: Iterable[DataFrame], path: str, start: Callable[[DataFrame], St
         start(part.sparkSession.readStream.schema(part.schema).parquet(path)).awaitTermination()
 
 
-def _by_time(rows: DataFrame, parts: int) -> Iterator[DataFrame]:
+def _by_time(rows: DataFrame, parts: int, ts: str = "ts", ends: tuple | None = None) -> Iterator[DataFrame]:
     """The rows in order of time: equal spans between the first and the last, the ends open."""
-    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    first, last = ends or rows.agg(F.min(ts), F.max(ts)).first()
     cuts = [None, *(first + (last - first) * k / parts for k in range(1, parts)), None]
     for a, b in zip(cuts, cuts[1:]):
         part = rows
-        part = part if a is None else part.filter(F.col("ts") >= F.lit(a))
-        yield part if b is None else part.filter(F.col("ts") < F.lit(b))
+        part = part if a is None else part.filter(F.col(ts) >= F.lit(a))
+        yield part if b is None else part.filter(F.col(ts) < F.lit(b))
 
 
-@query("st04_stream_cooldown", STATEFUL["st04_cooldown"])
+_DELAY_MINUTES = 180
+_LATE = "bar_no % 40 = 7"
+
+
+@query("st04_stream_cooldown", INTRADAY + """,
+src AS MATERIALIZED (SELECT symbol, ts, radar_score AS score, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM snap),
+""" + FOLD + f"""
+SELECT symbol, ts, score, decision FROM fold WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM src) - INTERVAL {_DELAY_MINUTES} MINUTE
+UNION ALL SELECT symbol, ts, radar_score, 'LATE' FROM snap WHERE {_LATE.replace("bar_no", "n")} AND ts < (SELECT min(ts) + (max(ts) - min(ts)) / 3 FROM snap) - INTERVAL 1 DAY""")
 def st04_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The cooldown as keyed state; the answers equal the batch form's."""
+    """The cooldown as keyed state over signals that arrive up to two hours out of order.
+
+    Some signals of the first third come once more with the last part and are late.  Signals whose
+    step the watermark has not passed stay undecided.
+    """
     out = scratch(spark, "stream-cooldown")
-    snaps = data.snapshot_rows(spark, folder).select("symbol", "timeframe", "ts", F.col("radar_score").cast("long").alias("score"))
-    _feed(_by_time(snaps, 2), f"{out}/in", lambda arriving: stream_bars.write_once(
-        stream_cooldown.stream_decisions(arriving), f"{out}/data", f"{out}/log"))
+    snaps = data.snapshot_rows(spark, folder).select("symbol", "timeframe", "ts", F.col("radar_score").cast("long").alias("score"), "bar_no")
+    noise = F.make_interval(mins=F.pmod(F.xxhash64("symbol", "ts"), F.lit(120)).cast("int"))
+    arrivals = snaps.withColumn("arrival", F.col("ts") + noise)
+    first, last = snaps.agg(F.min("ts"), F.max("ts")).first()
+    third = first + (last - first) / 3
+    again = arrivals.filter(_LATE).filter(F.col("ts") < F.lit(third) - F.expr("INTERVAL 1 DAY")).withColumn("arrival", F.lit(last))
+    parts = _by_time(arrivals.unionByName(again), 3, "arrival", (first, last))
+    _feed((p.drop("arrival", "bar_no") for p in parts), f"{out}/in", lambda arriving: stream_bars.write_once(
+        stream_cooldown.stream_decisions(arriving, delay_minutes=_DELAY_MINUTES), f"{out}/data", f"{out}/log"))
     return spark.read.parquet(f"{out}/data").select("symbol", "ts", "score", "decision")
 
 
