@@ -11,7 +11,11 @@ from barloom.operators import lifecycle
 from barloom.plans import datasets as data
 from barloom.plans.common import r
 from barloom.plans.labels import SIGNALS
-from barloom.plans.stateful import NOW_SQL, WALK_SQL, lifecycle_tables
+from barloom.operators.labels import completed
+from barloom.plans.ingestion import scratch
+from barloom.plans.stateful import NOW_SQL, WALK_SQL, context_rows, lifecycle_tables, now
+from barloom.plans.streams import _by_time, _feed
+from barloom.streaming import lifecycle as stream_lifecycle
 
 QUERIES: dict[str, Callable] = {}
 
@@ -119,4 +123,24 @@ def st08_newest_setup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES |= {"st06_plan_versions": st06_plan_versions, "st08_newest_setup": st08_newest_setup}
+def st06_stream_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
+    """Events written by a stream of bars in five parts, beside those of the batch run, and the most bars that a batch kept."""
+    out = scratch(spark, "stream-lifecycle")
+    bars = completed(context_rows(spark, folder), now()).select("symbol", "ts", "bar_no", "open", "high", "low", "close", "volume",
+                                              "ctx_momentum", "ctx_rvol", "ctx_atr", "ctx_ema20", "ctx_vwap")
+    signals = data.planned_signals(spark, folder)
+    sink = stream_lifecycle.advance_setups(lambda: signals, f"{out}/store")
+    _feed(_by_time(bars, 5), f"{out}/in", lambda arriving: arriving.writeStream.foreachBatch(
+        sink).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start())
+    streamed = spark.read.parquet(f"{out}/store/events").groupBy("event_type").agg(F.count(F.lit(1)).alias("streamed"))
+    _, events = lifecycle_tables(spark, folder)
+    batch = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("batch"))
+    kept = spark.read.parquet(f"{out}/store/open_bars").groupBy("batch_id", "symbol").count()
+    bounded = kept.agg(F.coalesce(F.max("count") <= MOST_OPEN_BARS, F.lit(True)).alias("state_is_bounded"))
+    return streamed.join(batch, "event_type", "full_outer").crossJoin(F.broadcast(bounded))
+
+
+#: Bars after a signal that can still belong to its setup.
+MOST_OPEN_BARS = lifecycle.Policy().entry_bars + lifecycle.Policy().max_holding + 1
+ORACLES["st06_stream_lifecycle"] = LOG + "SELECT event_type, count(*) AS streamed, count(*) AS batch, true AS state_is_bounded FROM elog GROUP BY 1"
+QUERIES |= {"st06_stream_lifecycle": st06_stream_lifecycle, "st06_plan_versions": st06_plan_versions, "st08_newest_setup": st08_newest_setup}

@@ -11,18 +11,16 @@ from pyspark.sql.streaming import StreamingQuery
 from barloom.functions.bars import arrival_order
 from barloom.plans import datasets as data
 from barloom.plans import sql
+from barloom.plans.features import INTRADAY
 from barloom.plans.ingestion import _CLASSES, _ERRORS, scratch
 from barloom.plans.quality import RAW
 from barloom.plans.raw import raw_bars
-from barloom.plans.features import INTRADAY
-from barloom.operators.labels import completed
-from barloom.plans.stateful import FOLD, context_rows, lifecycle_tables, now
+from barloom.plans.stateful import FOLD
 from barloom.session import use_utc
 from barloom.sources import tables
 from barloom.streaming import bars as stream_bars
 from barloom.streaming import cooldown as stream_cooldown
 from barloom.streaming import ingest as stream_ingest
-from barloom.streaming import lifecycle as stream_lifecycle
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -112,19 +110,3 @@ def st04_stream(spark: SparkSession, folder: str) -> DataFrame:
     _feed((p.drop("arrival", "bar_no") for p in parts), f"{out}/in", lambda arriving: stream_bars.write_once(
         stream_cooldown.stream_decisions(arriving, delay_minutes=_DELAY_MINUTES), f"{out}/data", f"{out}/log"))
     return spark.read.parquet(f"{out}/data").select("symbol", "ts", "score", "decision")
-
-
-@query("st06_stream_lifecycle")
-def st06_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Events written by a stream of bars in three parts, beside those of the batch run (equal counts)."""
-    out = scratch(spark, "stream-lifecycle")
-    bars = completed(context_rows(spark, folder), now()).select("symbol", "ts", "bar_no", "open", "high", "low", "close", "volume",
-                                              "ctx_momentum", "ctx_rvol", "ctx_atr", "ctx_ema20", "ctx_vwap")
-    signals = data.planned_signals(spark, folder)
-    sink = stream_lifecycle.advance_setups(lambda: signals, f"{out}/store")
-    _feed(_by_time(bars, 3), f"{out}/in", lambda arriving: arriving.writeStream.foreachBatch(
-        sink).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start())
-    streamed = spark.read.parquet(f"{out}/store/events").groupBy("event_type").agg(F.count(F.lit(1)).alias("streamed"))
-    _, events = lifecycle_tables(spark, folder)
-    batch = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("batch"))
-    return streamed.join(batch, "event_type", "full_outer")
