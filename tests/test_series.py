@@ -114,3 +114,26 @@ def test_as_of(spark):
     right = pd.DataFrame({"symbol": "A", "ts": [START + dt.timedelta(hours=h) for h in (5, 29)], "close": [1.0, 2.0]})
     got = as_of(spark.createDataFrame(left), spark.createDataFrame(right), ["symbol"], F.floor(F.unix_seconds("ts") / 86400), ["close"], tie="id")
     assert [r["close"] for r in got.orderBy("id").collect()] == [None, 1.0, 2.0, 2.0, 2.0]
+
+
+@pytest.mark.parametrize("largest", [1, 50, 4096])
+def test_quantiles_of_concentrated_values(spark, largest):
+    """Values that share exponent and leading bits are told apart by refining, for several groups at once."""
+    rng = np.random.default_rng(largest)
+    frames = {
+        "narrow": 100 + rng.random(3000) * 0.2, "nearer": 1 + rng.integers(0, 500, 2000) * 2.0**-50, "equal": np.full(700, 5.5),
+        "wide": np.concatenate([rng.standard_normal(500) * 10.0 ** rng.integers(-200, 200, 500), [0.0, -0.0]]), "one": np.array([3.25]),
+    }
+    frame = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in frames.items()])
+    got = exact_quantiles(spark.createDataFrame(frame), ["k"], "v", {
+        "q10": (0.1, "linear"), "median": (0.5, "linear"), "upper": (0.5, "upper"), "p95": (0.95, "nearest")}, largest=largest).collect()
+    assert len(got) == len(frames)
+    for r in got:
+        v = np.sort(frames[r["k"]])
+        n = len(v)
+        for name, p in (("q10", 0.1), ("median", 0.5)):
+            at = (n - 1) * p
+            low = int(at)
+            want = v[low] * (1 - (at - low)) + v[min(low + 1, n - 1)] * (at - low)
+            assert r[name] == pytest.approx(want, rel=1e-12, abs=0)
+        assert r["upper"] == v[n // 2] and r["p95"] == v[min(n - 1, round((n - 1) * 0.95))]
