@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +50,18 @@ def head_rows(rows: DataFrame, head: str) -> DataFrame:
     return rows.filter(given[head]).withColumn("label", F.col(head))
 
 
-def chronological_split(rows: DataFrame, order: Sequence[str] = ("ts", "signal_id"), embargo: int = EMBARGO) -> DataFrame:
-    """Adds ``part``: train, validation, test, or embargo for the rows dropped between them.
+def chronological_split(
+    rows: DataFrame, order: Sequence[str] = ("ts", "signal_id"), embargo: int = EMBARGO, keys: Sequence[str] = (),
+) -> DataFrame:
+    """Adds ``part``: train, validation, test, or embargo for the rows dropped between them, per ``keys`` (few values).
 
     Positions come from a two-level count, so no task orders the whole table.
     """
     base = rows.withColumn("_one", F.lit(1))
     slices = F.floor(F.unix_micros(order[0]) / 900_000_000)
-    numbered = running(base, [], list(order), slices, {"_pos": ("_one", "sum")}).withColumn("_pos", F.col("_pos") - 1)
-    n = rows.agg(F.count(F.lit(1)).alias("_n"))
-    rows = numbered.crossJoin(F.broadcast(n))  # one row
+    numbered = running(base, list(keys), list(order), slices, {"_pos": ("_one", "sum")}).withColumn("_pos", F.col("_pos") - 1)
+    n = F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    rows = numbered.join(n, list(keys)) if keys else numbered.crossJoin(n)  # one row for each key
     train = F.floor(F.col("_n") * 0.6)
     until = F.floor(F.col("_n") * 0.8)
     gap = F.least(F.lit(embargo), F.greatest(F.lit(0), F.least(train, until - train) - 1))
@@ -72,41 +72,159 @@ def chronological_split(rows: DataFrame, order: Sequence[str] = ("ts", "signal_i
     return rows.withColumn("part", part).drop("_one", "_pos", "_n")
 
 
-def fit_head(train: DataFrame, names: Sequence[str] = FEATURES, l2: float = L2) -> LogisticRegressionModel | None:
-    """Logistic model on standardised features, intercept free; None without both classes."""
-    ends = train.agg(F.min("label").alias("a"), F.max("label").alias("b")).first()
-    if ends["a"] == ends["b"]:
-        return None
-    assembled = VectorAssembler(inputCols=list(names), outputCol="features").transform(train)
-    return LogisticRegression(regParam=l2, elasticNetParam=0.0, standardization=True, maxIter=100).fit(assembled)
+@dataclass(frozen=True)
+class Head:
+    """A logistic model: intercept and one weight for each feature as it stands in the table."""
 
+    names: tuple[str, ...]
+    intercept: float
+    weights: tuple[float, ...]
 
-def predict(model: LogisticRegressionModel, rows: DataFrame, name: str = "probability", names: Sequence[str] = FEATURES) -> DataFrame:
-    assembled = VectorAssembler(inputCols=list(names), outputCol="features").transform(rows)
-    scored = model.transform(assembled)
-    keep = [F.col(c) for c in rows.columns]
-    return scored.select(*keep, vector_to_array("probability")[1].alias(name))
+    def probability(self) -> Column:
+        log_odds = F.lit(self.intercept)
+        for name, weight in zip(self.names, self.weights):
+            log_odds = log_odds + F.lit(weight) * F.col(name)
+        return 1 / (1 + F.exp(-log_odds))
 
 
-def split_heads(rows: DataFrame) -> dict[str, DataFrame]:
-    """The chronological split of every head's population, kept for fitting and evaluation."""
-    return {head: hold(chronological_split(head_rows(rows, head))) for head in HEADS}
+def predict(model: Head, rows: DataFrame, name: str = "probability", names: Sequence[str] = FEATURES) -> DataFrame:
+    return rows.withColumn(name, model.probability())
 
 
-def fit_heads(splits: dict[str, DataFrame]) -> dict[str, LogisticRegressionModel]:
-    """One model per head with both classes, fitted on the embargoed training part.
-
-    The fits are independent series of small jobs, so they are submitted side by side.
-    """
-    def one(head: str) -> LogisticRegressionModel | None:
-        return fit_head(splits[head].filter(F.col("part") == "train"))
+def split_heads(rows: DataFrame) -> DataFrame:
+    """All heads' populations, each split in the order of time: a row for each head that a signal belongs to."""
+    given = {"entry": F.lit(True), "stop": F.col("entry") == 1, "h1": F.col("entry") == 1, "h2": F.col("h1") == 1, "h3": F.col("h2") == 1}
+    members = F.array_compact(F.array(*[
+        F.when(test, F.struct(F.lit(head).alias("head"), F.col(head).alias("label"))) for head, test in given.items()]))
+    long = rows.withColumn("_m", F.explode(members)).select("*", "_m.head", "_m.label").drop("_m", *HEADS)
+    return hold(chronological_split(long, keys=("head",)))
 
-    with ThreadPool(len(splits)) as pool:
-        fitted = pool.map(inheritable_thread_target(next(iter(splits.values())).sparkSession)(one), list(splits))
-    return {head: model for head, model in zip(splits, fitted) if model is not None}
 
+def _statistics(train: DataFrame, names: Sequence[str], weights: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] | None) -> dict[str, np.ndarray]:
+    """One scan: for each head a matrix of sums over its rows.
 
-def score_signals(models: dict[str, LogisticRegressionModel], signals: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    Without weights it is Z'Z of the rows Z = (1, features, label).  With them (mean, deviation,
+    weights of a head) it is the curvature of the loss, its gradient and, in the corner, the loss itself.
+    A task sends one line for each row of a head's matrix, so the driver gets one matrix a head.
+    """
+    names = list(names)
+
+    def sums(x: np.ndarray, y: np.ndarray, head: str) -> np.ndarray:
+        ones = np.ones(len(y))
+        if weights is None:
+            z = np.column_stack([ones, x, y])
+            return z.T @ z
+        mean, deviation, w = weights[head]
+        z = np.column_stack([ones, (x - mean) / deviation])
+        odds = z @ w
+        p = 1 / (1 + np.exp(-odds))
+        curve = (z * (p * (1 - p))[:, None]).T @ z
+        loss = float(np.logaddexp(0, odds).sum() - (odds * y).sum())
+        return np.block([[curve, (z.T @ (p - y))[:, None]], [np.zeros((1, z.shape[1])), np.array([[loss]])]])
+
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads = np.array(batch.column("head").to_pylist(), object)
+            x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+            y = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
+            for head in sorted(set(heads.tolist())):
+                if weights is None or head in weights:
+                    own = heads == head
+                    part = sums(x[own], y[own], head)
+                    total[head] = total[head] + part if head in total else part
+        for head, m in total.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([head] * len(m)), pa.array(range(len(m)), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], names=["head", "line", "entries"])
+
+    lines = train.select("head", F.col("label").cast("int").alias("label"), *names).mapInArrow(run, "head string, line int, entries array<double>")
+    cells = lines.select("head", "line", F.posexplode("entries").alias("at", "entry")).groupBy("head", "line", "at").agg(F.sum("entry").alias("entry"))
+    out: dict[str, np.ndarray] = {}
+    size = len(names) + 2
+    for r in cells.collect():  # a matrix of the features' number for each head
+        out.setdefault(r["head"], np.zeros((size, size)))[r["line"], r["at"]] = r["entry"]
+    return out
+
+
+def fit_heads(splits: DataFrame, names: Sequence[str] = FEATURES, l2: float = L2, steps: int = 50) -> dict[str, Head]:
+    """One model for each head with both classes, fitted on the training part.
+
+    Minimises mean loss plus ``l2`` / 2 times the squared weights of standardised features, without
+    the intercept's, by reweighted least squares: all heads move in the same scan, each with its own
+    step, halved where its loss would rise.  It ends when no gradient is above rounding.
+    """
+    train = splits.filter(F.col("part") == "train")
+    size = len(names) + 1
+    weights: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    count: dict[str, float] = {}
+    for head, m in _statistics(train, names, None).items():
+        n, positive = m[0, 0], m[0, -1]
+        if 0 < positive < n:
+            mean = m[0, 1:-1] / n
+            spread = np.maximum(np.diag(m)[1:-1] - n * mean * mean, 0) / max(n - 1, 1)
+            level = np.sqrt(np.where(spread > 1e-24 * (1 + mean * mean), spread, np.inf))
+            weights[head], count[head] = (mean, level, np.zeros(size)), n
+    penalty = np.full(size, l2)
+    penalty[0] = 0
+    held: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}  # loss, weights, step of the best point so far
+    open_ = dict(weights)
+    for _ in range(steps):
+        if not open_:
+            break
+        for head, m in _statistics(train, names, open_).items():
+            w, n = open_[head][2], count[head]
+            loss = m[-1, -1] / n + penalty @ (w * w) / 2
+            if head in held and not loss <= held[head][0] + 1e-12:
+                best, at, move = held[head]
+                held[head] = (best, at, move / 2)
+                w = at + move / 2
+            else:
+                gradient = m[:-1, -1] / n + penalty * w
+                move = -np.linalg.solve(m[:-1, :-1] / n + np.diag(penalty) + 1e-12 * np.eye(size), gradient)
+                held[head] = (loss, w, move)
+                weights[head] = (*weights[head][:2], w)
+                if np.abs(gradient).max() < 1e-9:
+                    del open_[head]
+                    continue
+                w = w + move
+            open_[head] = (*open_[head][:2], w)
+    out = {}
+    for head in HEADS if set(weights) <= set(HEADS) else sorted(weights):
+        if head in weights:
+            mean, level, w = weights[head]
+            plain = w[1:] / level
+            out[head] = Head(tuple(names), float(w[0] - plain @ mean), tuple(plain.tolist()))
+    return out
+
+
+def fit_head(train: DataFrame, names: Sequence[str] = FEATURES, l2: float = L2) -> Head | None:
+    """The model of a single population with its ``label``; None without both classes."""
+    return fit_heads(train.withColumns({"head": F.lit("one"), "part": F.lit("train")}), names, l2).get("one")
+
+
+def gradients(models: dict[str, Head], splits: DataFrame, l2: float = L2) -> DataFrame:
+    """head, samples, positives and the largest entry of the penalised loss's gradient over the training part."""
+    train = splits.filter(F.col("part") == "train")
+    out = None
+    names = next(iter(models.values())).names if models else FEATURES
+    spread = train.groupBy("head").agg(*[f(F.col(n)).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev))])
+    joined = train.join(F.broadcast(spread), "head")  # one row a head
+    for head, model in models.items():
+        off = model.probability() - F.col("label")
+        terms = [F.avg(off)]
+        for name, weight in zip(model.names, model.weights):
+            level = F.nullif(F.max(f"s_{name}"), F.lit(0.0))
+            terms.append(F.coalesce(F.avg(off * (F.col(name) - F.col(f"m_{name}"))) / level + l2 * weight * level, F.lit(0.0)))
+        one = joined.filter(F.col("head") == head).agg(
+            F.count(F.lit(1)).alias("samples"), F.sum(F.col("label").cast("long")).alias("positives"), F.greatest(*[F.abs(t) for t in terms]).alias("gradient"))
+        one = one.withColumn("head", F.lit(head))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def score_signals(models: dict[str, Head], signals: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """Predictions of every head; with ``done``, only for signals that have none yet."""
     rows = signals if done is None else signals.join(done.select("signal_id"), "signal_id", "left_anti")
     rows = rows.select("signal_id", *feature_columns())

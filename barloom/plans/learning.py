@@ -68,22 +68,48 @@ def m05(spark: SparkSession, folder: str) -> DataFrame:
     splits = learning.split_heads(training_rows(spark, folder))
     out = None
     for head, model in learning.fit_heads(splits).items():
-        test = hold(learning.predict(model, splits[head].filter(F.col("part") == "test"), "p").select("label", "p"))
+        test = hold(learning.predict(model, splits.filter((F.col("part") == "test") & (F.col("head") == head)), "p").select("label", "p"))
         scores = learning.classification_metrics(test).crossJoin(F.broadcast(learning.probability_quality(test)))  # one row each
         scores = scores.withColumn("head", F.lit(head))
         out = scores if out is None else out.unionByName(scores)
     return out
 
 
-@query("m06_score_missing")
-def m06(spark: SparkSession, folder: str) -> DataFrame:
-    """Signals after 20 January have no prediction yet; only they are scored."""
+@query("m05_heads_are_fitted", TRAIN + """
+SELECT head, count(*) AS samples, sum(label)::BIGINT AS positives, true AS gradient_vanishes FROM sp WHERE part = 'train' GROUP BY 1 HAVING min(label) < max(label)""")
+def m05_gradient(spark: SparkSession, folder: str) -> DataFrame:
+    """At the fitted weights of every head the gradient of loss and penalty vanishes."""
+    splits = learning.split_heads(training_rows(spark, folder))
+    out = learning.gradients(learning.fit_heads(splits), splits)
+    return out.select("head", "samples", "positives", (F.col("gradient") < 1e-6).alias("gradient_vanishes"))
+
+
+_SCORED_FROM = "2024-01-20"
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
     rows = training_rows(spark, folder)
     signals = data.planned_signals(spark, folder)
-    done = signals.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp")).select("signal_id")
+    done = signals.filter(F.col("ts") < F.lit(_SCORED_FROM).cast("timestamp")).select("signal_id")
     return learning.score_signals(learning.fit_heads(learning.split_heads(rows)), signals, done)
 
 
+@query("m06_score_missing")
+def m06(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals after 20 January have no prediction yet; only they are scored."""
+    return _scores(spark, folder)
+
+
+@query("m06_scored_signals", TRAIN + f"""
+SELECT signal_id, (SELECT count(*) FROM (SELECT head FROM sp WHERE part = 'train' GROUP BY 1 HAVING min(label) < max(label)))::INT AS scored_heads FROM sig WHERE ts >= TIMESTAMP '{_SCORED_FROM}'""")
+def m06_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Which signals get how many probabilities, each strictly between 0 and 1."""
+    scored = _scores(spark, folder)
+    heads = [c for c in scored.columns if c != "signal_id"]
+    inside = sum((F.when((F.col(c) > 0) & (F.col(c) < 1), 1).otherwise(0) for c in heads), F.lit(0))
+    return scored.select("signal_id", inside.cast("int").alias("scored_heads"))
+
+
 @query("m07_base_rate", TRAIN + "SELECT round(avg(label), 6) AS base_rate FROM sp WHERE head = 'entry' AND part = 'train'")
 def m07(spark: SparkSession, folder: str) -> DataFrame:
     split = learning.chronological_split(learning.head_rows(training_rows(spark, folder), "entry"))
