@@ -84,6 +84,12 @@ def next_start(bars: DataFrame, fallback: Column) -> DataFrame:
     return bars.agg(F.coalesce(F.max("ts"), fallback).alias("next_start"))
 
 
+def next_starts(symbols: DataFrame, bars: DataFrame, fallback: Column) -> DataFrame:
+    """Where each symbol's next download starts: at its last bar, or at ``fallback`` while it has none."""
+    last = bars.groupBy("symbol").agg(F.max("ts").alias("_last"))
+    return symbols.select("symbol").distinct().join(last, "symbol", "left").select("symbol", F.coalesce("_last", fallback).alias("next_start"))
+
+
 def manifest(bars: DataFrame) -> DataFrame:
     return bars.agg(
         F.count_distinct("symbol").alias("symbols"), F.min("ts").alias("start"), F.max("ts").alias("end"),

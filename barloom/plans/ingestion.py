@@ -146,13 +146,20 @@ FROM (SELECT *, ['ANA PAZAR', 'YILDIZ PAZAR', 'EMTİA PAZARI', 'GİRİŞİM SERM
 
 @query("src07_page_rows")
 def src07_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The same walk over the driver's raw pages (rows, if any, of real tables)."""
-    return vendor.registry_instruments(tables.table(spark, folder, "pages"))
+    """The same walk over the raw pages, each with a registry table of its own at its end."""
+    pages = tables.table(spark, folder, "pages")
+    market = F.element_at(F.array(*[F.lit(m) for m in _PAGE_MARKETS]), (F.col("page_id") % 4 + 1).cast("int"))
+    row = F.format_string("<tr class='r'><td>%d</td><td> p%d </td><td><a href='#'>Page %d</a></td></tr>", "page_id", "page_id", "page_id")
+    own = F.concat(F.coalesce("html", F.lit("")), F.lit("<table><tr><th>"), market, F.lit(" 1 Şirket / Fon Bulundu</th></tr>"), row, F.lit("</table>"))
+    return vendor.registry_instruments(pages.select("page_id", own.alias("html")))
 
 
+_PAGE_MARKETS = ("ANA PAZAR", "YILDIZ PAZAR", "EMTİA PAZARI", "GİRİŞİM SERMAYESİ PAZARI")
 ORACLES["src07_page_rows"] = """
-SELECT NULL::VARCHAR AS symbol, NULL::VARCHAR AS name, NULL::VARCHAR AS market, NULL::VARCHAR AS instrument_type, NULL::BOOLEAN AS accepted
-FROM pages WHERE regexp_matches(html, '(YILDIZ|ANA|ALT|EMTİA) PAZAR')"""
+SELECT 'P' || page_id AS symbol, 'Page ' || page_id AS name, m AS market,
+  CASE m WHEN 'EMTİA PAZARI' THEN 'COMMODITY' WHEN 'GİRİŞİM SERMAYESİ PAZARI' THEN 'FUND' ELSE 'EQUITY' END AS instrument_type,
+  m IN ('ANA PAZAR', 'YILDIZ PAZAR') AS accepted
+FROM (SELECT page_id, ['ANA PAZAR', 'YILDIZ PAZAR', 'EMTİA PAZARI', 'GİRİŞİM SERMAYESİ PAZARI'][page_id % 4 + 1] AS m FROM pages)"""
 
 _PAYLOAD_SQL = """SELECT event_id, CASE WHEN event_type = 'signup' THEN NULL ELSE upper(event_type) END AS symbol,
   date_trunc('second', ts) AS ts, '15m' AS timeframe, value AS open, value + 2 AS high, value - 1 AS low, value + 1 AS close,
@@ -346,6 +353,15 @@ def in04(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.next_start(tables.m15_bars(spark, folder), _stamp("2024-01-01"))
 
 
+@query("in04_next_start_by_symbol", sql.with_(sql.M15) + """
+SELECT symbol, max(ts) AS next_start FROM bars GROUP BY 1 UNION ALL SELECT r_name, TIMESTAMP '2024-01-01' FROM region""")
+def in04_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    """Event symbols go on from their last bar; the regions have no bars of 15 minutes yet."""
+    bars = tables.m15_bars(spark, folder)
+    symbols = bars.select("symbol").unionByName(tables.table(spark, folder, "region").select(F.col("r_name").alias("symbol")))
+    return ingest.next_starts(symbols, bars, _stamp("2024-01-01"))
+
+
 def _vendor_rows(spark: SparkSession, folder: str) -> DataFrame:
     raw = raw_bars(spark, folder)
     local = F.date_format(F.from_utc_timestamp("ts", "Europe/Istanbul"), "yyyy-MM-dd HH:mm:ss")

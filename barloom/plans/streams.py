@@ -67,6 +67,45 @@ def st03(spark: SparkSession, folder: str) -> DataFrame:
     return kinds
 
 
+_COPIES = """cuts AS (SELECT min(ts) + (max(ts) - min(ts)) / 3 AS a FROM raw),
+fed AS (SELECT symbol, ts, copy, copy = 1 AND ts < a - INTERVAL 3 DAY AS late FROM raw, cuts WHERE copy = 0 OR ts < a - INTERVAL 3 DAY OR (ts >= a - INTERVAL 1 DAY AND ts < a))"""
+
+
+@query("st03_first_copies", RAW + "," + _COPIES + """
+SELECT 'first' AS kind, count(*) AS rows FROM (SELECT DISTINCT symbol, ts FROM fed WHERE NOT late)
+UNION ALL SELECT 'late', count(*) FROM fed WHERE late
+UNION ALL SELECT 'copies', (SELECT count(*) FROM fed WHERE NOT late) - (SELECT count(*) FROM (SELECT DISTINCT symbol, ts FROM fed WHERE NOT late))""")
+def st03_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars in three parts: the second brings copies of the last day before it, the third copies that are too late.
+
+    First copies pass, copies within the watermark are dropped by state, and the late ones, which the
+    state no longer knows, are counted by the stream.
+    """
+    out = scratch(spark, "stream-copies")
+    raw = stream_bars.with_event_time(raw_bars(spark, folder).drop("fault", "slot"))
+    first, last = raw.agg(F.min("ts"), F.max("ts")).first()
+    a, b = first + (last - first) / 3, first + (last - first) * 2 / 3
+    ts, again = F.col("ts"), F.col("copy") == 1
+    day = F.expr("INTERVAL 1 DAY")
+    parts = [
+        raw.filter(~again & (ts < F.lit(a))),
+        raw.filter((~again & (ts >= F.lit(a)) & (ts < F.lit(b))) | (again & (ts >= F.lit(a) - day) & (ts < F.lit(a)))),
+        raw.filter((~again & (ts >= F.lit(b))) | (again & (ts < F.lit(a) - 3 * day))),
+    ]
+    fed = late = 0
+    for part in parts:
+        part.drop("copy").write.mode("append").parquet(f"{out}/in")
+        fed += part.count()
+        arriving = spark.readStream.schema(part.drop("copy").schema).parquet(f"{out}/in")
+        run = stream_bars.write_once(stream_bars.first_copies(arriving), f"{out}/data", f"{out}/log")
+        run.awaitTermination()
+        late += sum(o["numRowsDroppedByWatermark"] for p in run.recentProgress for o in p["stateOperators"])
+    kept = spark.read.schema(parts[0].drop("copy").schema).parquet(f"{out}/data").agg(F.count(F.lit(1)).alias("kept"))
+    return kept.select(F.explode(F.array(
+        F.struct(F.lit("first").alias("kind"), F.col("kept").alias("rows")), F.struct(F.lit("late").alias("kind"), F.lit(late).cast("long").alias("rows")),
+        F.struct(F.lit("copies").alias("kind"), (F.lit(fed - late) - F.col("kept")).alias("rows")))).alias("x")).select("x.*")
+
+
 def _feed(parts: Iterable[DataFrame], path: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
     """Let the parts arrive one after the other, each as many files as it has tasks; the query takes up where it stopped."""
     for part in parts:
