@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from barloom.operators.ingest import classify, dataset_hash, merge_incremental
 from barloom.schema import IDENTITY, VALUES
+from barloom.sources import manifest
+from barloom.staging import hold
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -19,12 +21,45 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
 
 
+def _opened(spark: SparkSession, path: str, schema: T.StructType, files: Sequence[str]) -> DataFrame:
+    """Some files of the table at ``path``, with its partition columns."""
+    if not files:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*files)
+
+
+def files_to_compare(spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str]) -> tuple[list[str], set[str]]:
+    """Files of the table that may hold a key of ``rows``, and the files that the manifest describes.
+
+    A file that the manifest does not describe is always among the first.
+    """
+    present = read_or_empty(spark, path, rows.schema).inputFiles()
+    known = read_or_empty(spark, f"{path}-manifest", manifest.FILES)
+    described = {r["file"] for r in known.select("file").distinct().collect()}
+    passed = set(manifest.matching(known, rows, keys)) if described else set()
+    return [f for f in present if f not in described or f in passed], described
+
+
+def _describe_new(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], described: set[str]) -> None:
+    """Add the table's files that the manifest lacks."""
+    new = [f for f in read_or_empty(spark, path, schema).inputFiles() if f not in described]
+    if new:
+        manifest.describe(_opened(spark, path, schema, new), keys).write.mode("append").parquet(f"{path}-manifest")
+
+
 def append_absent(spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str],
                   partition_by: Sequence[str] = ()) -> None:
-    """Append the rows whose key is not in the table; of equal keys in the batch one is written."""
-    stored = read_or_empty(spark, path, rows.schema).select(*keys)
-    fresh = rows.dropDuplicates(list(keys)).join(stored, list(keys), "left_anti")
+    """Append the rows whose key is not in the table; of equal keys in the batch one is written.
+
+    The files of each append are described in a manifest beside the table (``<path>-manifest``), and only
+    files that may hold a key of the batch are opened.
+    """
+    keys = list(keys)
+    batch = hold(rows.dropDuplicates(keys))
+    near, described = files_to_compare(spark, batch, path, keys)
+    fresh = batch.join(_opened(spark, path, rows.schema, near).select(*keys), keys, "left_anti")
     fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
+    _describe_new(spark, path, rows.schema, keys, described)
 
 
 def import_bars(spark: SparkSession, bars: DataFrame, path: str, step_seconds: int) -> dict[str, object]:
@@ -41,10 +76,13 @@ def import_bars(spark: SparkSession, bars: DataFrame, path: str, step_seconds: i
     if not datasets.filter(F.col("dataset_hash") == digest).isEmpty():
         return {"dataset_id": digest, "inserted": 0, "duplicates": total}
     columns = [*IDENTITY, *VALUES]
-    stored = read_or_empty(spark, f"{path}/bars", bars.select(*columns).schema)
+    schema, keys = bars.select(*columns).schema, list(IDENTITY)
+    near, described = files_to_compare(spark, bars, f"{path}/bars", keys)
+    stored = _opened(spark, f"{path}/bars", schema, near)
     inserted = classify(bars, stored).agg(F.coalesce(F.sum("new_rows"), F.lit(0)).alias("n")).first()["n"]
     fresh = merge_incremental(stored.limit(0), bars).join(stored.select(*IDENTITY), list(IDENTITY), "left_anti")
     fresh.select(*columns).write.mode("append").parquet(f"{path}/bars")
+    _describe_new(spark, f"{path}/bars", schema, keys, described)
     spark.createDataFrame([(digest, total)], known_schema).write.mode("append").parquet(f"{path}/datasets")
     return {"dataset_id": digest, "inserted": inserted, "duplicates": total - inserted}
 
