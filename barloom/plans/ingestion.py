@@ -112,9 +112,13 @@ def src06(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("src06_universe_checks", """
-SELECT (SELECT sha256(string_agg(h, chr(10) ORDER BY h)) FROM (SELECT sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM
-  (SELECT sha256('S' || s_suppkey || '|' || s_name || '||' || (s_acctbal > 0)::VARCHAR || '|registry|2024-01-30') AS h FROM supplier)
-  GROUP BY substr(h, 1, 2))) AS snapshot_hash, 0 AS invalid_symbols, 0 AS duplicate_symbols""")
+WITH rows AS (SELECT sha256('S' || s_suppkey || '|' || s_name || '||' || (s_acctbal > 0)::VARCHAR || '|registry|2024-01-30') AS h FROM supplier),
+sizes AS (SELECT CASE WHEN count(*) <= 1024 THEN 1 WHEN count(*) <= 16384 THEN 2 WHEN count(*) <= 262144 THEN 3 ELSE 4 END AS d FROM rows),
+l4 AS (SELECT d, substr(h, 1, d) AS p, sha256(string_agg(h || ':1', chr(10) ORDER BY h || ':1')) AS x FROM rows, sizes GROUP BY 1, 2),
+l3 AS (SELECT d, substr(p, 1, 3) AS p, CASE WHEN d = 4 THEN sha256(string_agg(p || ':' || x, chr(10) ORDER BY p || ':' || x)) ELSE any_value(x) END AS x FROM l4 GROUP BY 1, 2),
+l2 AS (SELECT d, substr(p, 1, 2) AS p, CASE WHEN d >= 3 THEN sha256(string_agg(p || ':' || x, chr(10) ORDER BY p || ':' || x)) ELSE any_value(x) END AS x FROM l3 GROUP BY 1, 2),
+l1 AS (SELECT d, substr(p, 1, 1) AS p, CASE WHEN d >= 2 THEN sha256(string_agg(p || ':' || x, chr(10) ORDER BY p || ':' || x)) ELSE any_value(x) END AS x FROM l2 GROUP BY 1, 2)
+SELECT sha256(string_agg(p || ':' || x, chr(10) ORDER BY p || ':' || x)) AS snapshot_hash, 0 AS invalid_symbols, 0 AS duplicate_symbols FROM l1""")
 def src06_checks(spark: SparkSession, folder: str) -> DataFrame:
     members = files.universe_members(_universe_raw(spark, folder))
     return files.universe_hash(members).crossJoin(F.broadcast(files.universe_problems(members)))

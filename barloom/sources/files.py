@@ -81,16 +81,25 @@ def universe_problems(members: DataFrame) -> DataFrame:
     )
 
 
-def universe_hash(members: DataFrame) -> DataFrame:
-    """Order-free snapshot hash: rows are hashed, grouped by the first two digits, then combined."""
+def universe_hash(members: DataFrame, leaf: int = 64) -> DataFrame:
+    """Order-free snapshot hash by a tree whose depth follows the number of different rows.
+
+    A row's hash falls into a leaf by its first hex digits, as many as leave about ``leaf`` rows in each;
+    a leaf hashes its rows in order, with how often each occurs, and every level above hashes its at most
+    sixteen children.  So no group grows with the table, and repeated rows are counted, not listed.
+    """
     line = F.concat_ws("|", "symbol", F.coalesce("name", F.lit("")), F.coalesce("sector", F.lit("")),
                        F.col("active").cast("string"), "source", F.col("source_date").cast("string"))
-    rows = members.select(F.sha2(line, 256).alias("_h"))
-
-    def fold(frame: DataFrame, *keys: Column) -> DataFrame:
-        return frame.groupBy(*keys).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("_h"))), 256).alias("_h"))
-
-    return fold(fold(rows, F.substring("_h", 1, 2).alias("_p"))).select(F.col("_h").alias("snapshot_hash"))
+    rows = members.groupBy(F.sha2(line, 256).alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    depth = 1
+    while leaf * 16**depth < rows.count() and depth < 12:
+        depth += 1
+    nodes = rows.select(F.substring("_r", 1, depth).alias("_p"), F.concat_ws(":", "_r", F.col("_n").cast("string")).alias("_h"))
+    digest = F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("_h"))), 256)
+    for level in range(depth, 0, -1):
+        folded = nodes.groupBy("_p").agg(digest.alias("_h"))
+        nodes = folded.select(F.substring("_p", 1, level - 1).alias("_p"), F.concat_ws(":", "_p", "_h").alias("_h"))
+    return nodes.agg(digest.alias("snapshot_hash"))  # at most sixteen
 
 
 def usable_cache(manifest: DataFrame, found: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
