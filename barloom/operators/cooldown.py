@@ -131,10 +131,12 @@ def _judge(reach: int, points: int, inclusive: bool) -> Callable[[pa.Table], pa.
     return run
 
 
-def _later_blocks(ends: DataFrame, blocks: DataFrame, keys: list[str], reached: Column) -> DataFrame:
-    """For each end the first later block that can hold its successor, by summary levels of ``FAN`` blocks each."""
+def _later_blocks(ends: DataFrame, blocks: DataFrame, keys: list[str], reached: Column, most: int) -> DataFrame:
+    """For each end the first later block that can hold its successor, by summary levels of ``FAN`` blocks each.
+
+    ``most`` is the last block's number.
+    """
     levels = [blocks]
-    most = blocks.agg(F.max("_block")).first()[0] or 0
     while most >= FAN:
         most //= FAN
         above = levels[-1].withColumn("_block", F.floor(F.col("_block") / FAN))
@@ -158,17 +160,38 @@ def _later_blocks(ends: DataFrame, blocks: DataFrame, keys: list[str], reached:
     return found[0]
 
 
-def _reached(start: DataFrame, step: DataFrame, keys: list[str]) -> DataFrame:
-    """The nodes that ``start`` reaches by ``step`` (keys, _end, _next), by pointer doubling."""
-    reach, jump = start.checkpoint(), step.checkpoint()
-    while True:
+def _steps(
+    opened: DataFrame, ends: DataFrame, blocks: DataFrame, keys: list[str], reach: int, points: int, inclusive: bool, most: int,
+) -> DataFrame:
+    """From each end to the end of its successor's walk: keys, _end, _next."""
+    aged = F.col("_t") + reach
+    enough = F.when(F.col("_score") == -_NEVER, F.lit(_NEVER)).otherwise(F.col("_score") + points)
+
+    def meets(t: str, score: str) -> Column:
+        return ((F.col(t) > aged) if inclusive else (F.col(t) >= aged)) | (F.col(score) >= enough)
+
+    later = _later_blocks(ends, blocks, keys, meets("_last_t", "_most"), most)
+    side = opened.select(*keys, "_block", F.col("_pos").alias("_at"), F.col("_t").alias("_at_t"), F.col("_score").alias("_at_score"), F.col("_end").alias("_at_end"))
+    found = ends.drop("_block").join(later, [*keys, "_end"]).join(side, [*keys, "_block"]).filter(meets("_at_t", "_at_score"))
+    return found.groupBy(*keys, "_end").agg(F.min_by("_at_end", "_at").alias("_next"))
+
+
+def _reached(start: DataFrame, step: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The nodes that ``start`` reaches by ``step`` (keys, _end, _next), by pointer doubling.
+
+    A step leads to a later block, so as many rounds as the last block's number has bits reach all.
+    """
+    reach, jump = start, step.checkpoint()
+    rounds = most.bit_length()
+    for k in range(rounds):
         new = reach.join(jump, [*keys, "_end"]).select(*keys, F.col("_next").alias("_end"))
-        grown = reach.unionByName(new).distinct().checkpoint()
-        if grown.count() == reach.count():
-            return grown
-        twice = jump.select(*keys, F.col("_end").alias("_first"), F.col("_next").alias("_end")).join(jump, [*keys, "_end"])
-        jump = twice.select(*keys, F.col("_first").alias("_end"), "_next").checkpoint()
-        reach = grown
+        reach = reach.unionByName(new).distinct()
+        if k + 1 < rounds:
+            twice = jump.select(*keys, F.col("_end").alias("_first"), F.col("_next").alias("_end")).join(jump, [*keys, "_end"])
+            jump = twice.select(*keys, F.col("_first").alias("_end"), "_next").checkpoint()
+        if k % 3 == 2:
+            reach = reach.checkpoint()
+    return reach
 
 
 def decide(
@@ -209,16 +232,9 @@ def decide(
     opened = walked.filter("_open")
     blocks = opened.groupBy(*keys, "_block").agg(F.max("_t").alias("_last_t"), F.max("_score").alias("_most"))
     ends = opened.filter("_end = _pos").select(*keys, "_block", "_end", "_t", "_score")
-    aged = F.col("_t") + reach
-    enough = F.when(F.col("_score") == -_NEVER, F.lit(_NEVER)).otherwise(F.col("_score") + upgrade_points)
-    may = ((F.col("_last_t") > aged) if inclusive else (F.col("_last_t") >= aged)) | (F.col("_most") >= enough)
-    later = _later_blocks(ends, blocks, keys, may)
-    side = opened.select(*keys, "_block", F.col("_pos").alias("_at"), F.col("_t").alias("_at_t"), F.col("_score").alias("_at_score"), F.col("_end").alias("_at_end"))
-    meets = ((F.col("_at_t") > aged) if inclusive else (F.col("_at_t") >= aged)) | (F.col("_at_score") >= enough)
-    step = ends.drop("_block").join(later, [*keys, "_end"]).join(side, [*keys, "_block"]).filter(meets).groupBy(*keys, "_end").agg(
-        F.min_by("_at_end", "_at").alias("_next"))
     start = opened.groupBy(*keys).agg(F.min_by("_end", "_pos").alias("_end"))
-    reached = _reached(start, step, keys)
+    most = int(blocks.agg(F.max("_block")).first()[0] or 0)
+    reached = _reached(start, _steps(opened, ends, blocks, keys, reach, upgrade_points, inclusive, most), keys, most) if most else start
 
     # what enters a block is the last reached end of an earlier one
     entering = reached.join(ends, [*keys, "_end"]).select(*keys, (F.col("_block") + 1).alias("_block"), F.struct("_t", "_score").alias("_in"))
