@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from barloom.llm import packing
 from barloom.llm.packing import cut_windows, pack
 from barloom.llm.token_counts import token_counts
-from barloom.llm.tokens import encode, pieces
+from barloom.llm.tokens import RUN, encode, pieces
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +30,16 @@ def test_ids(library):
         assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\t", "\u2003"])
+def test_long_runs_of_white_space(library, space):
+    """Runs longer than the pattern can walk back over: alone, between words, before and after a special string."""
+    for n in (RUN, 10**6 if space != "\u2003" else RUN + 1):
+        for before, after in (("", ""), ("a", "b"), ("a ", "<|endoftext|>x"), ("<|endoftext|>", " \n y")):
+            text = before + space * n + after
+            assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(encode("a" + space * 3 * 10**6 + "b")) > 10**6
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab'sé \n\t.,1½ ")), max_size=80))
 def test_pieces(text):
