@@ -150,7 +150,7 @@ def _powers_31(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
             row = np.ones(1, np.uint64)
             while len(row) < max(n, 1 << 16):
                 row = np.concatenate([row, row * np.uint64(pow(b, len(row), _PRIME)) % np.uint64(_PRIME)])
-            out.append(row)
+            out.append(row.astype(np.uint32))
         have = (out[0], out[1])
         if len(have[0]) <= 1 << 23:
             _lane_powers[base] = have
@@ -167,16 +167,17 @@ class Spans:
         n = len(lanes[0])
         self.sums = []
         for k, base in enumerate(_LANES):
-            values = lanes[k % len(lanes)].astype(np.uint64) * _powers_31(n, base)[0]
-            if n and int(lanes[k % len(lanes)].max()) * n >= 1 << 32:
-                values %= np.uint64(_PRIME)
+            lane = lanes[k % len(lanes)]
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(values, out=sums[1:])
+            np.multiply(lane, _powers_31(n, base)[0], out=sums[1:], dtype=np.uint64)
+            if n and int(lane.max()) * n >= 1 << 32:
+                sums %= np.uint64(_PRIME)
+            np.cumsum(sums, out=sums)
             self.sums.append(sums)
 
     @classmethod
     def of_bytes(cls, data: np.ndarray) -> Spans:
-        return cls([data.astype(np.uint64) + np.uint64(1)])
+        return cls([data.astype(np.uint16) + np.uint16(1)])
 
     @classmethod
     def of_names(cls, first: np.ndarray, second: np.ndarray) -> Spans:
@@ -189,7 +190,7 @@ class Spans:
         lanes = []
         for base, sums in zip(_LANES, self.sums):
             inverse = _powers_31(len(sums), base)[1]
-            lanes.append((sums[ends] - sums[starts]) % np.uint64(_PRIME) * inverse[starts] % np.uint64(_PRIME))
+            lanes.append((sums[ends] - sums[starts]) % np.uint64(_PRIME) * inverse[starts].astype(np.uint64) % np.uint64(_PRIME))
         return np.stack([mix(((lanes[k] << np.uint64(31)) | lanes[k + 1]) + (size << np.uint64(62))) ^ mix(size) for k in (0, 2)], 1)
 
 
