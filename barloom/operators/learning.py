@@ -205,10 +205,15 @@ def fit_head(train: DataFrame, names: Sequence[str] = FEATURES, l2: float = L2)
 
 
 def gradients(models: dict[str, Head], splits: DataFrame, l2: float = L2) -> DataFrame:
-    """head, samples, positives and the largest entry of the penalised loss's gradient over the training part."""
+    """head, samples, positives and the largest entry of the penalised loss's gradient over the training part.
+
+    Without models, as where no head has both classes, there are no rows.
+    """
+    if not models:
+        return splits.sparkSession.createDataFrame([], "samples long, positives long, gradient double, head string")
     train = splits.filter(F.col("part") == "train")
     out = None
-    names = next(iter(models.values())).names if models else FEATURES
+    names = next(iter(models.values())).names
     spread = train.groupBy("head").agg(*[f(F.col(n)).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev))])
     joined = train.join(F.broadcast(spread), "head")  # one row a head
     for head, model in models.items():
