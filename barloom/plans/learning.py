@@ -62,12 +62,24 @@ def m03(spark: SparkSession, folder: str) -> DataFrame:
     return learning.chronological_split(learning.head_rows(training_rows(spark, folder), "entry")).select("signal_id", "part")
 
 
+SCORE_COLUMNS = (
+    "roc_auc double, pr_auc double, brier_score double, log_loss double, precision double, recall double, f1 double, "
+    "status string, display string, sample long, max_calibration_gap double, beats_base_rate_brier boolean, head string")
+
+
 @query("m05_logistic_heads")
 def m05(spark: SparkSession, folder: str) -> DataFrame:
     """Every head fitted and measured on its test part."""
-    splits = learning.split_heads(training_rows(spark, folder))
+    return head_scores(learning.split_heads(training_rows(spark, folder)))
+
+
+def head_scores(splits: DataFrame) -> DataFrame:
+    """A row for each head that can be fitted; none where no head has both classes in its training part."""
+    models = learning.fit_heads(splits)
+    if not models:
+        return splits.sparkSession.createDataFrame([], SCORE_COLUMNS)
     out = None
-    for head, model in learning.fit_heads(splits).items():
+    for head, model in models.items():
         test = hold(learning.predict(model, splits.filter((F.col("part") == "test") & (F.col("head") == head)), "p").select("label", "p"))
         scores = learning.classification_metrics(test).crossJoin(F.broadcast(learning.probability_quality(test)))  # one row each
         scores = scores.withColumn("head", F.lit(head))

@@ -115,3 +115,23 @@ def test_calibration_edges(spark):
     frame = spark.createDataFrame([(p, 1) for p in (0.0, 0.3, 0.6, 0.95, 1.0)], "p double, label int")
     got = sorted(round(r["lower"], 1) for r in learning.calibration(frame).collect())
     assert got == [0.0, 0.2, 0.9]
+
+
+def head_queries(spark, monkeypatch, rows):
+    from barloom.plans import learning as plans
+
+    monkeypatch.setattr(plans, "training_rows", lambda spark, folder: rows)
+    return [plans.QUERIES[name](spark, "none") for name in ("m05_heads_are_fitted", "m05_logistic_heads")]
+
+
+def test_no_head_can_be_fitted(spark, monkeypatch):
+    """Signals that all miss their entry, or no signals: tables without rows instead of an error."""
+    rows = spark.range(60).select(
+        F.col("id").cast("string").alias("signal_id"), F.timestamp_seconds(F.col("id") * 900).alias("ts"),
+        *[(F.col("id") % 7).cast("double").alias(n) for n in learning.FEATURES], (F.col("id") % 2).cast("int").alias("entry"),
+        *[F.lit(0).alias(h) for h in learning.HEADS[1:]])
+    full = [out.dtypes for out in head_queries(spark, monkeypatch, rows)]
+    for part in (rows.withColumn("entry", F.lit(0)), rows.filter("signal_id IS NULL")):
+        none = head_queries(spark, monkeypatch, part)
+        assert [out.count() for out in none] == [0, 0]
+        assert [out.dtypes for out in none] == full
