@@ -113,7 +113,10 @@ def period_returns(curve: DataFrame, trades: DataFrame, warmup: int = 200, equit
 
 
 def trade_metrics(returns: DataFrame, order: list[str], slice_by: Column, years: float = 1.0, value: str = "r", days: str = "days") -> DataFrame:
-    """Compounded return, rates, averages, drawdown, ratios and streaks of an ordered return list."""
+    """Compounded return, rates, averages, drawdown, ratios and streaks of an ordered return list.
+
+    A ratio over no deviation is 0; the two deviations tell such a 0 from a mean of 0.
+    """
     r = F.col(value)
     rows = returns.withColumns({
         "_g": 1 + r, "_win": (r > 0).cast("int"), "_loss": (r <= 0).cast("int"),
@@ -136,9 +139,9 @@ def trade_metrics(returns: DataFrame, order: list[str], slice_by: Column, years:
     def zero(x: Column) -> Column:
         return F.coalesce(x, F.lit(0.0))
 
-    total = F.col("total_return")
+    total = zero(F.col("total_return"))  # nothing is won or lost without trades
     return out.select(
-        zero(total).alias("total_return"),
+        total.alias("total_return"),
         F.when(total > -1, F.pow(1 + total, F.lit(1 / years)) - 1).otherwise(-1.0).alias("cagr"),
         zero(F.col("win_rate")).alias("win_rate"), zero(F.col("loss_rate")).alias("loss_rate"), zero(F.col("average_win")).alias("average_win"),
         zero(F.col("average_loss")).alias("average_loss"), zero(F.col("expectancy")).alias("expectancy"),
@@ -148,6 +151,7 @@ def trade_metrics(returns: DataFrame, order: list[str], slice_by: Column, years:
         zero(F.col("expectancy") / F.nullif("_down", F.lit(0.0)) * scale).alias("sortino_ratio"),
         "number_of_trades", zero(F.col("average_trade_duration")).alias("average_trade_duration"),
         F.coalesce("_l", F.lit(0)).alias("max_consecutive_losses"), F.coalesce("_w", F.lit(0)).alias("max_consecutive_wins"),
+        F.col("_sd").alias("deviation"), F.col("_down").alias("downside_deviation"),
     )
 
 
