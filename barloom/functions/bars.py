@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,29 @@ def arrival_order(ts: Column, tie: Column) -> Column:
     return micros * F.lit(str(2**64)).cast("decimal(20,0)") + tie.cast("long").cast("decimal(19,0)")
 
 
+def packed_order(ranges: Mapping[str, tuple[int | None, int | None]]) -> Column:
+    """Whole-number columns, the first one counting most and nulls first, as one number.
+
+    ``ranges`` has the least and greatest value of each column (None without values).  Positions inside the ranges are
+    the digits of a long or, where they need more, of a decimal; both keep the bar aggregate a hash
+    aggregate.  Columns too wide for a decimal stay a struct, for which all ticks are sorted.
+    """
+    widths = {c: 1 if low is None else high - low + 2 for c, (low, high) in ranges.items()}
+    places = math.prod(widths.values())
+    if places >= 10**38:
+        return F.struct(*ranges)
+    kind = "long" if places < 2**63 else "decimal(38,0)"
+
+    def number(value: int) -> Column:
+        return F.lit(str(value)).cast(kind)
+
+    out = number(0)
+    for name, (low, _) in ranges.items():
+        digit = number(0) if low is None else F.coalesce(F.col(name).cast(kind) - number(low) + number(1), number(0))
+        out = (out * number(widths[name]) + digit).cast(kind)
+    return out
+
+
 def build_bars(ticks: DataFrame, timeframe: str, watermark: str | None = None) -> DataFrame:
     """symbol, ts, open, high, low, close, volume per timeframe.
 
