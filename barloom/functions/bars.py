@@ -45,10 +45,11 @@ def packed_order(ranges: Mapping[str, tuple[int | None, int | None]]) -> Column:
     return out
 
 
-def build_bars(ticks: DataFrame, timeframe: str, watermark: str | None = None) -> DataFrame:
+def build_bars(ticks: DataFrame, timeframe: str, watermark: str | None = None, ends: bool = False) -> DataFrame:
     """symbol, ts, open, high, low, close, volume per timeframe.
 
-    Ticks carry symbol, ts, price, volume and ``seq``, any value that orders the ticks of a bar.
+    Ticks carry symbol, ts, price, volume and ``seq``, any value that orders the ticks of a bar.  With ``ends`` a bar
+    keeps the ``seq`` of its first and last tick, so that ``merge_bars`` can put bars together.
 
     ``watermark`` (for example "15 minutes") makes the same plan append-only on a stream: a bar is
     emitted once its interval plus the delay has passed.
@@ -57,13 +58,23 @@ def build_bars(ticks: DataFrame, timeframe: str, watermark: str | None = None) -
     if watermark:
         ticks = ticks.withWatermark("ts", watermark)
     slot = F.window("ts", f"{width} seconds")
+    kept = {"first_seq": F.min("seq"), "last_seq": F.max("seq")} if ends else {}
     bars = ticks.groupBy("symbol", slot.alias("slot")).agg(
         F.min_by("price", "seq").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         F.max_by("price", "seq").alias("close"),
         F.sum("volume").alias("volume"),
+        *[value.alias(name) for name, value in kept.items()],
     )
     return bars.select(
-        "symbol", F.col("slot.start").alias("ts"), "open", "high", "low", "close", "volume"
+        "symbol", F.col("slot.start").alias("ts"), "open", "high", "low", "close", "volume", *kept
+    )
+
+
+def merge_bars(bars: DataFrame, symbol: str) -> DataFrame:
+    """Bars of ``symbol`` from all ``bars`` of the same time, built with ``ends``: as if from their ticks."""
+    return bars.groupBy(F.lit(symbol).alias("symbol"), "ts").agg(
+        F.min_by("open", "first_seq").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "last_seq").alias("close"), F.sum("volume").alias("volume"),
     )

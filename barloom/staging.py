@@ -21,6 +21,7 @@ from barloom.session import checkpoint_dir
 
 _tables: dict[tuple[str, str, str, str], DataFrame] = {}
 _held: list[DataFrame] = []
+_JOIN_CACHED = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
 _lock = threading.RLock()
 
 
@@ -60,9 +61,18 @@ def staged(name: str, spark: SparkSession, folder: str, build: Callable[[], Data
 def hold(frame: DataFrame) -> DataFrame:
     """Mark a frame that several branches of one plan read, so that it is computed once.
 
-    Cached partitions spill to disk, and a lost executor's partitions are recomputed from lineage.
+    Cached partitions spill to disk, and a lost executor's partitions are recomputed from lineage.  Spark plans
+    the frame when it is marked and would keep all shuffle partitions, most of them empty for a small frame; the
+    setting lets it join them as elsewhere.
     """
-    kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    conf = frame.sparkSession.conf
+    with _lock:
+        before = conf.get(_JOIN_CACHED)
+        conf.set(_JOIN_CACHED, "true")
+        try:
+            kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
+        finally:
+            conf.set(_JOIN_CACHED, before)
     _held.append(kept)
     return kept
 
