@@ -36,25 +36,30 @@ def expand_ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(first - ahead, counts)
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    """A place in a table of 2 ** 20 for each pair."""
-    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+def _slots(key: np.ndarray, closed: np.ndarray | None = None) -> np.ndarray:
+    """A place in a table of 2 ** 20 for each pair; a place of its own, the last, for pairs that reach across a document's end."""
+    out = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
+    if closed is not None:
+        out[closed] = _SLOTS
+    return out
 
 
-def _frequent(key: np.ndarray, slot: np.ndarray, free: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The most frequent pairs among the ``free`` places, their counts, and whether these are all from ``least`` on.
+def _frequent(key: np.ndarray, slot: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The most frequent pairs, their counts, the places of pairs that may be among them, and whether these are all from ``least`` on.
 
     A slot's count bounds those of its pairs from above, so only pairs of full slots are sorted.
     """
-    full = np.bincount(slot[free], minlength=_SLOTS)
+    full = np.bincount(slot, minlength=_SLOTS + 1)
+    full[_SLOTS] = 0
     bound = max(least, int(full.max()) // 64)
     while True:
-        found = np.sort(key[free & (full[slot] >= bound)])
+        near = np.flatnonzero((full >= bound).take(slot))
+        found = np.sort(key.take(near))
         starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, len(found)))
-        often = counts >= bound
-        if often.any() or bound == least:
-            return found[starts[often]], counts[often], bound == least
+        often = np.flatnonzero(counts >= bound)
+        if len(often) or bound == least:
+            return found.take(starts.take(often)), counts.take(often), near, bound == least
         bound = least  # unlike pairs shared a slot
 
 
@@ -62,21 +67,25 @@ def _winners(places: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Indexes of the places to replace: in a row of neighbours with one score, higher than the scores beside it, every second."""
     if not len(places):
         return places
-    gap = places[1:] != places[:-1] + 1
-    cuts = np.flatnonzero(np.concatenate([[True], gap | (score[1:] != score[:-1])]))
-    value = score[cuts]
-    near = ~gap[cuts[1:] - 1]  # the row touches the one before it
-    before = np.concatenate([[0], np.where(near, value[:-1], 0)])
-    after = np.concatenate([np.where(near, value[1:], 0), [0]])
-    best = (value > before) & (value > after)
-    lengths = np.diff(np.append(cuts, len(places)))[best]
-    half = (lengths + 1) // 2
-    return np.repeat(cuts[best] - 2 * (np.cumsum(half) - half), half) + 2 * np.arange(int(half.sum()))
+    touch = places[1:] == places[:-1] + 1
+    rise = score[1:] > score[:-1]
+    level = touch & (score[1:] == score[:-1])
+    best = np.ones(len(places), bool)
+    best[1:] = rise | ~touch | level
+    best[:-1] &= ~(rise & touch)
+    inner = np.flatnonzero(level)
+    if len(inner):
+        cut = inner[1:] != inner[:-1] + 1
+        first, last = inner[np.concatenate([[True], cut])], inner[np.concatenate([cut, [True]])] + 1
+        lengths = last - first + 1
+        row = expand_ranges(first, lengths)
+        best[row] = np.repeat(best[first] & best[last], lengths) & ((row - np.repeat(first, lengths)) % 2 == 0)
+    return np.flatnonzero(best)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEAST, rounds: int = ROUNDS):
     """Rules (left, right), rules of each round, symbols, and the documents' ends in symbols."""
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.uint32)
     closed = np.zeros(len(symbols), bool)  # the symbol is the last of its document
     closed[ends[ends > 0] - 1] = True
     left, right, sizes = [], [], []
@@ -84,35 +93,39 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEA
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        key = (symbols[:-1] << 32) | symbols[1:]
-        free = ~closed[:-1]
-        slot = _slot(key)
-        pairs, counts, rarest = _frequent(key, slot, free, least)
+        key = symbols[:-1].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= symbols[1:]
+        slot = _slots(key, np.flatnonzero(closed[:-1]))
+        pairs, counts, near, rarest = _frequent(key, slot, least)
         if not len(pairs):
             break
-        table = np.full(_SLOTS, -1, np.int64)
-        table[_slot(pairs)] = np.arange(len(pairs))  # of pairs in one slot the last has its turn, the others later
-        at = np.flatnonzero(free & (table[slot] >= 0))
-        chosen = table[slot[at]]
-        same = pairs[chosen] == key[at]
-        at, chosen = at[same], chosen[same]
-        won = _winners(at, counts[chosen])
-        at, chosen = at[won], chosen[won]
+        table = np.full(_SLOTS + 1, -1, np.int32)
+        table[_slots(pairs)] = np.arange(len(pairs))  # of pairs in one slot the last has its turn, the others later
+        chosen = table.take(slot.take(near))
+        some = np.flatnonzero(chosen >= 0)
+        at, chosen = near.take(some), chosen.take(some)
+        same = np.flatnonzero(pairs.take(chosen) == key.take(at))
+        at, chosen = at.take(same), chosen.take(same)
+        won = _winners(at, counts.take(chosen))
+        at, chosen = at.take(won), chosen.take(won)
         used = np.bincount(chosen, minlength=len(pairs))
         good = used >= max(2, least // 2)
-        at, chosen = at[good[chosen]], chosen[good[chosen]]
+        kept = np.flatnonzero(good.take(chosen))
+        at, chosen = at.take(kept), chosen.take(kept)
         if not len(at):
             break
         rank = np.cumsum(good) - 1
-        left.append(pairs[good] >> 32)
-        right.append(pairs[good] & 0xFFFFFFFF)
+        left.append((pairs[good] >> np.uint64(32)).astype(np.int64))
+        right.append((pairs[good] & np.uint64(0xFFFFFFFF)).astype(np.int64))
         sizes.append(int(good.sum()))
-        symbols[at] = number + rank[chosen]
-        closed[at] = closed[at + 1]
+        symbols[at] = number + rank.take(chosen)
+        closed[at] = closed.take(at + 1)
         number += sizes[-1]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
-        symbols, closed = symbols[stay], closed[stay]
+        stay = np.flatnonzero(stay)
+        symbols, closed = symbols.take(stay), closed.take(stay)
         if rarest and len(at) * 128 < len(symbols):
             break
     none = np.zeros(0, np.int64)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import frame
 from hypothesis import given, settings
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from barloom.llm import word_tokens
-from barloom.llm.repair import LEAST, Block, encode_block
+from barloom.llm.repair import LEAST, Block, _winners, encode_block
 from barloom.llm.token_files import blocks, document_ids, read_ids, token_files, write_ids
 
 
@@ -39,6 +40,42 @@ def test_any_ids(text):
     assert word_tokens.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_parts_are_merged_once(library, monkeypatch):
+    """Texts are encoded together: one call merges each different part of their words, whatever its case and signs."""
+    known, calls = word_tokens._known(), []
+    merged = known.merged
+    monkeypatch.setattr(known, "merged", lambda parts: calls.append(parts.to_pylist()) or merged(parts))
+    texts = ["Étonnant word, word. WORD", None, "", " don't 42word étonnant,  ", "WORD日本 <|endoftext|>"] * 50
+    got = word_tokens.encode_all(pa.array(texts).slice(1))
+    assert [np.frombuffer(g.as_py(), "<u2").tolist() for g in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+    assert sorted(calls[0]) == sorted(["étonnant", "word", ",", ".", "don", "'t", "4", "2"]) and len(calls) == 1
+
+
+def test_ids_together(library):
+    """Each text has its own ids where several are encoded at once, with control characters or without, in both string types."""
+    for texts in (ODD, [t for t in ODD if "\x1c" not in t], ["\x00 a\x00b", "a" * 64, "a" * 65, "'" * 70, None]):
+        for kind in (pa.string(), pa.large_string()):
+            got = word_tokens.encode_all(pa.array(texts, kind))
+            assert [np.frombuffer(g.as_py(), "<u2").tolist() for g in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(word_tokens.encode_all(pa.array([], pa.string()))) == 0
+
+
+def test_winners():
+    """In a row of neighbours with one score, higher than the scores beside it, every second place is replaced."""
+    rng = np.random.default_rng(3)
+    for kinds, share in ((1, 1.0), (2, 0.9), (3, 0.5), (40, 0.9)):
+        places = np.flatnonzero(rng.random(500) < share)
+        score = rng.integers(1, kinds + 1, len(places))
+        by_place, expected, row = dict(zip(places.tolist(), score.tolist())), [], []
+        for i, place in enumerate(places.tolist()):
+            row = [*row, i] if by_place.get(place - 1) == by_place[place] else [i]
+            if by_place.get(place + 1) != by_place[place]:
+                beside = max(by_place.get(place - len(row), 0), by_place.get(place + 1, 0))
+                expected += row[::2] if by_place[place] > beside else []
+        assert _winners(places, score).tolist() == expected
+    assert _winners(np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
 @pytest.mark.parametrize("kinds", [1, 2, 5, 40])
 def test_round_trip(kinds):
     rng = np.random.default_rng(kinds)
