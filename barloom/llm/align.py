@@ -8,11 +8,15 @@ Texts are kept in packs of some megabytes, with each pair of ids of a pack once.
 counts are summed by Spark, and each pack asks for the counts of its own pairs, so a pair that every
 document holds is asked for once a pack and not once a document.  Pairs of very many packs, of which
 there are few by the size of the tables, are broadcast; the others are joined by a shuffle.
+
+What only the last step needs of a pack is one compressed value, so that Spark moves rows of some
+hundred kilobytes, and a task has the tokens of a few texts of its pack at once.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +34,17 @@ SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 LONG, STRETCH, FAN = 1 << 16, 1 << 15, 8
 #: Bytes of text of a pack, at most unless one text has more.
 PACK = 1 << 21
+#: Characters of text whose tokens are held at once, at most unless one text has more.
+PART = 1 << 18
 #: Pairs of more than a 2 ** 16th of all lines of packs, 2 ** 16 of them at most, are joined by broadcast.
 FEW = 1 << 16
 
-_PACK_SCHEMA = (
-    "pack long, names array<long>, held array<long>, doc_ids array<long>, n_a array<long>, n_b array<long>, "
-    "n_groups array<long>, n_links array<long>, shas array<string>, sizes array<long>, places array<int>, times array<long>"
-)
+_PACK_SCHEMA = "pack long, names array<long>, held array<long>, body binary"
+#: The body: the texts' digests, their numbers of pairs, the steps from one place to the next, and the links of each pair.
+_BODY = pa.schema([
+    *((n, pa.list_(pa.int64())) for n in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")),
+    ("shas", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("steps", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())),
+])
 _STRETCH_SCHEMA = "text_no long, doc_id long, part long, parts long, a_text string, a_at long, b_text string, b_at long"
 _SIDE = "{0}_a array<long>, {0}_a_ends array<long>, {0}_b array<long>, {0}_b_ends array<long>"
 _FRAGMENT_SCHEMA = (
@@ -56,14 +64,18 @@ def _sha(spelled_text) -> str:
 
 def _pack(number: int, rows: list[tuple], names: np.ndarray, held: np.ndarray, sizes, places, times) -> pa.RecordBatch:
     """One row: the pairs of the pack, its texts, and for each text the places of its pairs and their links."""
-    columns = [list(c) for c in zip(*rows)]
-    values = [number, names, held, *columns, sizes, places, times]
-    kinds = [pa.int64(), *[pa.list_(pa.int64())] * 7, pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    values = [*map(list, zip(*rows)), sizes, np.diff(places, prepend=places.dtype.type(0)), times]
+    body = pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip(values, _BODY)], schema=_BODY)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _BODY, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(body)
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    values = [number, names, held, sink.getvalue().to_pybytes()]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=_names(_PACK_SCHEMA))
 
 
-def _packed(number: int, doc_ids: list[int | None], sources: list[str | None]) -> pa.RecordBatch:
-    """The pack of some short texts, all of them at once."""
+def _digests(sources: list[str | None]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of some short texts, the number of pairs of each, and these pairs, rising within a text, with their links."""
     found, whole = many([t or "" for t in sources])
     good = [i for i, w in enumerate(whole) if w and sources[i]]
     lengths = np.array([found[i].a_ends[-1] for i in good], np.int64)
@@ -78,23 +90,30 @@ def _packed(number: int, doc_ids: list[int | None], sources: list[str | None]) -
     names, place = np.unique((a << 32) | b, return_inverse=True)
     each, at = np.unique(doc * max(len(names), 1) + place, return_inverse=True)
     times = np.bincount(at, times, len(each)).astype(np.int64)
-    places = (each % max(len(names), 1)).astype(np.int32)
-    of = each // max(len(names), 1)
+    of, place = np.divmod(each, max(len(names), 1))
     flat, ends = spelled(joined, cuts) if len(cuts) else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
     _, _, na, nb = grouped(joined, cuts)
     n_links = np.bincount(owner, na * nb, len(good)).astype(np.int64)
     n_groups = np.bincount(owner, minlength=len(good))
     last = ends[np.cumsum(n_groups) - 1] if len(good) else ends
-    rows, at, begin = [], 0, 0
-    for i, (doc_id, w) in enumerate(zip(doc_ids, whole)):
-        if not (w and sources[i]):
-            rows.append((doc_id, 0, 0, 0, 0, ""))
-            continue
-        rows.append((doc_id, len(found[i].a), len(found[i].b), int(n_groups[at]), int(n_links[at]), _sha(flat[begin:last[at]])))
-        begin, at = int(last[at]), at + 1
+    rows, begin = [(0, 0, 0, 0, "")] * len(sources), 0
+    for at, i in enumerate(good):
+        rows[i] = (len(found[i].a), len(found[i].b), int(n_groups[at]), int(n_links[at]), _sha(flat[begin:last[at]]))
+        begin = int(last[at])
     sizes = np.zeros(len(rows), np.int64)
     sizes[good] = np.bincount(of, minlength=len(good))
-    return _pack(number, rows, names, np.bincount(places, minlength=len(names)), sizes, places, times)
+    return rows, sizes, names[place], times
+
+
+def _packed(number: int, doc_ids: list[int | None], sources: list[str | None]) -> pa.RecordBatch:
+    """The pack of some short texts, made from parts of ``PART`` characters."""
+    part = np.cumsum([len(t or "") for t in sources]) // PART
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sources)]
+    rows, sizes, pairs, times = zip(*(_digests(sources[i:j]) for i, j in zip(cuts, cuts[1:])))
+    names, places = np.unique(np.concatenate(pairs), return_inverse=True)
+    rows = [(doc_id, *row) for doc_id, row in zip(doc_ids, chain(*rows))]
+    held = np.bincount(places, minlength=len(names))
+    return _pack(number, rows, names, held, np.concatenate(sizes), places.astype(np.int32), np.concatenate(times))
 
 
 def _short(batches):
@@ -150,7 +169,7 @@ def _read(table: pa.Table | pa.RecordBatch, i: int) -> Fragment:
 
 def _fragments(batches):
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
             found, whole = stretch(r["a_text"] or "", r["a_at"], r["b_text"] or "", r["b_at"], r["part"] == 0)
             yield _row(r["text_no"], r["doc_id"], r["part"], r["parts"], Fragment.of(found, whole))
 
@@ -193,14 +212,15 @@ def _long(docs: DataFrame) -> DataFrame:
 
 def _finish(key: tuple, packs: pa.Table, found: pa.Table) -> pa.Table:
     """The rows of one pack, with the counts of its pairs."""
-    get = lambda name: packs.column(name)[0].values
-    counts, best = np.zeros(len(get("names")), np.int64), np.zeros(len(get("names")), bool)
+    body = pa.ipc.open_stream(packs.column("body")[0].as_buffer()).read_all()
+    get = lambda name: body.column(name)[0].values
+    counts, best = np.zeros(found.num_rows, np.int64), np.zeros(found.num_rows, bool)
     at = found.column("place").to_numpy()
     counts[at], best[at] = found.column("count").to_numpy(), found.column("is_best").to_numpy(zero_copy_only=False)
-    places, times = get("places").to_numpy(), get("times").to_numpy()
+    places, times = np.cumsum(get("steps").to_numpy()), get("times").to_numpy()
     ends = np.concatenate([[0], np.cumsum(get("sizes").to_numpy())])
     sums = [np.concatenate([[0], np.cumsum(v)])[ends] for v in (times * best[places], times * counts[places])]
-    out = [packs.column(c)[0].values for c in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")]
+    out = [get(c) for c in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")]
     return pa.table([*out, pa.array(np.diff(sums[0])), pa.array(np.diff(sums[1])), get("shas")], names=_names(SCHEMA))
 
 
@@ -230,4 +250,4 @@ def align(docs: DataFrame) -> DataFrame:
     rare = known.filter("count is null").select("pack", "place", "name").join(counts.filter(~often).drop("lines"), "name")
     columns = (F.col("pack").alias("of_pack"), "place", "count", "is_best")
     found = known.filter("count is not null").select(*columns).union(rare.select(*columns))
-    return packs.groupBy("pack").cogroup(found.groupBy("of_pack")).applyInArrow(_finish, SCHEMA)
+    return packs.select("pack", "body").groupBy("pack").cogroup(found.groupBy("of_pack")).applyInArrow(_finish, SCHEMA)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,8 +13,9 @@ import sentencepiece
 from brute import collected, frame
 from tokenizers import Tokenizer
 
+import barloom.llm.align as module
 from barloom.llm.align import align
-from barloom.llm.fragments import Fragment, Tokens, spelled
+from barloom.llm.fragments import Fragment, Tokens, links, spelled
 from barloom.llm.two_tokens import many, stretch, stretches
 
 WORDS = ["the", "of", "naïve", "日本語", "cat.", "(x)", "12,5", "<s>", "<|endoftext|>", "don't", "über", "   ", "\n", "\t", "👩", "zxqv"]
@@ -131,3 +133,35 @@ def test_wide_groups_are_not_written_out():
     want = Counter((x % 7) << 32 | (y % 5) for x in range(n) for y in range(n))
     assert dict(zip(closed.pairs.tolist(), closed.times.tolist())) == want and closed.groups == 1
     assert spelled(tokens, tokens.cuts())[0].tobytes().decode() == ",".join(str(x % 7) for x in range(n)) + "|" + ",".join(str(x % 5) for x in range(n)) + ";"
+
+
+def test_packs_are_small():
+    """A pack of two megabytes of rare pairs is a small row, and a task needs little memory to make it."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrst", k=rng.randrange(2, 9))) for _ in range(550)) for _ in range(600)]
+    assert sum(map(len, texts)) > 1.9e6
+    module._packed(0, [0], ["loads the vocabularies"])
+    tracemalloc.start()
+    pack = module._packed(0, list(range(600)), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pack.num_rows == 1 and pack.nbytes < 3e6
+    assert peak < 8e7
+
+
+def test_packs_are_the_same_from_any_parts(monkeypatch):
+    ids, texts = zip(*rows_of(7))
+    want = module._packed(3, list(ids), list(texts))
+    for size in (1, 700, 5000):
+        monkeypatch.setattr(module, "PART", size)
+        assert module._packed(3, list(ids), list(texts)).equals(want)
+
+
+def test_lines_of_links_follow_the_tokens():
+    """Many groups of a hundred tokens of both give no more lines than a few for each token."""
+    n, groups = 100, 50
+    cuts = np.arange(1, groups + 1) * 2 * n
+    tokens = Tokens(np.arange(n * groups) % 7, np.arange(1, n * groups + 1) * 2, np.arange(n * groups) % 5, np.arange(1, n * groups + 1) * 2 - 1)
+    tokens.b_ends[n - 1::n] += 1
+    owner, a, b, times = links(tokens, cuts)
+    assert int(times.sum()) == n * n * groups and len(owner) < 8 * 2 * n * groups
