@@ -15,7 +15,7 @@ import numpy as np
 
 _NONE = np.zeros(0, np.int64)
 #: Links of one group up to which they are written out in the vectorised path.
-WIDE = 1 << 8
+WIDE = 1 << 14
 
 
 def _digits() -> tuple[np.ndarray, np.ndarray]:
